@@ -21,6 +21,8 @@ INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0\ufe00-\ufe0
 BETWEEN = "\ue000"
 #: Members of a group of look-alikes that one task pairs with all the others.
 SALT_ROWS = 2_000
+#: Alphabets whose letters aren't asked for: jamo join into syllables, modifiers differ by place.
+NOT_ASKED = ("HANGUL", "MODIFIER")
 
 
 def _alphabet(letter: str) -> str:
@@ -51,7 +53,7 @@ def look_alikes(spark: SparkSession) -> dict[str, str]:
     letters = [
         x
         for x in map(chr, range(0x41, 0x30000))
-        if unicodedata.category(x)[0] == "L" and not unicodedata.decomposition(x) and (x.isascii() or _alphabet(x) != "LATIN")
+        if unicodedata.category(x)[0] == "L" and not unicodedata.decomposition(x) and (x.isascii() or _alphabet(x) not in ("LATIN", *NOT_ASKED))
     ]
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     shapes = checker.getSkeleton(BETWEEN.join(letters)).split(BETWEEN)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacel.llm import confusables, near_dup, runs
+from stratacel.llm import confusables, leakage, near_dup, packing, runs, sentences
 from stratacel.session import table
 
 
@@ -52,5 +52,40 @@ def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("layer_key", "name_canonical", "normalized_name_canonical", "copy_token_canonical")
 
 
-QUERIES = {"p4_found": p4_found, "p4_canonical": p4_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_runs": p3_runs}
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts in containers of 2,048 tokens of a public tokenizer for many languages."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return packing.pack_texts(table(spark, sf, "documents"), "doc_id", "text", str(path), public_tokenizers.PATTERN)
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are: containers by their number of unused tokens."""
+    used = p6_pack(spark, sf).groupBy("container").agg(F.sum("length").alias("used"))
+    return used.groupBy((packing.CAPACITY - F.col("used")).alias("unused")).agg(F.count("*").alias("containers"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the test items of which they hold a passage."""
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item")).select("doc_id", "item_id")
+
+
+def p7_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Proximity matches, and how many of the item's terms they hold."""
+    return leakage.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item"), phrase=False)
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The sentences of every text."""
+    return sentences.split_sentences(table(spark, sf, "documents"))
+
+
+def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences by the documents' stated language."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    return p8_found(spark, sf).join(docs, "doc_id").groupBy("lang").agg(F.count("*").alias("sentences"))
+
+
+QUERIES = {"p6_pack": p6_pack, "p6_fill": p6_fill, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found, "p8_counts": p8_counts, "p4_found": p4_found, "p4_canonical": p4_canonical, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_runs": p3_runs}
 ORACLE = {}
