@@ -33,8 +33,9 @@ LEAST_CHARS = 34
 CHAR_LANGS = ("zh", "ja")
 #: Documents of one index shard at most.
 SHARD_DOCS = 2_000
-#: Terms by which a proximity match may be shifted within its passage.
+#: Terms by which a proximity match may be shifted within its passage, and of its shortest part.
 SLACK = 4
+LEAST_PART = 4
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x3100)) if unicodedata.category(c)[0] == "M") + "︀-️︠-︯⃐-⃿]+")
@@ -168,18 +169,20 @@ def document_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
     return out
 
 
-def anchors_of(items: Items, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(items: Items, frequency: np.ndarray, phrase: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, item, place, second place): the rarest term of every window of a match's length.
 
     Any match covers a window, so it holds the window's rarest term at its place; the second place
-    is that of the next rarer term of the window, whose list is intersected first.
+    is that of the next rarer term of the window, whose list is intersected first. The windows of a
+    proximity match are those of its shortest parts.
     """
     found = set()
     for i in range(len(items.ids)):
         places = items.term[items.start[i] : items.start[i] + items.length[i]]
         rank = frequency[places]
-        for w in range(items.length[i] - items.least[i] + 1):
-            order = np.lexsort((np.arange(items.least[i]), rank[w : w + items.least[i]]))
+        size = int(items.least[i]) if phrase else LEAST_PART
+        for w in range(items.length[i] - size + 1):
+            order = np.lexsort((np.arange(size), rank[w : w + size]))
             first = w + int(order[0])
             rest = [w + int(k) for k in order[1:] if places[w + k] != places[first]]
             found.add((int(places[first]), i, first, rest[0] if rest else first))
@@ -230,8 +233,9 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
         inside = (spot >= 0) & (spot < lengths[doc])
         return inside & (stream[np.where(inside, begin[doc] + spot, 0)] == items.term[items.start[item] + place])
 
-    kept = is_at(doc, item, shift, second)
-    doc, item, shift = doc[kept], item[kept], shift[kept]
+    if phrase:  # a proximity match may have a gap between the two
+        kept = is_at(doc, item, shift, second)
+        doc, item, shift = doc[kept], item[kept], shift[kept]
     if not len(doc):
         return empty
     key = np.unique(np.stack([item, doc, shift]), axis=1)
@@ -251,7 +255,7 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
             good = count >= items.least[i]
             out.append((d[good], np.full(good.sum(), i), first[good], count[good]))
             continue
-        good = count >= 3
+        good = count >= LEAST_PART
         d, s, first, count = d[good], s[good], first[good], count[good]
         order = np.lexsort((first, s, d))
         d, s, first, count = d[order], s[order], first[order], count[order]
@@ -285,7 +289,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     """
     wanted = read_items(items)
     index = materialize(build_index(docs, key, text, wanted), "postings")
-    anchors = anchors_of(wanted, document_frequencies(index, len(wanted.number)))
+    anchors = anchors_of(wanted, document_frequencies(index, len(wanted.number)), phrase)
     shared = docs.sparkSession.sparkContext.broadcast((wanted, anchors))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratacel.session import materialize, spread
 
@@ -181,7 +182,8 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(container)], names=[*batch.schema.names, "container"])
 
     rows = ranked(pieces, histogram)
-    return rows.mapInArrow(place, rows.schema.add("container", "long")).drop("rank")
+    schema = T.StructType([*rows.schema.fields, T.StructField("container", T.LongType())])
+    return rows.mapInArrow(place, schema).drop("rank")
 
 
 def pack_texts(docs: DataFrame, key: str, text: str, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:

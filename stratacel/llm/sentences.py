@@ -33,6 +33,8 @@ _MARKER = re.compile(r"\s*(?:[*#:;]+\s*|-{4,}\s*)?")
 _BLANK = " \t\r\f\v  ᠎             　﻿​"
 _HIDDEN = re.compile(f"[{STANDINS}]+")
 _SEEN = re.compile(f"[^{STANDINS}]+")
+#: What follows inside the shown text of a link.
+_IN_LINK = re.compile(f"[^{LINK_OPEN}{LINK_CLOSE}]*[^{STANDINS}][^{LINK_OPEN}{LINK_CLOSE}]*{LINK_CLOSE}")
 
 #: Closing marks of sentences.
 MARKS = ".!?…。！？．।॥؟۔｡"
@@ -307,6 +309,8 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
             end = cut
         else:
             end = where[cut - 1] + 1
+            if _IN_LINK.match(line, end):
+                continue
             end = _attached(line, end, begin)
         yield from _trimmed(line, begin, end, base)
         begin = end

@@ -73,7 +73,7 @@ def pairs(spark, rows):
 def test_pairs_against_brute_force(spark, alike, monkeypatch):
     monkeypatch.setattr(confusables, "SALT_ROWS", 2)
     texts = [real(t) for pair in SAME + DIFFERENT for t in pair] * 2
-    rows = [(i, f"d{i % 2}", t, T0, "f", "t", 1) for i, t in enumerate(texts)]
+    rows = [(i, f"d{i // 2 % 2}", t, T0, "f", "t", 1) for i, t in enumerate(texts)]
     rows += rows[:5] + [(90, "d0", None, T0, "", "", 1), (None, "d0", "Layer", T0, "", "", 1), (91, None, "Layer", T0, "", "", 1)]
     rows += [(0, "d0", "superseded", datetime(2023, 1, 1), "", "", 1)]
     own = {(i, d): t for i, d, t, at, *_ in rows if at == T0 and None not in (i, d, t)}
