@@ -104,6 +104,6 @@ def drop_common_root(tracks: DataFrame, path: str, neutral: Column, group: Seque
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group)
-    first = F.coalesce(F.element_at(F.col(path), 1), F.lit(""))
+    first = F.coalesce(F.get(F.col(path), 0), F.lit(""))
     shared = (F.min(first).over(w) == F.max(first).over(w)) & (F.min(F.size(path)).over(w) > 0) & (F.min(neutral.cast("int")).over(w) == 1)
     return tracks.withColumn(path, F.when(shared, F.expr(f"slice({path}, 2, size({path}))")).otherwise(F.col(path)))
