@@ -33,9 +33,6 @@ _MARKER = re.compile(r"\s*(?:[*#:;]+\s*|-{4,}\s*)?")
 _BLANK = " \t\r\f\v  ᠎             　﻿​"
 _HIDDEN = re.compile(f"[{STANDINS}]+")
 _SEEN = re.compile(f"[^{STANDINS}]+")
-#: What follows inside the shown text of a link.
-_IN_LINK = re.compile(f"[^{LINK_OPEN}{LINK_CLOSE}]*[^{STANDINS}][^{LINK_OPEN}{LINK_CLOSE}]*{LINK_CLOSE}")
-
 #: Closing marks of sentences.
 MARKS = ".!?…。！？．।॥؟۔｡"
 #: Closing quotation marks and brackets that may follow a mark.
@@ -309,7 +306,7 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
             end = cut
         else:
             end = where[cut - 1] + 1
-            if _IN_LINK.match(line, end):
+            if LINK_CLOSE in line and _in_link(line, end):
                 continue
             end = _attached(line, end, begin)
         yield from _trimmed(line, begin, end, base)
@@ -317,6 +314,12 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
     yield from _trimmed(line, begin, size, base)
 
 
+def _in_link(line: str, at: int) -> bool:
+    """Whether the shown text of a link goes on after a position."""
+    close, begin = line.find(LINK_CLOSE, at), line.find(LINK_OPEN, at)
+    return close > at and not 0 <= begin < close and bool(line[at:close].strip(STANDINS))
+
+
 def _attached(line: str, at: int, begin: int) -> int:
     """The end of a sentence together with the stand-ins attached to its mark."""
     end = at
