@@ -42,6 +42,7 @@ _THAI = re.compile(r"(?<=[฀-๿])[  　]+(?=[฀-๿])")
 _ADDRESS = re.compile(r"(?:https?://|www\.|ftp://)[^\s<>\"“”«»]+|[\w.+-]+@[\w-]+\.[\w.-]+|[\w-]+\.[\w-]+/[^\s<>\"“”«»]+", re.I)
 _PAIR = re.compile(r"[()（）\[\]“”„«»‘’「」『』\"]")
 _CLOSE_OF = {"(": ")", "（": "）", "[": "]", "„": "“”", "“": "”", "«": "»", "‘": "’", "「": "」", "『": "』"}
+_DASH = re.compile(r"\s*[—–]\s")
 #: What stands before a quotation that a colon introduces.
 _INTRODUCED = re.compile(r"[:：]\s*$")
 
@@ -58,10 +59,11 @@ def _rules(*rows: tuple[bool, str, str]) -> list[Rule]:
     return [Rule(b, re.compile(f"(?:{before})$"), re.compile(after)) for b, before, after in rows]
 
 
-def _words(text: str) -> str:
-    """Alternatives, in any case; the parts of an abbreviation may be set apart by a blank."""
+def _words(text: str, blanks: bool = True) -> str:
+    """Alternatives, in any case; with ``blanks`` the parts of an abbreviation may be set apart by one."""
     text += " " + "".join(c for c in unicodedata.normalize("NFD", text) if ord(c) < 0x300 or ord(c) > 0x36F)  # as often typed
-    return "(?i:" + "|".join(re.escape(w).replace(r"\.", r"\.\s?") for w in sorted(set(text.split()), key=lambda w: (-len(w), w))) + ")"
+    dot = r"\.\s?" if blanks else r"\."
+    return "(?i:" + "|".join(re.escape(w).replace(r"\.", dot) for w in sorted(set(text.split()), key=lambda w: (-len(w), w))) + ")"
 
 
 _LOWER = r"[a-zß-öø-ÿœа-яёα-ω]"
@@ -90,15 +92,17 @@ NUMBERED = {
 }
 #: Abbreviations that may end a sentence: they do before a capital, a number or an opening mark.
 LOOSE = {
-    "en": "etc Jr Sr Ltd Co Inc Corp Bros al a.m p.m a.s.l U.K U.S U.N D.C Ph.D B.C A.D M.A B.A ft in mi lb oz sq",
-    "de": "usw etc Mio Mrd Jh Chr Min Std Tel GmbH e.V o.Ä u.Ä u.s.w",
+    "en": "etc Jr Ltd Co Inc Corp Bros al a.m p.m a.s.l U.K U.S U.N D.C Ph.D B.C A.D M.A B.A ft mi lb oz sq",
+    "de": "usw etc Mio Mrd Jh Chr Min Std Tel GmbH e.V",
     "fr": "etc Cie J.-C St-M hab",
     "es": "etc UU Cía S.A a.C d.C hab JJ",
-    "ru": "гг вв чел др пр тыс млн млрд руб коп км м см кг н.э э т.д т.п и.о мин ред изд",
+    "ru": "гг вв чел др пр тыс млн млрд руб коп км см кг мин ред изд",
     "hi": "ई किमी",
     "ar": "هـ",
 }
-#: Those of them that end a sentence even where a text has no capitals.
+#: The same with parts that may be set apart.
+LOOSE_PARTS = {"ru": "н.э т.д т.п и.о", "de": "o.Ä u.Ä u.s.w"}
+#: Those of them that end a sentence where capitals tell nothing, as in a text of one case.
 FINAL = {"en": "etc Jr a.s.l", "de": "usw"}
 #: Words after a number and a full stop that make it an ordinal.
 ORDINAL = {
@@ -107,6 +111,13 @@ ORDINAL = {
 
 _LATIN, _CYRILLIC = ("en", "de", "fr", "es"), ("ru",)
 
+
+
+def _loose(name: str) -> str:
+    parts = f"|{_words(LOOSE_PARTS[name])}" if name in LOOSE_PARTS else ""
+    return f"(?:{_words(LOOSE[name], False)}{parts})"
+
+
 COMMON = _rules(
     (False, r"\d[.．]", r"\d"),  # numbers and versions
     (False, r"(?:…|\.{2,}|。{2,})", rf"\s*(?:{_LOWER}|[぀-ヿ㐀-鿿])"),  # an ellipsis after which it goes on
@@ -120,9 +131,9 @@ ABBREVIATIONS = {
         *([(False, r"(?<!\d)(?<!\d )\b\d{1,2}\.", rf"\s+(?:{_words(ORDINAL[name])})\b")] if name in ORDINAL else []),
         (False, rf"(?<![^\W_]){_words(BOUND[name])}\.", r""),
         *([(False, rf"(?<![^\W_]){_words(NUMBERED[name])}\.", r"\s*[\d#№(]|\s*[IVXLC]+\b|\s*[Jj]\.-[Cc]")] if NUMBERED[name] else []),
-        *([(True, rf"(?<![^\W_]){_words(FINAL[name])}\.", r"\s+\w")] if name in FINAL else []),
-        (True, rf"(?<![^\W_]){_words(LOOSE[name])}\.", rf"\s+(?:{_UPPER}|\d|[“„«‘\"¿¡「]|[(\[（]\W*{_UPPER}|[؀-๿぀-鿿])|\s*$"),
-        (False, rf"(?<![^\W_]){_words(LOOSE[name])}\.", rf"\s*(?:{_LOWER}|[^\w\s])|\s+\S"),
+        *([(True, rf"{_UPPER}{_LOWER}+,?\s[Ss]r\.", rf"\s+{_UPPER}")] if name == "en" else []),
+        (True, rf"(?<![^\W_]){_loose(name)}\.", rf"\s+(?:{_UPPER}|\d|[“„«‘\"¿¡「]|[(\[（]\W*{_UPPER}|[؀-๿぀-鿿])|\s*$"),
+        (False, rf"(?<![^\W_]){_loose(name)}\.", rf"\s*(?:{_LOWER}|[^\w\s])|\s+\S"),
     )
     for name in BOUND
 }
@@ -164,14 +175,17 @@ def _script(char: str) -> str:
 
 
 #: Last parts of all abbreviations, for words that need no look at the tables.
-_SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE) for words in table.values() for w in words.split()}
+_SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE, LOOSE_PARTS, {"": "Sr"}) for words in table.values() for w in words.split()}
 _SHORT |= {"".join(c for c in unicodedata.normalize("NFD", w) if ord(c) < 0x300 or ord(c) > 0x36F) for w in _SHORT}
 _WORD_END = re.compile(r"[^\W\d_]{2,}$")
 _PLAIN = re.compile(rf"\s+{_UPPER}{_LOWER}")
 _CASCADES: dict[tuple[str, str, bool], list[Rule]] = {}
 #: An ellipsis in a text without capitals, unless a conjunction shows that it goes on.
 _FLAT_ELLIPSIS = re.compile(r"(?:…|\.{3})$")
-_JOINS = re.compile(r"\s*(?:or|and|but|oder|und|aber|ou|et|mais|o|y|e|pero|или|и|а|но)\b")
+_JOINS = re.compile(r"\s*(?:or|and|but|oder|und|aber|ou|et|mais|o|y|e|pero|или|и|а|но)\b", re.I)
+#: Abbreviations that end no sentence in a text of capitals only, where a capital tells nothing.
+_CAPITALS_LOOSE = re.compile("(?<![^\\W_])(?:" + "|".join(_loose(n) for n in LOOSE) + r")\.$")
+_CAPITALS_FINAL = re.compile("(?<![^\\W_])(?:" + "|".join(_words(FINAL[n], False) for n in FINAL) + r")\.$")
 
 
 def cascade(script: str, lang: str, shortened: bool) -> list[Rule]:
@@ -232,7 +246,8 @@ def _breaks(line: str, lang: str) -> list[int]:
             if a < close < b:
                 closing[close] = k
     known: dict[int, bool] = {}
-    flat = line.islower()
+    upper = line.isupper()
+    flat = upper or line.islower()
 
     def sentence_start(at: int) -> int:
         """Where the sentence of a position begins, as far as it is decided."""
@@ -277,11 +292,22 @@ def _breaks(line: str, lang: str) -> list[int]:
             return plain[lo] in "(（[" and not plain[sentence_start(lo) : lo].strip()
         if own and rest[:1].isalpha() and _script(rest[0]) == "spaceless":
             return False
+        if own and plain[min(own)] in "([" and plain[b - 1] in ")]" and not plain[sentence_start(min(own)) : min(own)].strip():
+            return True  # a sentence of its own in brackets
         text = plain[max(0, a - REACH) : b]
         word = _WORD_END.search(plain, max(0, a - 16), a)
         shortened = plain[a] == "." and not (word and word.group().lower() not in _SHORT)
-        if flat and _FLAT_ELLIPSIS.search(text):
-            return not _JOINS.match(rest)
+        if flat and script in ("latin", "cyrillic"):  # no capital tells where a sentence begins
+            if _CAPITALS_FINAL.search(text):
+                return True
+            if _FLAT_ELLIPSIS.search(text):
+                return not _JOINS.match(rest)
+            if own and plain[a] in "!?" and not _DASH.match(rest):
+                return bool(_INTRODUCED.search(plain[: min(own)])) or plain[min(own)] in "(["
+            if upper and _CAPITALS_LOOSE.search(text):
+                return False
+            if upper and _DASH.match(rest):
+                return False
         for breaks, before, after in cascade(script, lang, shortened):
             if after.match(rest) and before.search(text):
                 return breaks
