@@ -9,7 +9,9 @@ from stratacel.functions import columns as C
 from stratacel.functions.names import known_blend_mode, parsed_name
 from stratacel.operators import cels as K
 from stratacel.operators import sequence as S
+from stratacel.operators import visibility as V
 from stratacel.plans import tracks as P
+from stratacel.sources import sprite as W
 from stratacel.session import table
 
 QUERIES: dict = {}
@@ -193,3 +195,32 @@ def track_conservation(spark: SparkSession, sf: str) -> DataFrame:
     """Observations that the plan lost or doubled: none (SET-03)."""
     observed = _observed(spark, sf)
     return P.unassigned(observed, P.plan_tracks(observed))
+
+
+def _encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    frames = K.latest_delivery(table(spark, sf, "psd_frame"), ["doc_id", "frame_index"])
+    layers = K.latest_delivery(table(spark, sf, "snapshot_layer"), ["doc_id", "source_layer_id"])
+    cels = _cels(spark, sf)
+    return layers, cels, W.encode_documents(frames, layers, cels)
+
+
+@query()
+def sprite_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One encoded file per document, equal cels linked (SNK-01, SNK-03, WIN-05)."""
+    return _encoded(spark, sf)[2].select("doc_id", "layers", "cels", "linked", "bytes")
+
+
+@query("SELECT ''::VARCHAR AS doc_id, ''::VARCHAR AS layer, 0::INT AS frame, 0::INT AS x, 0::INT AS y, 0::INT AS opacity, 0::INT AS width, 0::INT AS height, ''::VARCHAR AS digest WHERE false")
+def sprite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Cels that the files don't give back as they were written: none (VAL-01, SRC-12)."""
+    return W.roundtrip_differences(*_encoded(spark, sf))
+
+
+@query()
+def loss_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON reports of what a conversion would lose, per document (SNK-09, JSN-01, VAL-09)."""
+    cels = _cels(spark, sf)
+    place = F.concat_ws("/", F.col("source_layer_id").cast("string"), F.col("frame_index").cast("string"))
+    missing = cels.where("pixels IS NULL").select("doc_id", F.col("cel_id").alias("seq"), F.lit("missing_pixels").alias("code"), F.lit("dropped").alias("disposition"), place.alias("location"), F.lit(None).cast("string").alias("detail"))
+    short = cels.where("length(pixels) <> width * height * 4").select("doc_id", F.col("cel_id").alias("seq"), F.lit("malformed_pixels").alias("code"), F.lit("dropped").alias("disposition"), place.alias("location"), F.concat(F.length("pixels").cast("string"), F.lit(" bytes")).alias("detail"))
+    return V.loss_report(missing.unionByName(short))

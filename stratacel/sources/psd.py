@@ -1,4 +1,4 @@
-"""Layered Photoshop documents (versions 1 and 2) as flat tables.
+"""Layered PSD documents (versions 1 and 2) as flat tables.
 
 ``scan`` reads the structure of one file from its bytes without decoding pixels; ``read_documents``
 does so for a folder, one tagged row per block, so that a reader takes only the tags it needs. What
