@@ -35,7 +35,7 @@ CHAR_LANGS = ("zh", "ja")
 SHARD_DOCS = 2_000
 #: Terms by which a proximity match may be shifted within its passage, and of its shortest part.
 SLACK = 4
-LEAST_PART = 4
+LEAST_PART = 8
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x3100)) if unicodedata.category(c)[0] == "M") + "︀-️︠-︯⃐-⃿]+")
@@ -200,12 +200,29 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, end - first
 
 
+def _clustered(item: np.ndarray, doc: np.ndarray, shift: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hits whose neighbours in shift make a proximity match possible.
+
+    A run of n terms holds the anchors of n - LEAST_PART + 1 windows, and one anchor serves
+    LEAST_PART of them at most, so parts that reach the least length hold that many anchors.
+    """
+    order = np.lexsort((shift, doc, item))
+    i, d, s = item[order], doc[order], shift[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (s[1:] - s[:-1] > SLACK)
+    cluster = np.cumsum(new) - 1
+    distinct = np.unique(np.stack([cluster, place[order]]), axis=1)[0]
+    enough = np.bincount(distinct, minlength=cluster[-1] + 1 if len(cluster) else 0) >= LEAST_WORDS // LEAST_PART
+    return order[enough[cluster]]
+
+
 def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bool) -> tuple[np.ndarray, ...]:
     """(document, item, place in the item, terms) of the matches in one shard.
 
     A phrase match is a run of at least ``least`` consecutive terms of the item that stand in a row
-    in the document. Without ``phrase``, runs of one item in one document whose shifts differ by
-    ``SLACK`` at most are summed, and count when together they reach ``least``.
+    in the document. Without ``phrase``, runs of ``LEAST_PART`` terms or more that follow each other
+    in the item, and in the document, with up to ``SLACK`` terms put in, left out or changed between
+    them, are summed, and count when together they reach ``least``.
     """
     term, item, place, second = anchors
     terms, ends = shard["terms"], shard["ends"]
@@ -220,8 +237,11 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
     lo = np.where(at > 0, ends[at - 1], 0)
     n = ends[at] - lo
     take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    doc, shift = shard["doc"][take].astype(np.int64), shard["position"][take] - np.repeat(place, n)
-    item, second = np.repeat(item, n), np.repeat(second, n)
+    doc, shift = shard["doc"][take].astype(np.int64), shard["position"][take].astype(np.int64) - np.repeat(place, n)
+    item, second, place = np.repeat(item, n), np.repeat(second, n), np.repeat(place, n)
+    if not phrase:
+        kept = _clustered(item, doc, shift, place)
+        doc, item, shift = doc[kept], item[kept], shift[kept]
     # the streams as they were, to compare an item's terms with those at its shifted places
     lengths = shard["lengths"].astype(np.int64)
     begin = np.cumsum(lengths) - lengths
@@ -257,10 +277,10 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
             continue
         good = count >= LEAST_PART
         d, s, first, count = d[good], s[good], first[good], count[good]
-        order = np.lexsort((first, s, d))
+        order = np.lexsort((s, first, d))
         d, s, first, count = d[order], s[order], first[order], count[order]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] - s[:-1] > SLACK)
+        new = np.ones(len(d), dtype=bool)  # a part that doesn't follow the one before it closely
+        new[1:] = (d[1:] != d[:-1]) | (np.abs(s[1:] - s[:-1]) > SLACK) | (first[1:] - first[:-1] - count[:-1] > SLACK)
         starts = np.flatnonzero(new)
         if len(starts):
             total = np.minimum(np.add.reduceat(count, starts), items.length[i])
