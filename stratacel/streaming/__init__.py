@@ -1 +1 @@
-
+"""Nothing yet: the document operators have no streaming counterpart."""
