@@ -31,6 +31,8 @@ SKETCH_PARTS = 64
 BLOCK_BYTES = 2 << 20
 #: Pairs that one emitted batch holds.
 EMIT_PAIRS = 200_000
+#: Classes that share a gram and are multiplied in one task; a more frequent gram is split.
+HOT_ROWS = 20_000
 #: Members of a class that one task pairs with all the others.
 SALT_ROWS = 2_000
 
@@ -123,8 +125,8 @@ def classes_of(members: DataFrame) -> DataFrame:
     return members.groupBy("hi", "lo", "size").agg(F.min("cel_id").alias("rep"), F.count("*").alias("members"))
 
 
-def gram_sketch(contents: DataFrame) -> np.ndarray:
-    """How often grams occur, over all rows, as logarithmic codes of a fixed number of counters.
+def gram_sketch(contents: DataFrame) -> tuple[np.ndarray, float]:
+    """How often grams occur, over all rows, as logarithmic codes of a fixed number of counters; their mean.
 
     It only orders the grams from rare to frequent. Grams that share a counter look more frequent
     than they are, which costs time and no pair.
@@ -153,13 +155,36 @@ def gram_sketch(contents: DataFrame) -> np.ndarray:
             for at, n in zip(batch.column("at"), batch.column("n")):
                 total[np.cumsum(np.frombuffer(at.as_py(), dtype=np.uint16).astype(np.int64))] += np.frombuffer(n.as_py(), dtype=np.uint16)
         code = np.floor(8 * np.log2(1 + total.astype(float))).clip(0, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([code.tobytes()])], names=["part", "code"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], type=pa.int32()), pa.array([code.tobytes()]), pa.array([int(total.sum())], type=pa.int64())],
+            names=["part", "code", "entries"],
+        )
 
-    parts = contents.mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, code binary")
-    sketch = np.zeros(width, dtype=np.uint8)
+    parts = contents.mapInArrow(count, "part int, at binary, n binary").groupBy("part").applyInArrow(add, "part int, code binary, entries bigint")
+    sketch, entries = np.zeros(width, dtype=np.uint8), 0
     for row in parts.collect():  # SKETCH_PARTS rows of fixed size
         sketch[row.part * part : (row.part + 1) * part] = np.frombuffer(row.code, dtype=np.uint8)
-    return sketch
+        entries += row.entries
+    return sketch, entries / width
+
+
+def row_groups(code: np.ndarray, load: float) -> np.ndarray:
+    """Into how many groups the rows of a gram are split: one, but for grams far above the mean counter."""
+    frequency = 2.0 ** ((code.astype(float) + 1) / 8)
+    return np.ceil((frequency - 2 * load) / HOT_ROWS).clip(1, 1000).astype(np.int64)
+
+
+def split_hot(gram: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, grams): entries of a split gram once for every pair of groups that its row takes part in.
+
+    Two rows of a gram meet where the pair of their groups does, so the work on a gram that a large
+    part of the rows hold is shared by groups * (groups + 1) / 2 tasks.
+    """
+    places = np.repeat(np.arange(len(gram)), groups)
+    other = (np.arange(len(places)) - np.repeat(np.cumsum(groups) - groups, groups)).astype(np.uint64)
+    own = _mixed(ids.astype(np.uint64))[places] % groups[places].astype(np.uint64)
+    pair = (np.minimum(own, other) << np.uint64(32)) | np.maximum(own, other)
+    return places, np.where(groups[places] > 1, _mixed(gram[places] ^ _mixed(pair + _M1)), gram[places])
 
 
 def prefixes(contents: DataFrame, similarity: float, blocks: int) -> DataFrame:
@@ -170,7 +195,8 @@ def prefixes(contents: DataFrame, similarity: float, blocks: int) -> DataFrame:
     frequent.
     """
     spark = contents.sparkSession
-    sketch = spark.sparkContext.broadcast(gram_sketch(contents).tobytes())  # 2^SKETCH_BITS bytes
+    codes, load = gram_sketch(contents)
+    sketch = spark.sparkContext.broadcast(codes.tobytes())  # 2^SKETCH_BITS bytes
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of = np.frombuffer(sketch.value, dtype=np.uint8)
@@ -185,11 +211,14 @@ def prefixes(contents: DataFrame, similarity: float, blocks: int) -> DataFrame:
             position = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
             limit = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
             kept = position < limit[owner]
-            owner, gram, position = owner[kept], gram[kept], position[kept]
+            owner, gram, position, groups = owner[kept], gram[kept], position[kept], row_groups(code[order][kept], load)
+            ids = _ints(batch, "rep")
+            if (groups > 1).any():
+                places, gram = split_hot(gram, ids[owner], groups)
+                owner, position = owner[places], position[places]
             block = ((gram >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             owner, gram, position, block = owner[order], gram[order], position[order], block[order]
-            ids = _ints(batch, "rep")
             cuts = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
             lines = []
             for lo, hi in zip(cuts[:-1], cuts[1:]):

@@ -74,6 +74,24 @@ def test_hot_class_is_salted(spark, monkeypatch):
     assert found == brute(rows)[0] and len(found) >= 20 * 21 // 2
 
 
+def test_split_of_hot_grams_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT_ROWS", 3)
+    groups = near_dup.row_groups(np.array([0, 40, 80]), 0.0)
+    assert groups[0] == 1 and groups[2] > groups[1] > 1
+    rows = made(3)
+    found, _ = run(spark, rows)
+    assert found == brute(rows)[0] and len(found) > 30
+
+
+def test_rows_of_a_split_gram_meet():
+    rng = np.random.default_rng(1)
+    ids, gram, groups = rng.integers(0, 1 << 40, 60), np.full(60, 7, dtype=np.uint64), np.full(60, 5)
+    places, split = near_dup.split_hot(gram, ids, groups)
+    met = {frozenset((a, b)) for g in np.unique(split) for a in places[split == g] for b in places[split == g] if a != b}
+    assert len(met) == 60 * 59 // 2 and len(places) == 300 and len(np.unique(split)) <= 15
+    assert np.array_equal(near_dup.split_hot(gram, ids, np.ones(60, dtype=int))[1], gram)
+
+
 def test_nulls_and_empty_tables(spark):
     assert run(spark, []) == (set(), set())
     px = bytes([1, 2, 3, 255]) * 4
