@@ -100,3 +100,9 @@ def test_columns_compare(spark):
     assert {r.token_canonical for r in out} == {"copy", None}
     empty = spark.createDataFrame([], "name string, token string, text int")
     assert consistent(empty, ["name"]).count() == 0
+
+
+def test_very_long_names(spark, alike):
+    long = "Layer " * 20_000
+    rows = [(1, "d", long + "x", T0, "", "", 1), (2, "d", long.replace("a", chr(0x430)) + "x", T0, "", "", 1), (3, "d", long + "y", T0, "", "", 1)]
+    assert pairs(spark, rows) == {(1, 2)}

@@ -95,3 +95,9 @@ def test_shown_text():
     assert shown_text("a [[b|c]]d [[e]] {{x|{{y}}|{{{z}}}}} [[File:f.jpg|thumb|g]] '''h''' <ref>{{i}}</ref>j<br/>k &amp; l").split() == "a cd e h jk & l".split()
     assert shown_text("{{{{{{ open [[ and <!-- lost\nnext <ref>gone\nend").split() == "{{{{{{ open [[ and next end".split()
     assert shown_text("[https://x.invalid/y shown text] z").split() == ["shown", "text", "z"]
+
+
+def test_very_long_text(spark):
+    p = passage(20, random.Random(9))
+    long = "filler [[target|words]] " * 60_000
+    assert found(spark, [(1, long + " ".join(p)), (2, long)], [(1, "en", " ".join(p))]) == {(1, 1)}
