@@ -216,13 +216,50 @@ def _clustered(item: np.ndarray, doc: np.ndarray, shift: np.ndarray, place: np.n
     return order[enough[cluster]]
 
 
+def _chains(doc: np.ndarray, shift: np.ndarray, first: np.ndarray, count: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(document, place, terms) of the longest proximity match of each document that has one.
+
+    The parts of a match follow each other in the item and in the document, at most ``SLACK`` terms
+    apart and shifted by ``SLACK`` at most; terms in which two of them overlap count once. Any part
+    may follow any other, so copies of a passage in one document don't part each other's chains.
+    """
+    order = np.lexsort((first, shift, doc))
+    doc, shift, first, count = doc[order], shift[order], first[order], count[order]
+    new = np.ones(len(doc), dtype=bool)  # a chain doesn't cross a gap in the shifts
+    new[1:] = (doc[1:] != doc[:-1]) | (shift[1:] - shift[:-1] > SLACK)
+    cluster = np.cumsum(new) - 1
+    able = np.flatnonzero((np.bincount(cluster, weights=count) >= least)[cluster]) if len(doc) else order
+    able = able[np.lexsort((shift[able], first[able], doc[able]))]
+    own, best, ended = None, (0, 0), {}  # ended: shift to its parts so far, as (first, end, terms, place where its chain begins)
+    for d, s, a, n in zip(*(x[able].tolist() for x in (doc, shift, first, count))):
+        if d != own:
+            if best[0] >= least:
+                yield own, best[1], best[0]
+            own, best, ended = d, (0, 0), {}
+        b, terms, begin = a + n, n, a
+        for other in range(s - SLACK, s + SLACK + 1):
+            for c, e, before, place in reversed(ended.get(other, ())):
+                gap, apart = a - e, a + s - e - other  # in the item, in the document
+                if gap > SLACK:
+                    break
+                if apart <= SLACK and c < a and c + other < a + s and e < b and e + other < b + s:
+                    held = before + n + min(0, gap, apart)
+                    if held > terms:
+                        terms, begin = held, place
+        ended.setdefault(s, []).append((a, b, terms, begin))
+        if terms > best[0]:
+            best = (terms, begin)
+    if best[0] >= least:
+        yield own, best[1], best[0]
+
+
 def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bool) -> tuple[np.ndarray, ...]:
     """(document, item, place in the item, terms) of the matches in one shard.
 
     A phrase match is a run of at least ``least`` consecutive terms of the item that stand in a row
     in the document. Without ``phrase``, runs of ``LEAST_PART`` terms or more that follow each other
     in the item, and in the document, with up to ``SLACK`` terms put in, left out or changed between
-    them, are summed, and count when together they reach ``least``.
+    them, are summed, and count when together they reach ``least``; see ``_chains``.
     """
     term, item, place, second = anchors
     terms, ends = shard["terms"], shard["ends"]
@@ -277,15 +314,8 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
             continue
         good = count >= LEAST_PART
         d, s, first, count = d[good], s[good], first[good], count[good]
-        order = np.lexsort((s, first, d))
-        d, s, first, count = d[order], s[order], first[order], count[order]
-        new = np.ones(len(d), dtype=bool)  # a part that doesn't follow the one before it closely
-        new[1:] = (d[1:] != d[:-1]) | (np.abs(s[1:] - s[:-1]) > SLACK) | (first[1:] - first[:-1] - count[:-1] > SLACK)
-        starts = np.flatnonzero(new)
-        if len(starts):
-            total = np.minimum(np.add.reduceat(count, starts), items.length[i])
-            good = total >= items.least[i]
-            out.append((d[starts][good], np.full(good.sum(), i), np.minimum.reduceat(first, starts)[good], total[good]))
+        for doc_at, place_at, total in _chains(d, s, first, count, int(items.least[i])):
+            out.append(tuple(np.array([x], dtype=np.int64) for x in (doc_at, i, place_at, total)))
     if not out:
         return empty
     doc, item, first, count = (np.concatenate(c) for c in zip(*out))

@@ -62,6 +62,60 @@ def test_proximity(spark):
     assert found(spark, docs, items, phrase=False) == {(1, 1)}
 
 
+def proximity(doc, item, part, least=16, slack=4):
+    """Most terms of the item in runs of ``part`` or more that follow each other within the slack, tried from every run."""
+    a, b = item.split(), doc.split()
+    runs = []
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+                n = next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+                if n >= part:
+                    runs.append((i, j, n))
+    most = {}
+    for i, j, n in sorted(runs):
+        most[i, j, n] = n
+        for k, m, o in list(most):
+            gaps = (i - k - o, j - m - o)
+            if k < i and m < j and k + o < i + n and m + o < j + n and max(gaps) <= slack and abs((j - i) - (m - k)) <= slack:
+                most[i, j, n] = max(most[i, j, n], most[k, m, o] + n + min(0, *gaps))
+    longest = max(most.values(), default=0)
+    return longest if longest >= least else None
+
+
+def test_two_altered_copies(spark):
+    p = passage(30, random.Random(2))
+    altered = p[:10] + ["new"] + p[10:20]
+    filler = [f"x{i}" for i in range(30)]
+    docs = [(1, " ".join(altered)), (2, " ".join(altered + filler + altered)), (3, " ".join(altered + altered)), (4, " ".join((p[:10] + filler) * 2))]
+    assert found(spark, docs, [(1, "en", " ".join(p))], phrase=False) == {(1, 1), (2, 1), (3, 1)}
+
+
+def altered_copies(rng, items, docs):
+    """Texts that hold passages of items once or more, each with words changed, put in or left out here and there."""
+    for d in range(docs):
+        text = [f"x{rng.randrange(99)}" for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(1, 4)):
+            own = rng.choice(items)[2].split()
+            lo = rng.randrange(len(own) - 12)
+            part, every = own[lo : lo + rng.randrange(12, 40)], rng.randrange(4, 14)
+            for at in range(len(part) - rng.randrange(1, every + 1), 0, -every):
+                part[at : at + rng.choice([0, 1, 1, 3, 5])] = [f"y{k}" for k in range(rng.choice([0, 1, 1, 3, 5]))]
+            for _ in range(rng.choice([1, 2, 2, 3])):
+                text += part + [f"z{k}" for k in range(rng.choice([0, 2, 20]))]
+        yield d, " ".join(text)
+
+
+@pytest.mark.parametrize("size", [400, 25])
+def test_proximity_against_brute_force(spark, size):
+    rng = random.Random(size)
+    items = [(i, "en", " ".join(rng.choice(WORDS[:size]) for _ in range(rng.randrange(18, 50)))) for i in range(10)]
+    docs = list(altered_copies(rng, items, 120))
+    out = leaked(spark.createDataFrame([(*d, 1, "x") for d in docs], DOC), spark.createDataFrame([(i, "t", lang, t) for i, lang, t in items], ITEM), phrase=False)
+    want = {(d, i): n for d, x in docs for i, _, t in items if (n := proximity(x, t, leakage.LEAST_PART))}
+    assert {(r.doc_id, r.item_id): r.longest for r in out.collect()} == want and len(want) > 20
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "en", " ".join(WORDS[:20]))]) == set()
     assert found(spark, [(1, "text")], []) == set()
