@@ -35,7 +35,9 @@ CHAR_LANGS = ("zh", "ja")
 SHARD_DOCS = 2_000
 #: Terms by which a proximity match may be shifted within its passage, and of its shortest part.
 SLACK = 4
-LEAST_PART = 8
+LEAST_PART = 4
+#: Hits of anchors that are looked at together.
+HITS_AT_ONCE = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _MARK = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x3100)) if unicodedata.category(c)[0] == "M") + "︀-️︠-︯⃐-⃿]+")
@@ -200,19 +202,25 @@ def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, end - first
 
 
-def _clustered(item: np.ndarray, doc: np.ndarray, shift: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _clustered(item: np.ndarray, doc: np.ndarray, shift: np.ndarray, place: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Hits whose neighbours in shift make a proximity match possible.
 
-    A run of n terms holds the anchors of n - LEAST_PART + 1 windows, and one anchor serves
-    LEAST_PART of them at most, so parts that reach the least length hold that many anchors.
+    Every term of a part lies in a window with an anchor of that part, less than LEAST_PART terms
+    off, so an anchor's place stands for 2 * LEAST_PART - 1 terms at most, and a match holds as many
+    places as its least length needs.
     """
+    if not len(item):
+        return np.empty(0, dtype=np.int64)
     order = np.lexsort((shift, doc, item))
     i, d, s = item[order], doc[order], shift[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (s[1:] - s[:-1] > SLACK)
-    cluster = np.cumsum(new) - 1
-    distinct = np.unique(np.stack([cluster, place[order]]), axis=1)[0]
-    enough = np.bincount(distinct, minlength=cluster[-1] + 1 if len(cluster) else 0) >= LEAST_WORDS // LEAST_PART
+    cluster, places = np.cumsum(new) - 1, place[order]
+    again = np.lexsort((places, cluster))
+    c, p = cluster[again], places[again]
+    first = np.ones(len(c), dtype=bool)
+    first[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+    enough = np.bincount(c[first]) >= -(-least[i[new]] // (2 * LEAST_PART - 1))
     return order[enough[cluster]]
 
 
@@ -273,12 +281,6 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
         return empty
     lo = np.where(at > 0, ends[at - 1], 0)
     n = ends[at] - lo
-    take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    doc, shift = shard["doc"][take].astype(np.int64), shard["position"][take].astype(np.int64) - np.repeat(place, n)
-    item, second, place = np.repeat(item, n), np.repeat(second, n), np.repeat(place, n)
-    if not phrase:
-        kept = _clustered(item, doc, shift, place)
-        doc, item, shift = doc[kept], item[kept], shift[kept]
     # the streams as they were, to compare an item's terms with those at its shifted places
     lengths = shard["lengths"].astype(np.int64)
     begin = np.cumsum(lengths) - lengths
@@ -290,15 +292,27 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
         inside = (spot >= 0) & (spot < lengths[doc])
         return inside & (stream[np.where(inside, begin[doc] + spot, 0)] == items.term[items.start[item] + place])
 
-    if phrase:  # a proximity match may have a gap between the two
-        kept = is_at(doc, item, shift, second)
+    hits = []
+    for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1):
+        k = n[part]
+        take = np.repeat(lo[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        own, p = np.repeat(item[part], k), np.repeat(place[part], k)
+        d, s = shard["doc"][take].astype(np.int64), shard["position"][take].astype(np.int64) - p
+        # the window stands whole in a phrase match, and in a part of a proximity match
+        kept = is_at(d, own, s, np.repeat(second[part], k))
+        hits.append((d[kept], own[kept], s[kept], p[kept]))
+    doc, item, shift, place = (np.concatenate(c) for c in zip(*hits))
+    if not phrase:
+        kept = _clustered(item, doc, shift, place, items.least)
         doc, item, shift = doc[kept], item[kept], shift[kept]
     if not len(doc):
         return empty
-    key = np.unique(np.stack([item, doc, shift]), axis=1)
+    order = np.lexsort((shift, doc, item))
+    key = np.stack([item, doc, shift])[:, order]
+    key = key[:, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))]
     out = []
-    for i in np.unique(key[0]):
-        own = key[:, key[0] == i]
+    for own in np.split(key, np.flatnonzero(np.diff(key[0])) + 1, axis=1):
+        i = own[0, 0]
         places = np.arange(items.length[i])
         step = max(1, 4_000_000 // len(places))
         rows = []
@@ -328,8 +342,9 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     A document holds an item when ``LEAST_WORDS`` consecutive words of it (for ``CHAR_LANGS``,
     ``LEAST_CHARS`` consecutive letters and digits) stand in the document in a row, whatever the
     case, accents, punctuation, spacing, line breaks and markup; ``longest`` is the longest such run
-    (of an item in characters, its pairs). With ``phrase`` false it is a proximity match: runs that
-    insertions or omissions of up to ``SLACK`` terms part count together.
+    (of an item in characters, its pairs). With ``phrase`` false it is a proximity match: runs of
+    ``LEAST_PART`` terms or more that insertions, omissions or changes of up to ``SLACK`` terms part
+    count together.
 
     The items are a stated set that is set against all documents; the index is cut into shards, so
     no list is gathered, and a term that a third of all documents hold is as many postings in as

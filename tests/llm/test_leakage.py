@@ -91,6 +91,15 @@ def test_two_altered_copies(spark):
     assert found(spark, docs, [(1, "en", " ".join(p))], phrase=False) == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_a_word_changed_every_few(spark):
+    p = passage(36, random.Random(3))
+    changed = [w if (k + 1) % 6 else f"y{k}" for k, w in enumerate(p)]
+    put_in = [w for k, x in enumerate(p) for w in ([x] if (k + 1) % 4 else [x, f"y{k}"])]
+    left_out = [w for k, w in enumerate(p) if (k + 1) % 8]
+    docs = [(d, " ".join(["x"] * 9 + w + ["z"] * 9)) for d, w in enumerate((changed, put_in, left_out))]
+    assert found(spark, docs, [(1, "en", " ".join(p))], phrase=False) == {(0, 1), (1, 1), (2, 1)}
+
+
 def altered_copies(rng, items, docs):
     """Texts that hold passages of items once or more, each with words changed, put in or left out here and there."""
     for d in range(docs):
