@@ -52,6 +52,11 @@ def blit(canvas: np.ndarray, pixels: np.ndarray, x: int, y: int, opacity: int) -
     return out
 
 
+def alpha_bits(data: bytes | None) -> bytes | None:
+    """One bit per pixel: whether its alpha isn't zero."""
+    return None if data is None else np.packbits(np.frombuffer(data, dtype=np.uint8)[3::4] != 0).tobytes()
+
+
 def _neighbours(values: np.ndarray, fill: int) -> np.ndarray:
     padded = np.pad(values, 1, constant_values=fill)
     return np.stack([padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
@@ -156,3 +161,11 @@ def nearly_equal(a: Column, b: Column, width: Column, height: Column, profile: s
         return pd.Series(out, dtype=bool)
 
     return compare(a, b, width, height)
+
+
+def drawn_bits(pixels: Column) -> Column:
+    @F.pandas_udf("binary")
+    def bits(data: pd.Series) -> pd.Series:
+        return data.map(alpha_bits)
+
+    return bits(pixels)

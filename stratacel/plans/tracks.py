@@ -1,8 +1,8 @@
 """Tracks: which layers of successive frames are one thing, in what order, under which groups.
 
 The association is sequential in the frames of a document, as tracks are the state; documents are
-independent. A document's observations hold hashes instead of pixels, so even a large one is a
-narrow table.
+independent. A document's observations hold a hash and one bit per pixel instead of pixels, so even
+a large one is a narrow table.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stratacel.functions.columns import is_generic_name
 from stratacel.functions.names import parsed_name
+from stratacel.functions.pixels import drawn_bits
 from stratacel.operators.cels import content_key
 from stratacel.plans.solvers import best_matching, consensus_edges, stable_order, uncross, z_indices
 
@@ -25,6 +27,8 @@ from stratacel.plans.solvers import best_matching, consensus_edges, stable_order
 LEAST_SCORE = 40
 #: What an observation is known by.
 OBSERVATION = "doc_id string, frame int, layer bigint, place int, name string, base string, generic boolean, path string, x int, y int, width int, height int, content string, locked boolean"
+#: Besides: one bit per pixel that is drawn. Without it a drawing fills its box.
+DRAWN = OBSERVATION + ", alpha binary"
 PLAN = "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int, phase string, score int, margin int"
 
 
@@ -57,6 +61,34 @@ def _group(a: str, b: str) -> int:
     return 20 if a == b else 12 if a and b and a.split("/")[0] == b.split("/")[0] else 0
 
 
+@lru_cache(maxsize=256)
+def _bitmap(alpha: bytes | None, width: int, height: int) -> np.ndarray:
+    if alpha is None:
+        return np.ones((height, width), dtype=bool)
+    return np.unpackbits(np.frombuffer(alpha, dtype=np.uint8), count=width * height).reshape(height, width).astype(bool)
+
+
+def alpha_overlap(a, b) -> bool:
+    """Whether both observations draw at one pixel of the document; boxes are compared first."""
+    left, top = max(a.x, b.x), max(a.y, b.y)
+    right, bottom = min(a.x + a.width, b.x + b.width), min(a.y + a.height, b.y + b.height)
+    if not (left < right and top < bottom):
+        return False
+    parts = []
+    for r in (a, b):
+        x, y = int(r.x), int(r.y)
+        bits = _bitmap(getattr(r, "alpha", None), int(r.width), int(r.height))
+        parts.append(bits[int(top) - y : int(bottom) - y, int(left) - x : int(right) - x])
+    return bool((parts[0] & parts[1]).any())
+
+
+def overlapping(rows: list) -> list[tuple[int, int]]:
+    """Places of the pairs of a frame's observations that draw at one pixel; all boxes are compared at once."""
+    x, y, width, height = (np.array([getattr(r, k) for r in rows], dtype=float) for k in ("x", "y", "width", "height"))
+    near = (x[:, None] < (x + width)[None]) & (x[None] < (x + width)[:, None]) & (y[:, None] < (y + height)[None]) & (y[None] < (y + height)[:, None])
+    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1))) if alpha_overlap(rows[i], rows[j])]
+
+
 def score(row, place: int, track: Track) -> int:
     """Likeness of an observation and a track, 0 to 100, by name, group, order, geometry and pixels."""
     last = track.seen[-1]
@@ -149,15 +181,13 @@ def associate(rows: list, protect_new: bool) -> tuple[list[Track], dict]:
     return tracks, decided
 
 
-def track_votes(tracks: list[Track], decided: dict, frames: dict) -> dict:
+def track_votes(tracks: list[Track], decided: dict, frames: dict, pairs: dict | None = None) -> dict:
     """In how many frames one of two overlapping tracks comes before the other."""
     votes: dict = defaultdict(lambda: [0, 0])
-    for rows in frames.values():
-        for i, a in enumerate(rows):
-            for b in rows[i + 1 :]:
-                if a.x < b.x + b.width and b.x < a.x + a.width and a.y < b.y + b.height and b.y < a.y + a.height:
-                    s, t = decided[a.frame, a.layer][0], decided[b.frame, b.layer][0]
-                    votes[min(s, t), max(s, t)][0 if s < t else 1] += 1
+    for f, rows in frames.items():
+        for i, j in pairs[f] if pairs else overlapping(rows):
+            s, t = (decided[r.frame, r.layer][0] for r in (rows[i], rows[j]))
+            votes[min(s, t), max(s, t)][0 if s < t else 1] += 1
     return {k: tuple(v) for k, v in votes.items()}
 
 
@@ -176,12 +206,14 @@ def plan_document(pdf: pd.DataFrame, protect_new: bool = True) -> pd.DataFrame:
     base = {t.number: t.places[0] for t in tracks}
     ranked = sorted(base, key=lambda n: (base[n], n))
     anchor = {n: k for k, n in enumerate(ranked)}
-    edges, _ = consensus_edges(track_votes(tracks, decided, frames), anchor)
-    place = {n: k for k, n in enumerate(stable_order(anchor, edges, anchor))}
+    pairs = {f: overlapping(own) for f, own in frames.items()}
+    edges, _ = consensus_edges(track_votes(tracks, decided, frames, pairs), anchor)
+    planned = stable_order(anchor, edges, anchor)
+    place = {n: k for k, n in enumerate(planned)}
     out = []
     for f, own in frames.items():
         here = [decided[r.frame, r.layer][0] for r in own]
-        z = z_indices(sorted(here, key=place.get), here)
+        z = z_indices(planned, stable_order(here, [(here[i], here[j]) for i, j in pairs[f]], place))
         for r, n in zip(own, here):
             _, phase, points, margin = decided[r.frame, r.layer]
             out.append((r.doc_id, r.frame, r.layer, n, place[n], display_name(tracks[n]), z[n], phase, points, margin))
@@ -189,14 +221,14 @@ def plan_document(pdf: pd.DataFrame, protect_new: bool = True) -> pd.DataFrame:
 
 
 def observations(layers: DataFrame, cels: DataFrame) -> DataFrame:
-    """Visible drawings per playback position: names, place, geometry and the hash of their content."""
+    """Visible drawings per playback position: names, place, geometry, the hash of their content and their drawn pixels."""
     named = layers.where("kind <> 'group' AND visible").withColumn("parsed", parsed_name(F.col("name")))
     named = named.select("doc_id", "source_layer_id", "child_ordinal", "parsed.normalized", "parsed.base", F.coalesce(F.col("parent_layer_id").cast("string"), F.lit("")).alias("path"))
-    seen = cels.where("pixels IS NOT NULL").select("doc_id", "source_layer_id", "frame_index", "x", "y", "width", "height", content_key().alias("content"))
+    seen = cels.where("pixels IS NOT NULL").select("doc_id", "source_layer_id", "frame_index", "x", "y", "width", "height", content_key().alias("content"), drawn_bits(F.col("pixels")).alias("alpha"))
     place = F.row_number().over(Window.partitionBy("doc_id", "frame_index").orderBy("child_ordinal", "source_layer_id")) - 1
     return seen.join(named, ["doc_id", "source_layer_id"]).select(
         "doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), place.cast("int").alias("place"), F.col("normalized").alias("name"),
-        "base", is_generic_name(F.col("base")).alias("generic"), "path", "x", "y", "width", "height", "content", F.lit(False).alias("locked"),
+        "base", is_generic_name(F.col("base")).alias("generic"), "path", "x", "y", "width", "height", "content", F.lit(False).alias("locked"), "alpha",
     )
 
 

@@ -93,6 +93,33 @@ def test_unique_names_and_pixels_come_before_scores():
     assert decided[1, 4][:2] == (decided[0, 1][0], "name") and decided[1, 3][:2] == (decided[0, 2][0], "pixels")
 
 
+Drawn = namedtuple("Drawn", [c.split()[0] for c in P.DRAWN.split(", ")])
+
+
+def drawn(f, layer, place, name, x=0, pixels="1111", **more):
+    """A drawing of 2 x 2 pixels, of which ``pixels`` says which are drawn."""
+    alpha = bytes([int(pixels.ljust(8, "0"), 2)])
+    row = Drawn(*[None] * len(Drawn._fields))._replace(doc_id="d", frame=f, layer=layer, place=place, name=name, base=name, generic=name.startswith("layer"), path="", x=x, y=0)
+    return row._replace(width=2, height=2, content=f"{pixels}{layer}", locked=False, alpha=alpha, **more)
+
+
+def test_overlap_is_of_drawn_pixels():
+    assert not P.alpha_overlap(drawn(0, 1, 0, "a", 0, "1010"), drawn(0, 2, 1, "b", 0, "0101"))
+    assert P.alpha_overlap(drawn(0, 1, 0, "a", 0, "1010"), drawn(0, 2, 1, "b", -1, "0101"))
+    assert not P.alpha_overlap(drawn(0, 1, 0, "a"), drawn(0, 2, 1, "b", 2))
+
+
+@pytest.mark.parametrize("second, z", [("0101", [0, 0]), ("1111", [1, -1])])
+def test_only_drawn_pixels_move_cels(second, z):
+    """Both frames' boxes overlap; the order changes in the second, which matters if pixels meet there."""
+    rows = [drawn(f, k, p, n, 0, b) for f, order in enumerate(("ab", "ab", "ba")) for p, n in enumerate(order) for k, b in [(10 * f + p, "1010" if n == "a" else second)]]
+    plan = P.plan_document(pd.DataFrame(rows)).set_index(["frame", "track_name"])
+    assert [plan.z_index[2, n] for n in "ab"] == z
+    tracks, decided = P.associate(rows, True)
+    votes = P.track_votes(tracks, decided, {f: [r for r in rows if r.frame == f] for f in range(3)})
+    assert votes == ({} if second == "0101" else {(0, 1): (2, 1)})
+
+
 def test_plan_of_a_document():
     out = P.plan_document(pd.DataFrame(document(7)))
     assert len(out) == len(document(7)) and list(out.columns) == [c.split()[0] for c in P.PLAN.split(", ")]
