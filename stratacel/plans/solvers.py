@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Hashable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Hashable, Iterable, Mapping, Sequence
 
 import numpy as np
 
@@ -160,10 +160,11 @@ def z_indices(current: Sequence, wanted: Sequence) -> dict:
     return out
 
 
-def uncross(assigned: list[tuple], order: Mapping, median: Mapping, scores: Mapping) -> list[tuple]:
-    """Swaps or drops assignments whose items and tracks stand in opposite orders.
+def uncross(assigned: list[tuple], order: Mapping, median: Mapping, scores: Mapping, overlap: Callable | None = None) -> list[tuple]:
+    """Swaps or drops assignments whose items overlap and stand in the opposite order of their tracks.
 
-    Equal medians don't cross, and swaps are bounded, so it always ends.
+    Without ``overlap``, a test of two items, all of them overlap. Of equal scores the first
+    assignment is dropped. Equal medians don't cross, and swaps are bounded, so it always ends.
     """
     pairs, swaps = list(assigned), 0
     while True:
@@ -173,6 +174,7 @@ def uncross(assigned: list[tuple], order: Mapping, median: Mapping, scores: Mapp
                 for i in range(len(pairs))
                 for j in range(i + 1, len(pairs))
                 if (order[pairs[i][0]] - order[pairs[j][0]]) * (median[pairs[i][1]] - median[pairs[j][1]]) < 0
+                and (overlap is None or overlap(pairs[i][0], pairs[j][0]))
             ),
             None,
         )
@@ -183,4 +185,4 @@ def uncross(assigned: list[tuple], order: Mapping, median: Mapping, scores: Mapp
             pairs[crossing[0]], pairs[crossing[1]] = (a, t), (b, s)
             swaps += 1
         else:
-            pairs.pop(crossing[0] if scores.get((a, s), 0) < scores.get((b, t), 0) else crossing[1])
+            pairs.pop(crossing[0] if scores.get((a, s), 0) <= scores.get((b, t), 0) else crossing[1])

@@ -171,7 +171,8 @@ def associate(rows: list, protect_new: bool) -> tuple[list[Track], dict]:
         points = {(r.layer, t.number): p for r in left for t in open_tracks() if (p := score(r, now[id(r)], t)) >= LEAST_SCORE}
         chosen, ambiguous = best_matching(points)
         own = {r.layer: r for r in left}
-        kept = uncross(sorted(chosen.items()), {k: now[id(r)] for k, r in own.items()}, {t.number: t.median for t in open_tracks()}, points)
+        at = {k: now[id(r)] for k, r in own.items()}
+        kept = uncross(sorted(chosen.items(), key=lambda c: at[c[0]]), at, {t.number: t.median for t in open_tracks()}, points, lambda a, b: alpha_overlap(own[a], own[b]))
         for layer, number in kept:
             others = sorted((p for (k, n), p in points.items() if k == layer and n != number), reverse=True)
             take(own[layer], tracks[number], "score", points[layer, number], max(0, points[layer, number] - (others[0] if others else 0)))

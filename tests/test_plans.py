@@ -120,6 +120,26 @@ def test_only_drawn_pixels_move_cels(second, z):
     assert votes == ({} if second == "0101" else {(0, 1): (2, 1)})
 
 
+def test_uncrossing_wants_overlap():
+    order, median, scores = {"a": 0, "b": 1}, {3: 9, 4: 2}, {("a", 3): 60, ("b", 4): 50}
+    crossing = [("a", 3), ("b", 4)]
+    assert Z.uncross(crossing, order, median, scores, lambda a, b: False) == crossing
+    assert Z.uncross(crossing, order, median, scores, lambda a, b: True) == [("a", 3)]
+    assert Z.uncross(crossing, order, median, {e: 50 for e in crossing}) == [("b", 4)]
+
+
+def reordered(step):
+    """Two named layers whose order changes in the second frame; names say which track is whose."""
+    first = [drawn(0, k, k, n, step * k) for k, n in enumerate(("arm 1", "leg 1"))]
+    second = [drawn(1, 10 + k, k, n, step * (1 - k)) for k, n in enumerate(("leg 2", "arm 2"))]
+    return [r._replace(base=r.name[:3], path=r.name[:3]) for r in first + second]
+
+
+def test_layers_that_change_order_beside_each_other_stay():
+    _, decided = P.associate(reordered(30), True)
+    assert decided[1, 10][:2] == (1, "score") and decided[1, 11][:2] == (0, "score")
+
+
 def test_plan_of_a_document():
     out = P.plan_document(pd.DataFrame(document(7)))
     assert len(out) == len(document(7)) and list(out.columns) == [c.split()[0] for c in P.PLAN.split(", ")]
