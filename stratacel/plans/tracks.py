@@ -7,6 +7,7 @@ a large one is a narrow table.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,8 +28,9 @@ from stratacel.plans.solvers import best_matching, consensus_edges, stable_order
 LEAST_SCORE = 40
 #: What an observation is known by.
 OBSERVATION = "doc_id string, frame int, layer bigint, place int, name string, base string, generic boolean, path string, x int, y int, width int, height int, content string, locked boolean"
-#: Besides: one bit per pixel that is drawn. Without it a drawing fills its box.
-DRAWN = OBSERVATION + ", alpha binary"
+#: Besides: one bit per pixel that is drawn, and the groups above, outermost first. Without the bits
+#: a drawing fills its box; without the groups nothing excludes it structurally.
+DRAWN = OBSERVATION + ", alpha binary, containers array<bigint>"
 PLAN = "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int, phase string, score int, margin int"
 
 
@@ -37,15 +39,19 @@ class Track:
     number: int
     seen: list = field(default_factory=list)  # observations, one per frame at most
     places: list = field(default_factory=list)
+    ordered: list = field(default_factory=list)
+    slots: set = field(default_factory=set)  # (parent, selecting group) of its observations
 
-    def add(self, row, place: int) -> None:
+    def add(self, row, place: int, slots: dict) -> None:
         self.seen.append(row)
         self.places.append(place)
+        insort(self.ordered, place)
+        self.slots.update(slots.items())
 
     @property
     def median(self) -> int:
         """The upper median of its places."""
-        return sorted(self.places)[len(self.places) // 2]
+        return self.ordered[len(self.ordered) // 2]
 
 
 def _ratio(a: int, b: int) -> int:
@@ -106,8 +112,41 @@ def anchor_frame(frames: dict) -> int:
     return min(frames, key=lambda f: (-sum(not r.generic for r in frames[f]), -len(frames[f]), f))
 
 
-def _unique(rows, tracks, key_of_row, keys_of_track) -> Iterator[tuple]:
-    """(row, track) where a key belongs to one row and one track only."""
+def _above(row) -> list:
+    groups = getattr(row, "containers", None)
+    return [] if groups is None else [int(g) for g in groups]
+
+
+def selecting_groups(rows: list) -> set:
+    """Groups that select frames: two siblings or more, no two of which show in one frame."""
+    active, siblings = defaultdict(set), defaultdict(set)
+    for r in rows:
+        for parent, group in zip([None, *_above(r)], _above(r)):
+            active[group].add(r.frame)
+            siblings[parent].add(group)
+    out: set = set()
+    for groups in siblings.values():
+        shown = [f for g in groups for f in active[g]]
+        if len(groups) >= 2 and len(shown) >= 2 and len(set(shown)) == len(shown):
+            out |= groups
+    return out
+
+
+def identity_allowed(row, track: Track) -> bool:
+    """A locked observation joins only the locked track of its own source layer (FLT-11)."""
+    first = track.seen[0]
+    return row.locked == first.locked and (not row.locked or row.layer == first.layer)
+
+
+def candidate_allowed(row, track: Track, slots: dict) -> bool:
+    """A generic name on either side wants groups that exclude each other structurally (FLT-12)."""
+    if row.generic or track.seen[0].generic:
+        return any(parent in slots and slots[parent] != group for parent, group in track.slots)
+    return True
+
+
+def _unique(rows, tracks, key_of_row, keys_of_track, admitted) -> Iterator[tuple]:
+    """(row, track) where a key belongs to one row and to one track only that is admitted."""
     owners = defaultdict(list)
     for t in tracks:
         for k in set(keys_of_track(t)):
@@ -115,16 +154,20 @@ def _unique(rows, tracks, key_of_row, keys_of_track) -> Iterator[tuple]:
     count = Counter(key_of_row(r) for r in rows)
     for r in rows:
         k = key_of_row(r)
-        if k is not None and count[k] == 1 and len(owners.get(k, ())) == 1:
-            yield r, owners[k][0]
+        able = [t for t in owners.get(k, ()) if admitted(r, t)] if k is not None and count[k] == 1 else []
+        if len(able) == 1:
+            yield r, able[0]
 
 
-def associate(rows: list, protect_new: bool) -> tuple[list[Track], dict]:
+def associate(rows: list, protect_new: bool, crossings: bool = False, by_source: bool = False) -> tuple[list[Track], dict]:
     """Tracks of one document, and (frame, layer) to (track, phase, score, margin).
 
     From the anchor frame on, wrapping: unique names, unique pixels, then the best assignment of
     what is left; an ambiguous or unlike observation begins a track. With ``protect_new`` two or
-    more generic names that appear for the first time together begin tracks of their own.
+    more generic names that appear for the first time together begin tracks of their own. No phase
+    takes a track by which an observation would change order with one that it overlaps (FLT-13),
+    except with ``crossings``, where z-indices are to make up for it. With ``by_source`` an
+    observation joins the one track that holds its source layer only, or begins one (JN-08).
     """
     frames: dict = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.frame, r.place)):
@@ -136,13 +179,17 @@ def associate(rows: list, protect_new: bool) -> tuple[list[Track], dict]:
     tracks: list[Track] = []
     decided: dict = {}
     known: set = set()
+    selecting = selecting_groups(rows)
+    slots = {(r.frame, r.layer): {p: g for p, g in zip([None, *_above(r)], _above(r)) if g in selecting} for r in rows}
     for f in order:
         now = {id(r): k for k, r in enumerate(frames[f])}
         free = set(range(len(tracks)))
         left = list(frames[f])
+        median = {t.number: t.median for t in tracks}
+        fixed: list = []  # (place, median of the track, observation) of what this frame has assigned
 
         def take(row, track, phase, points=0, margin=0):
-            track.add(row, now[id(row)])
+            track.add(row, now[id(row)], slots[row.frame, row.layer])
             free.discard(track.number)
             left.remove(row)
             decided[row.frame, row.layer] = (track.number, phase, points, margin)
@@ -155,24 +202,37 @@ def associate(rows: list, protect_new: bool) -> tuple[list[Track], dict]:
             for r in list(left):
                 begin(r, "anchor")
         open_tracks = lambda: [tracks[i] for i in sorted(free)]
-        locked = {t.seen[-1].layer: t for t in open_tracks()}
-        for r in [r for r in left if r.locked]:
-            begin(r, "new") if r.layer not in locked else take(r, locked[r.layer], "source")
-        for r, t in list(_unique(left, open_tracks(), lambda r: None if r.generic else r.name, lambda t: [s.name for s in t.seen])):
-            if t.number in free:
-                take(r, t, "name")
-        for r, t in list(_unique(left, open_tracks(), lambda r: r.content, lambda t: [s.content for s in t.seen])):
-            if t.number in free:
-                take(r, t, "pixels")
+        if by_source:
+            for r in list(left):
+                own = [t for t in open_tracks() if all(s.layer == r.layer for s in t.seen)]
+                take(r, own[0], "source") if len(own) == 1 else begin(r, "new")
+
+        def safe(row, track):
+            place, at = now[id(row)], median[track.number]
+            return crossings or not any((place - p) * (at - m) < 0 and alpha_overlap(row, r) for p, m, r in fixed)
+
+        def admitted(row, track):
+            return track.number in free and identity_allowed(row, track) and safe(row, track)
+
+        def keep(row, track, phase):
+            fixed.append((now[id(row)], median[track.number], row))
+            take(row, track, phase)
+
+        for r, t in _unique(list(left), open_tracks(), lambda r: None if r.generic else r.name, lambda t: [s.name for s in t.seen], admitted):
+            keep(r, t, "name")
+        for r, t in _unique(list(left), open_tracks(), lambda r: r.content, lambda t: [s.content for s in t.seen], admitted):
+            keep(r, t, "pixels")
         fresh = [r for r in left if r.generic and r.name not in known]
         if protect_new and len(fresh) >= 2:
             for r in fresh:
                 begin(r, "new")
-        points = {(r.layer, t.number): p for r in left for t in open_tracks() if (p := score(r, now[id(r)], t)) >= LEAST_SCORE}
+        able = [(r, t) for r in left for t in open_tracks() if t.seen[-1].frame != f and candidate_allowed(r, t, slots[f, r.layer]) and admitted(r, t)]
+        points = {(r.layer, t.number): p for r, t in able if (p := score(r, now[id(r)], t)) >= LEAST_SCORE}
         chosen, ambiguous = best_matching(points)
         own = {r.layer: r for r in left}
         at = {k: now[id(r)] for k, r in own.items()}
-        kept = uncross(sorted(chosen.items(), key=lambda c: at[c[0]]), at, {t.number: t.median for t in open_tracks()}, points, lambda a, b: alpha_overlap(own[a], own[b]))
+        kept = sorted(chosen.items(), key=lambda c: at[c[0]])
+        kept = kept if crossings else uncross(kept, at, {t.number: t.median for t in open_tracks()}, points, lambda a, b: alpha_overlap(own[a], own[b]))
         for layer, number in kept:
             others = sorted((p for (k, n), p in points.items() if k == layer and n != number), reverse=True)
             take(own[layer], tracks[number], "score", points[layer, number], max(0, points[layer, number] - (others[0] if others else 0)))
@@ -197,10 +257,10 @@ def display_name(track: Track) -> str:
     return names[0] if len(names) == 1 else f"{names[0]} / {names[1]}" + (" …" if len(names) > 2 else "")
 
 
-def plan_document(pdf: pd.DataFrame, protect_new: bool = True) -> pd.DataFrame:
+def plan_document(pdf: pd.DataFrame, protect_new: bool = True, crossings: bool = False) -> pd.DataFrame:
     """The plan of one document: its tracks, their order, and the z-indices of their cels."""
     rows = list(pdf.itertuples(index=False))
-    tracks, decided = associate(rows, protect_new)
+    tracks, decided = associate(rows, protect_new, crossings)
     frames: dict = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.frame, r.place)):
         frames[r.frame].append(r)
@@ -221,23 +281,41 @@ def plan_document(pdf: pd.DataFrame, protect_new: bool = True) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
 
 
+def groups_above(layers: DataFrame) -> DataFrame:
+    """doc_id, source_layer_id, containers: the ids of the groups above each layer, outermost first."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent = {int(k): None if pd.isna(p) else int(p) for k, p in zip(pdf.source_layer_id, pdf.parent_layer_id)}
+        out = []
+        for k in parent:
+            above, at = [], parent[k]
+            while at is not None and at not in above:  # a cycle ends
+                above.append(at)
+                at = parent.get(at)
+            out.append((pdf.doc_id.iloc[0], k, above[::-1]))
+        return pd.DataFrame(out, columns=["doc_id", "source_layer_id", "containers"])
+
+    return layers.select("doc_id", "source_layer_id", "parent_layer_id").groupBy("doc_id").applyInPandas(one, "doc_id string, source_layer_id bigint, containers array<bigint>")
+
+
 def observations(layers: DataFrame, cels: DataFrame) -> DataFrame:
     """Visible drawings per playback position: names, place, geometry, the hash of their content and their drawn pixels."""
     named = layers.where("kind <> 'group' AND visible").withColumn("parsed", parsed_name(F.col("name")))
     named = named.select("doc_id", "source_layer_id", "child_ordinal", "parsed.normalized", "parsed.base", F.coalesce(F.col("parent_layer_id").cast("string"), F.lit("")).alias("path"))
+    named = named.join(groups_above(layers), ["doc_id", "source_layer_id"])
     seen = cels.where("pixels IS NOT NULL").select("doc_id", "source_layer_id", "frame_index", "x", "y", "width", "height", content_key().alias("content"), drawn_bits(F.col("pixels")).alias("alpha"))
     place = F.row_number().over(Window.partitionBy("doc_id", "frame_index").orderBy("child_ordinal", "source_layer_id")) - 1
     return seen.join(named, ["doc_id", "source_layer_id"]).select(
         "doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), place.cast("int").alias("place"), F.col("normalized").alias("name"),
-        "base", is_generic_name(F.col("base")).alias("generic"), "path", "x", "y", "width", "height", "content", F.lit(False).alias("locked"), "alpha",
+        "base", is_generic_name(F.col("base")).alias("generic"), "path", "x", "y", "width", "height", "content", F.lit(False).alias("locked"), "alpha", "containers",
     )
 
 
-def plan_tracks(observed: DataFrame, protect_new: bool = True) -> DataFrame:
+def plan_tracks(observed: DataFrame, protect_new: bool = True, crossings: bool = False) -> DataFrame:
     """``plan_document`` for every document; see ``PLAN`` for the columns."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return plan_document(pdf, protect_new)
+        return plan_document(pdf, protect_new, crossings)
 
     return observed.groupBy("doc_id").applyInPandas(one, PLAN)
 

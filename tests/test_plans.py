@@ -113,9 +113,9 @@ def test_overlap_is_of_drawn_pixels():
 def test_only_drawn_pixels_move_cels(second, z):
     """Both frames' boxes overlap; the order changes in the second, which matters if pixels meet there."""
     rows = [drawn(f, k, p, n, 0, b) for f, order in enumerate(("ab", "ab", "ba")) for p, n in enumerate(order) for k, b in [(10 * f + p, "1010" if n == "a" else second)]]
-    plan = P.plan_document(pd.DataFrame(rows)).set_index(["frame", "track_name"])
+    plan = P.plan_document(pd.DataFrame(rows), crossings=True).set_index(["frame", "track_name"])
     assert [plan.z_index[2, n] for n in "ab"] == z
-    tracks, decided = P.associate(rows, True)
+    tracks, decided = P.associate(rows, True, crossings=True)
     votes = P.track_votes(tracks, decided, {f: [r for r in rows if r.frame == f] for f in range(3)})
     assert votes == ({} if second == "0101" else {(0, 1): (2, 1)})
 
@@ -140,6 +140,32 @@ def test_layers_that_change_order_beside_each_other_stay():
     assert decided[1, 10][:2] == (1, "score") and decided[1, 11][:2] == (0, "score")
 
 
+def test_generic_names_want_groups_that_exclude_each_other():
+    make = lambda groups: [drawn(0, 1, 0, "layer 1", containers=[5]), drawn(1, 2, 0, "layer 2", containers=groups)]
+    assert P.associate(make([6]), True)[1][1, 2][:2] == (0, "score")
+    assert P.associate(make([5]), True)[1][1, 2][:2] == (1, "new")
+
+
+def swapped(x, names, contents):
+    rows = [drawn(f, 10 * f + k, k, n, x * i) for f, order in enumerate(((0, 1), (1, 0))) for k, i in enumerate(order) for n in [names[f][i]]]
+    return [r._replace(base=r.name[:3], content=c) for r, c in zip(rows, contents)]
+
+
+@pytest.mark.parametrize("names, contents, phase", [(("ab", "ab"), "pqrs", "name"), (("ab", "cd"), "pqqp", "pixels")])
+def test_no_phase_reverses_what_overlaps(names, contents, phase):
+    beside, over = (P.associate(swapped(x, names, contents), True)[1] for x in (30, 1))
+    assert beside[1, 10][:2] == (1, phase) and beside[1, 11][:2] == (0, phase)
+    assert over[1, 10][:2] == (1, phase) and over[1, 11][1] != phase
+    assert P.associate(swapped(1, names, contents), True, crossings=True)[1] == {**beside}
+
+
+def test_source_identity_looks_at_all_past_cels():
+    rows = [drawn(0, 1, 0, "a"), drawn(1, 2, 0, "a"), drawn(2, 1, 0, "a")]
+    assert [P.associate(rows, True, by_source=True)[1][k][:2] for k in ((0, 1), (1, 2), (2, 1))] == [(0, "anchor"), (1, "new"), (0, "source")]
+    locked = [r._replace(locked=r.frame == 1) for r in rows]
+    assert P.associate(locked, True)[1][1, 2][:2] == (1, "new")
+
+
 def test_plan_of_a_document():
     out = P.plan_document(pd.DataFrame(document(7)))
     assert len(out) == len(document(7)) and list(out.columns) == [c.split()[0] for c in P.PLAN.split(", ")]
