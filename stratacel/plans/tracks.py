@@ -41,12 +41,20 @@ class Track:
     places: list = field(default_factory=list)
     ordered: list = field(default_factory=list)
     slots: set = field(default_factory=set)  # (parent, selecting group) of its observations
+    names: set = field(default_factory=set)
+    contents: set = field(default_factory=set)
+    paths: set = field(default_factory=set)
+    boxes: dict = field(default_factory=dict)  # place and size to an observation that has them
 
     def add(self, row, place: int, slots: dict) -> None:
         self.seen.append(row)
         self.places.append(place)
         insort(self.ordered, place)
         self.slots.update(slots.items())
+        self.names.add(row.name)
+        self.contents.add(row.content)
+        self.paths.add(row.path)
+        self.boxes[row.x, row.y, row.width, row.height] = row
 
     @property
     def median(self) -> int:
@@ -101,9 +109,9 @@ def score(row, place: int, track: Track) -> int:
     named = not row.generic and not last.generic
     name = 20 if named and row.name == last.name else 5 if row.base == last.base else 0
     order = max(0, 20 - 4 * min(abs(place - track.median), 5))
-    group = max(_group(row.path, s.path) for s in track.seen)
-    geometry = max(_geometry(row, s) for s in track.seen)
-    pixels = 10 if any(row.content == s.content for s in track.seen) else 0
+    group = max(_group(row.path, p) for p in track.paths)
+    geometry = max(_geometry(row, s) for s in track.boxes.values())
+    pixels = 10 if row.content in track.contents else 0
     return min(100, 100 * (name + group + order + geometry + pixels) // (90 if named else 70))
 
 
@@ -148,10 +156,10 @@ def candidate_allowed(row, track: Track, slots: dict) -> bool:
 def _unique(rows, tracks, key_of_row, keys_of_track, admitted) -> Iterator[tuple]:
     """(row, track) where a key belongs to one row and to one track only that is admitted."""
     owners = defaultdict(list)
+    count = Counter(key_of_row(r) for r in rows)
     for t in tracks:
-        for k in set(keys_of_track(t)):
+        for k in count.keys() & keys_of_track(t):
             owners[k].append(t)
-    count = Counter(key_of_row(r) for r in rows)
     for r in rows:
         k = key_of_row(r)
         able = [t for t in owners.get(k, ()) if admitted(r, t)] if k is not None and count[k] == 1 else []
@@ -218,9 +226,9 @@ def associate(rows: list, protect_new: bool, crossings: bool = False, by_source:
             fixed.append((now[id(row)], median[track.number], row))
             take(row, track, phase)
 
-        for r, t in _unique(list(left), open_tracks(), lambda r: None if r.generic else r.name, lambda t: [s.name for s in t.seen], admitted):
+        for r, t in _unique(list(left), open_tracks(), lambda r: None if r.generic else r.name, lambda t: t.names, admitted):
             keep(r, t, "name")
-        for r, t in _unique(list(left), open_tracks(), lambda r: r.content, lambda t: [s.content for s in t.seen], admitted):
+        for r, t in _unique(list(left), open_tracks(), lambda r: r.content, lambda t: t.contents, admitted):
             keep(r, t, "pixels")
         fresh = [r for r in left if r.generic and r.name not in known]
         if protect_new and len(fresh) >= 2:
