@@ -2,29 +2,34 @@
 
 Every position after a closing mark is decided by ordered pairs of regular expressions, one for the
 text before and one for the text after; the first pair that fits says break or no break. The pairs
-stand in tables that cascade: what holds for all languages, the languages of the text's script,
-then the defaults. Markup is replaced by stand-ins of equal length first, so positions are those of
-the whole text.
+stand in tables that cascade: what the quotations and brackets around a mark say, lines of one case,
+what holds for all languages, the languages of the text's script, then the defaults. Which tables
+apply follows from the script, the stated language, the case of the line and the quotation or
+bracket that the mark closes. Markup is replaced by stand-ins of equal length first, so positions
+are those of the whole text.
+
+No rule looks through a window: pairs see the line on both sides. The text before is matched
+backwards from the position, so a pair costs what it matches, and a line is gone over once.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacel.llm.markup import FILE, LINK_CLOSE, LINK_OPEN, PIECE, QUOTE, STANDINS, UNSEEN, masked
 from stratacel.session import spread
 
-#: Characters before and after a position that the rules may look at.
-REACH = 20
-
 _ALNUM = re.compile(r"[^\W_]")
 _HEADING = re.compile(r"\s*=+[^=].*=\s*$|\s*=+\s*$")
 _REDIRECT = re.compile(r"\s*#\s*(?:redirect|weiterleitung|redirection|redirección|перенаправление|重定向|転送|تحويل|पुनर्प्रेषित|เปลี่ยนทาง)\b", re.I)
@@ -33,30 +38,35 @@ _MARKER = re.compile(r"\s*(?:[*#:;]+\s*|-{4,}\s*)?")
 _BLANK = " \t\r\f\v  ᠎             　﻿​"
 _HIDDEN = re.compile(f"[{STANDINS}]+")
 _SEEN = re.compile(f"[^{STANDINS}]+")
+_ANY_SEEN = re.compile(f"[^{STANDINS}]")
+_LINK_EDGE = re.compile(f"{LINK_OPEN}+|{LINK_CLOSE}+")
 #: Closing marks of sentences.
 MARKS = ".!?…。！？．।॥؟۔｡"
 #: Closing quotation marks and brackets that may follow a mark.
 CLOSERS = "\"'”’»›)]）」』】》〉］｣"
 _CANDIDATE = re.compile(rf"(?!(?<=[0-9])\.[0-9])(?!\.[a-z])[{re.escape(MARKS)}]+(?:[   ]?»|[{re.escape(CLOSERS)}]|[“‘](?=[\s{re.escape(MARKS)},;:]|$))*")
 _THAI = re.compile(r"(?<=[฀-๿])[  　]+(?=[฀-๿])")
-_ADDRESS = re.compile(r"(?:https?://|www\.|ftp://)[^\s<>\"“”«»]+|[\w.+-]+@[\w-]+\.[\w.-]+|[\w-]+\.[\w-]+/[^\s<>\"“”«»]+", re.I)
+_ADDRESS = re.compile(r"(?:https?://|www\.|ftp://)[^\s<>\"“”«»]+|(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.-]+|(?<![\w-])[\w-]++\.[\w-]++/[^\s<>\"“”«»]+", re.I)
 _PAIR = re.compile(r"[()（）\[\]“”„«»‘’「」『』\"]")
 _CLOSE_OF = {"(": ")", "（": "）", "[": "]", "„": "“”", "“": "”", "«": "»", "‘": "’", "「": "」", "『": "』"}
-_DASH = re.compile(r"\s*[—–]\s")
+_CLOSES = set("".join(_CLOSE_OF.values()))
 #: What stands before a quotation that a colon introduces.
-_INTRODUCED = re.compile(r"[:：]\s*$")
+_INTRODUCED = regex.compile(r"(?r)[:：]\s*")
 
 
 class Rule(NamedTuple):
-    """Whether a position breaks whose text before and after fit; the first fitting rule decides."""
+    """Whether a position breaks whose text before and after fit; the first fitting rule decides.
+
+    ``before`` is matched backwards from the position, ``after`` forwards; none fits everything.
+    """
 
     breaks: bool
-    before: re.Pattern
-    after: re.Pattern
+    before: regex.Pattern | None
+    after: re.Pattern | None
 
 
 def _rules(*rows: tuple[bool, str, str]) -> list[Rule]:
-    return [Rule(b, re.compile(f"(?:{before})$"), re.compile(after)) for b, before, after in rows]
+    return [Rule(b, regex.compile(f"(?r)(?:{before})") if before else None, re.compile(after) if after else None) for b, before, after in rows]
 
 
 def _words(text: str, blanks: bool = True) -> str:
@@ -69,6 +79,9 @@ def _words(text: str, blanks: bool = True) -> str:
 _LOWER = r"[a-zß-öø-ÿœа-яёα-ω]"
 _UPPER = r"[A-ZÀ-ÖØ-ÞŒА-ЯЁΑ-Ω]"
 _OPEN = r"[“„«‘\"'(\[（「『¿¡]"
+_SPACELESS_LETTER = r"[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]"
+#: A question or exclamation mark with the marks and closing marks of the same position.
+_ASKED = rf"[!?！？][{re.escape(MARKS)}]*(?:\s?»|[{re.escape(CLOSERS)}])*"
 
 #: Abbreviations before names or explanations, which end no sentence.
 BOUND = {
@@ -112,7 +125,6 @@ ORDINAL = {
 _LATIN, _CYRILLIC = ("en", "de", "fr", "es"), ("ru",)
 
 
-
 def _loose(name: str) -> str:
     parts = f"|{_words(LOOSE_PARTS[name])}" if name in LOOSE_PARTS else ""
     return f"(?:{_words(LOOSE[name], False)}{parts})"
@@ -123,7 +135,7 @@ COMMON = _rules(
     (False, r"(?:…|\.{2,}|。{2,})", rf"\s*(?:{_LOWER}|[぀-ヿ㐀-鿿])"),  # an ellipsis after which it goes on
     (False, r"", r"\s*[,;，；、،؛]|[:：]"),
     (False, r"", rf"\s*[—–-]+\s+{_LOWER}"),  # speech, then who speaks
-    (False, rf"[!?！？][^\w\s]*(?:\s?»|[”’\"“‘)）」』›])", rf"\s*{_LOWER}"),  # a quotation, then who speaks
+    (False, rf"{_ASKED}(?:\s?»|[”’\"“‘)）」』›])", rf"\s*{_LOWER}"),  # a quotation, then who speaks
     (False, r"[^\W\d_]\.[)）]", rf"\s*{_LOWER}"),  # an abbreviation at the end of a bracket
 )
 ABBREVIATIONS = {
@@ -140,7 +152,7 @@ ABBREVIATIONS = {
 SINGLE = _rules(
     (True, rf"\d\s?[^\W\d_]\.", rf"\s*(?:{_UPPER}|{_OPEN})"),  # a unit, a year or a century after its number
     (False, r"(?<![^\W_])[^\W\d_]\.", r"\s*(?:[^\W_]|[\-–(])"),  # an initial or a shortened word
-    (False, rf"(?<![^\W_])(?:[^\W\d_]\.){{2,}}", rf"\s*(?:{_LOWER}|\d)"),
+    (False, rf"(?<![^\W_])(?:[^\W\d_]\.){{2}}", rf"\s*(?:{_LOWER}|\d)"),
 )
 SPACELESS = _rules(
     (True, r"[。！？｡．][”’」』）》】]*", r"\s*$"),
@@ -150,7 +162,7 @@ DEFAULTS = _rules(
     (True, r"[।॥؟۔。！？｡]\S{0,3}", r""),
     (True, r"", r"\s"),
     (True, r"", rf"(?:{_UPPER}|{_OPEN}|[֐-๿぀-鿿가-힯])"),
-    (True, r"[!?…][^\w\s]*", r"\d"),
+    (True, rf"[!?…][{re.escape(MARKS)}]*[{re.escape(CLOSERS)}]*", r"\d"),
     (True, rf"(?:{_LOWER}{{2}}|\d{{2}}|[؀-๿])\.", rf"\d{{4}}\b"),
     (False, r"", r""),
 )
@@ -174,36 +186,95 @@ def _script(char: str) -> str:
     return "other"
 
 
-#: Last parts of all abbreviations, for words that need no look at the tables.
-_SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE, LOOSE_PARTS, {"": "Sr"}) for words in table.values() for w in words.split()}
-_SHORT |= {"".join(c for c in unicodedata.normalize("NFD", w) if ord(c) < 0x300 or ord(c) > 0x36F) for w in _SHORT}
-_WORD_END = re.compile(r"[^\W\d_]{2,}$")
-_PLAIN = re.compile(rf"\s+{_UPPER}{_LOWER}")
-_CASCADES: dict[tuple[str, str, bool], list[Rule]] = {}
-#: An ellipsis in a text without capitals, unless a conjunction shows that it goes on.
-_FLAT_ELLIPSIS = re.compile(r"(?:…|\.{3})$")
-_JOINS = re.compile(r"\s*(?:or|and|but|oder|und|aber|ou|et|mais|o|y|e|pero|или|и|а|но)\b", re.I)
-#: Abbreviations that end no sentence in a text of capitals only, where a capital tells nothing.
-_CAPITALS_LOOSE = re.compile("(?<![^\\W_])(?:" + "|".join(_loose(n) for n in LOOSE) + r")\.$")
-_CAPITALS_FINAL = re.compile("(?<![^\\W_])(?:" + "|".join(_words(FINAL[n], False) for n in FINAL) + r")\.$")
+#: After the last mark of a line, and where a mark stands in a quotation or bracket that goes on.
+END = _rules((True, r"", r"\s*$"))
+HELD = _rules((False, r"", r""))
+#: What a quotation or bracket that closes with the mark says, by what stands before it: a colon, nothing, or words.
+SPAN_SPACELESS = {
+    "introduced": _rules((True, r"", r"\s*[^\s\x00-\u024f\u1e00-\u1eff]")),
+    "bracket alone": _rules((True, r"", r"\s*[^\s\x00-\u024f\u1e00-\u1eff]")),
+    "other": _rules((False, r"", r"\s*[^\s\x00-\u024f\u1e00-\u1eff]")),
+}
+SPAN = {
+    "bracket alone": _rules((False, r"", _SPACELESS_LETTER), (True, r"[)\]]", r"")),
+    "other": _rules((False, r"", _SPACELESS_LETTER)),
+}
+_ANY_LOOSE = "(?<![^\\W_])(?:" + "|".join(_loose(n) for n in LOOSE) + r")\."
+_ANY_FINAL = "(?<![^\\W_])(?:" + "|".join(_words(FINAL[n], False) for n in FINAL) + r")\."
+_ELLIPSIS = r"(?:…|\.{3})"
+_JOINS = r"\s*(?i:or|and|but|oder|und|aber|ou|et|mais|o|y|e|pero|или|и|а|но)\b"
+#: Lines of one case, where no capital tells where a sentence begins: an ellipsis ends one unless a conjunction follows.
+FLAT = _rules((True, _ANY_FINAL, r""), (False, _ELLIPSIS, _JOINS), (True, _ELLIPSIS, r""))
+FLAT_SPAN = {
+    "ends": _rules((True, _ASKED, r"(?!\s*[—–]\s)")),
+    "goes on": _rules((False, _ASKED, r"(?!\s*[—–]\s)")),
+}
+CAPITALS = _rules((False, _ANY_LOOSE, r""), (False, r"", r"\s*[—–]\s"))
+
+
+class Context(NamedTuple):
+    """What decides which tables a position cascades through."""
+
+    script: str
+    lang: str
+    shortened: bool  # the mark may end an abbreviation
+    case: str  # of the line: "mixed", "upper" or "lower"
+    span: str  # of the quotation or bracket that closes with the mark: "", "introduced", "alone" or "inner"
+    bracket: str  # with which it opens: "", "ascii", "wide" or "quotation"
+
 
+_CASCADES: dict[Context, list[Rule]] = {}
 
-def cascade(script: str, lang: str, shortened: bool) -> list[Rule]:
-    """The tables in their order: common, the stated language, the other languages of the script, defaults.
+
+def cascade(context: Context) -> list[Rule]:
+    """The tables in their order: ends of lines, quotations and brackets, lines of one case, common
+    ones, the stated language, the other languages of the script, defaults.
 
     A stated language counts only where the script allows it, as labels can be wrong. The tables of
     abbreviations are left out where what stands before the mark can't be one.
     """
-    if (script, lang, shortened) not in _CASCADES:
-        names = sorted(_BY_SCRIPT[script], key=lambda n: n != lang)
-        own = [r for n in names for r in ABBREVIATIONS[n]] + SINGLE if shortened else []
-        _CASCADES[script, lang, shortened] = [*COMMON, *(SPACELESS if script == "spaceless" else []), *own, *DEFAULTS]
-    return _CASCADES[script, lang, shortened]
+    if context not in _CASCADES:
+        script, lang, shortened, case, span, bracket = context
+        tables = [END]
+        if span:
+            alone = span == "alone" and bracket in ("ascii", "wide")
+            if script == "spaceless":
+                tables.append(SPAN_SPACELESS["introduced" if span == "introduced" else "bracket alone" if alone else "other"])
+            tables.append(SPAN["bracket alone" if span == "alone" and bracket == "ascii" else "other"])
+        if case != "mixed" and script in ("latin", "cyrillic"):
+            tables.append(FLAT)
+            if span:
+                tables.append(FLAT_SPAN["ends" if span == "introduced" or bracket == "ascii" else "goes on"])
+            if case == "upper":
+                tables.append(CAPITALS)
+        tables.append(COMMON)
+        if script == "spaceless":
+            tables.append(SPACELESS)
+        if shortened:
+            tables.extend(ABBREVIATIONS[n] for n in sorted(_BY_SCRIPT[script], key=lambda n: n != lang))
+            tables.append(SINGLE)
+        tables.append(DEFAULTS)
+        _CASCADES[context] = [rule for rules in tables for rule in rules]
+    return _CASCADES[context]
+
+
+def _first_fit(rules: list[Rule], line: str, at: int) -> bool:
+    for breaks, before, after in rules:
+        if (after is None or after.match(line, at)) and (before is None or before.match(line, 0, at)):
+            return breaks
+    return True
+
+
+#: Last parts of all abbreviations: a longer or other word before a full stop needs no table of them.
+_SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE, LOOSE_PARTS, {"": "Sr"}) for words in table.values() for w in words.split()}
+_SHORT |= {"".join(c for c in unicodedata.normalize("NFD", w) if ord(c) < 0x300 or ord(c) > 0x36F) for w in _SHORT}
+#: A whole word before a capital: with a mark that no table of abbreviations knows, it breaks by the defaults.
+_PLAIN = re.compile(rf"\s+{_UPPER}{_LOWER}")
 
 
 def _spans(line: str) -> list[tuple[int, int]]:
-    """(open, close) of the quotations and brackets that close in the line."""
-    out, stack = [], []
+    """(open, close) of the quotations and brackets that close in the line, outer ones first."""
+    out, stack, awaited = [], [], Counter()  # awaited: closing characters to the open ones they would close
     for match in _PAIR.finditer(line):
         char, at = match.group(), match.start()
         if char == '"':
@@ -212,108 +283,105 @@ def _spans(line: str) -> list[tuple[int, int]]:
             else:
                 stack.append(('"', at))
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if char in _CLOSE_OF.get(stack[k][0], ""):
-                if char == "’" and line[at + 1 : at + 2].isalpha() and line[at - 1 : at].isalpha():
-                    break  # an apostrophe
-                out.append((stack[k][1], at))
-                del stack[k:]
-                break
-        else:
-            if char in _CLOSE_OF:
-                stack.append((char, at))
+        if char == "’" and line[at + 1 : at + 2].isalpha() and line[at - 1 : at].isalpha():
+            continue  # an apostrophe
+        if awaited[char] > 0:
+            while True:
+                opened, begin = stack.pop()
+                awaited.subtract(_CLOSE_OF.get(opened, ""))
+                if char in _CLOSE_OF.get(opened, ""):
+                    out.append((begin, at))
+                    break
+        elif char in _CLOSE_OF:
+            stack.append((char, at))
+            awaited.update(_CLOSE_OF[char])
     return sorted(out)
 
 
+def _letters_around(line: str, found: list[tuple[int, int]]) -> list[str]:
+    """The letter nearest before each mark, else the nearest after it, by which its script is known."""
+    out, last, at = [], "", 0
+    for a, b in found:
+        last = next((c for c in reversed(line[at:a]) if c.isalpha()), last)
+        out.append(last)
+        at = b
+    if found and not out[0]:
+        after = next((c for c in line[found[0][1] :] if c.isalpha()), "a")
+        out = [c or after for c in out]
+    return out
+
+
 def _breaks(line: str, lang: str) -> list[int]:
-    """Positions after which a new sentence begins, in a line without markup."""
+    """Positions after which a new sentence begins, in a line without markup.
+
+    One sweep over the marks and the quotations and brackets in their order. What closes with a
+    mark is decided where it opens, as all that it depends on lies before: then a mark inside knows
+    whether its sentence can end there.
+    """
     found = [m.span() for m in _CANDIDATE.finditer(line)]
     if not found:
         return []
-    plain = line
     if "/" in line or "www" in line.lower() or "@" in line:  # marks inside addresses aren't marks
-        hidden = [False] * len(line)
+        hidden = bytearray(len(line))
         for match in _ADDRESS.finditer(line):
             end = match.end()
             while end > match.start() and line[end - 1] in ".,;:!?)…'’”\"":
                 end -= 1
-            hidden[match.start() : end] = [True] * (end - match.start())
+            hidden[match.start() : end] = b"\1" * (end - match.start())
         found = [(a, b) for a, b in found if not hidden[a]]
     spans = _spans(line) if _PAIR.search(line) else []
-    closing = {}  # a span's end to the candidate whose closers hold it
-    for k, (a, b) in enumerate(found):
-        for _, close in spans:
-            if a < close < b:
-                closing[close] = k
+    starts = [a for a, _ in found]
+    closing, own = {}, {}  # a span's end to the mark that it closes with; a mark to its outermost such span
+    for lo, close in spans:
+        k = bisect_left(starts, close) - 1
+        if k >= 0 and close < found[k][1]:
+            closing[close] = k
+            own.setdefault(k, lo)
+    letters = _letters_around(line, found)
+    case = "upper" if line.isupper() else "lower" if line.islower() else "mixed"
     known: dict[int, bool] = {}
-    upper = line.isupper()
-    flat = upper or line.islower()
-
-    def sentence_start(at: int) -> int:
-        """Where the sentence of a position begins, as far as it is decided."""
-        begin = 0
-        for k, (_, b) in enumerate(found):
-            if b <= at and known.get(k):
-                begin = b
-        return begin
+    open_spans: list[tuple[int, bool]] = []  # end, and whether a sentence may end inside
+    begin = passed = 0  # where the sentence begins; marks whose place is reached
 
     def decide(k: int) -> bool:
-        if k in known:
-            return known[k]
-        known[k] = False  # a span can't depend on itself
         a, b = found[k]
-        result = None
-        for lo, close in spans:
-            if lo < a and close >= b:  # inside: does the sentence end with the span?
-                if close not in closing or not decide(closing[close]):
-                    result = False
-                    break
-        if result is None:
-            result = rule(k, a, b)
-        known[k] = result
-        return result
+        for close, free in reversed(open_spans):
+            if close >= b:
+                return free and rule(k, a, b)
+        return rule(k, a, b)
 
     def rule(k: int, a: int, b: int) -> bool:
-        if b == a + 1 and plain[a] in ".!?" and _PLAIN.match(plain, b):  # a whole word before a capital
-            word = _WORD_END.search(plain, max(0, a - 16), a)
-            if plain[a] != "." or word and word.group().lower() not in _SHORT:
-                return True  # as the tables say
-        rest = plain[b : b + REACH]
-        if not rest.strip():
+        first = a
+        if line[a] == ".":
+            while first and line[first - 1].isalpha():
+                first -= 1
+        shortened = line[a] == "." and (a - first < 2 or line[first:a].lower() in _SHORT)
+        if b == a + 1 and line[a] in ".!?" and not shortened and _PLAIN.match(line, b):
             return True
-        own = [lo for lo, close in spans if a < close < b]
-        around = next((c for c in reversed(plain[max(0, a - 12) : a]) if c.isalpha()), None) or next((c for c in rest if c.isalpha()), "a")
-        script = _script(around)
-        if own and script == "spaceless" and _script(rest.lstrip()[0]) != "latin":
-            lo = min(own)
-            if _INTRODUCED.search(plain[:lo]):
-                return True  # a colon, then what was said
-            # a bracket that is a sentence of its own, or a quotation after which it goes on
-            return plain[lo] in "(（[" and not plain[sentence_start(lo) : lo].strip()
-        if own and rest[:1].isalpha() and _script(rest[0]) == "spaceless":
-            return False
-        if own and plain[min(own)] in "([" and plain[b - 1] in ")]" and not plain[sentence_start(min(own)) : min(own)].strip():
-            return True  # a sentence of its own in brackets
-        text = plain[max(0, a - REACH) : b]
-        word = _WORD_END.search(plain, max(0, a - 16), a)
-        shortened = plain[a] == "." and not (word and word.group().lower() not in _SHORT)
-        if flat and script in ("latin", "cyrillic"):  # no capital tells where a sentence begins
-            if _CAPITALS_FINAL.search(text):
-                return True
-            if _FLAT_ELLIPSIS.search(text):
-                return not _JOINS.match(rest)
-            if own and plain[a] in "!?" and not _DASH.match(rest):
-                return bool(_INTRODUCED.search(plain[: min(own)])) or plain[min(own)] in "(["
-            if upper and _CAPITALS_LOOSE.search(text):
-                return False
-            if upper and _DASH.match(rest):
-                return False
-        for breaks, before, after in cascade(script, lang, shortened):
-            if after.match(rest) and before.search(text):
-                return breaks
-        return True
-
-    return [b for k, (_, b) in enumerate(found) if decide(k)]
+        span = bracket = ""
+        if k in own:
+            lo = own[k]
+            bracket = {"(": "ascii", "[": "ascii", "（": "wide"}.get(line[lo], "quotation")
+            span = "introduced" if _INTRODUCED.match(line, 0, lo) else "inner" if line[begin:lo].strip() else "alone"
+        return _first_fit(cascade(Context(_script(letters[k]), lang, shortened, case, span, bracket)), line, b)
+
+    events = sorted([(lo, 0, i) for i, (lo, _) in enumerate(spans)] + [(a, 1, k) for k, a in enumerate(starts)])
+    for at, is_mark, i in events:
+        while open_spans and open_spans[-1][0] < at:
+            open_spans.pop()
+        while passed < len(found) and found[passed][1] <= at:
+            begin = found[passed][1] if known[passed] else begin
+            passed += 1
+        if is_mark:
+            if i not in known:
+                known[i] = decide(i)
+            continue
+        close = spans[i][1]
+        k = closing.get(close)
+        if k is not None and k not in known:
+            known[k] = decide(k)
+        open_spans.append((close, k is not None and known[k]))
+    return [b for k, (_, b) in enumerate(found) if known[k]]
 
 
 def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]]:
@@ -326,13 +394,14 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
         where, text = None, line
     cuts = set(_breaks(text, lang))
     cuts |= {m.start() for m in _THAI.finditer(text)}
+    edges = [(m.start(), line[m.start()]) for m in _LINK_EDGE.finditer(line)] if where is not None and LINK_CLOSE in line else []
     begin = 0
     for cut in sorted(cuts):
         if where is None:
             end = cut
         else:
             end = where[cut - 1] + 1
-            if LINK_CLOSE in line and _in_link(line, end):
+            if edges and _in_link(line, end, edges):
                 continue
             end = _attached(line, end, begin)
         yield from _trimmed(line, begin, end, base)
@@ -340,10 +409,13 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
     yield from _trimmed(line, begin, size, base)
 
 
-def _in_link(line: str, at: int) -> bool:
-    """Whether the shown text of a link goes on after a position."""
-    close, begin = line.find(LINK_CLOSE, at), line.find(LINK_OPEN, at)
-    return close > at and not 0 <= begin < close and bool(line[at:close].strip(STANDINS))
+def _in_link(line: str, at: int, edges: list[tuple[int, str]]) -> bool:
+    """Whether the shown text of a link goes on after a position: the next edge closes a link, and not at once."""
+    k = bisect_left(edges, (at, ""))
+    if k == len(edges) or edges[k][1] != LINK_CLOSE:
+        return False
+    seen = _ANY_SEEN.search(line, at)
+    return seen is not None and seen.start() < edges[k][0]
 
 
 def _attached(line: str, at: int, begin: int) -> int:

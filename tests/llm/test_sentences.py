@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from stratacel.llm.markup import masked
+from stratacel.llm.markup import masked, shown_text
 from stratacel.llm.sentences import sentences, split_sentences
 
 
@@ -71,6 +73,47 @@ def test_empty_null_long_and_odd_texts():
     assert cut("😀 One. 😀 Two.") == ["😀 One.", "😀 Two."]
 
 
+@pytest.mark.parametrize("blanks", [1, 3, 25, 3000])
+def test_rules_look_past_any_number_of_blanks(blanks):
+    gap = " " * blanks
+    assert len(cut(f"It holds five etc.{gap}and more", "en")) == 1
+    assert len(cut(f"Am 18.{gap}Jahrhundert", "de")) == 1
+    assert len(cut(f"Prof.{gap}Dr. Bo", "en")) == 1
+    assert len(cut(f"It is old.{gap}It is big.", "en")) == 2
+    assert len(cut(f"Zal cried: “Sell it!”{gap}— and left.", "en")) == 1
+
+
+ODD_LINES = {
+    "plain": "A sentence of words. " * 50_000, "unclosed quotations": "“It is. " * 60_000, "nested brackets": "(One. " * 30_000 + ")" * 30_000,
+    "crossed brackets": "(a. [b. " * 30_000 + ")" * 30_000, "apostrophes": "(" * 30_000 + "‘don’t " * 30_000, "initials": "A.B." * 30_000,
+    "one label": "[[a|" + "One. Two. " * 50_000 + "]]", "link at the end": "One. Two. " * 30_000 + "[[a]]", "addresses": "x" * 500_000 + " @/", "blanks": "a." + " " * 500_000 + "b",
+    "closers": ".)" * 100_000, "dotted": "a." * 200_000 + "/", "figures": "1. " * 30_000,
+}
+
+
+@pytest.mark.parametrize("name", ODD_LINES)
+def test_long_lines_take_linear_time(name):
+    began = time.process_time()
+    sentences(ODD_LINES[name], "en")
+    assert time.process_time() - began < 3  # quadratic work would take minutes
+
+
+@pytest.mark.parametrize("piece,end", [("<!-- a ", ""), ("<ref>a ", ""), ("{{a ", ""), ("{{a ", "}}"), ("[[a|b ", ""), ("[[a ", "]]"), ("<nowiki>", ""), ("\n{| a", ""), ("[//", ""), ("{{[[<!-- <ref ", "")])
+def test_unclosed_and_deep_markup_takes_linear_time(piece, end):
+    text = piece * 16_000 + end * 16_000
+    began = time.process_time()
+    assert len(masked(text)) == len(text)
+    shown_text(text)
+    assert time.process_time() - began < 1
+
+
+def test_nested_markup():
+    assert shown_text("a{{b|{{c}}|{{{d}}}}}e{{f") == "ae{{f"
+    assert shown_text("[[File:a.jpg|thumb|b [[c|d]] e]]f [[g|h]] [[i]] [[j k") == " f h i [[j k"
+    assert shown_text("a<ref>b</ref>c<ref name=x/>d<!-- e -->f<ref>g\nh<!-- i\nj") == "acdf\nh\nj"
+    assert masked("{{a}}b{{{c}}") == masked("{{x}}")[:1] * 5 + "b{" + masked("{{x}}")[:1] * 5
+
+
 def test_operator(spark):
     rows = [(1, "One. Two.", "en", 0), (2, None, None, 0), (3, "", "de", 0), (None, "Alone", "xx", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key int")
