@@ -1,13 +1,17 @@
 """Evaluation passages inside a training corpus, found by a distributed positional inverted index.
 
-The corpus is indexed in shards of documents: per shard the sorted terms, and per term its postings
-(document, position). Test items are looked up shard by shard: postings of an item's rarest terms,
-shifted by the terms' places in the item, give the places where the item might begin; the lists of
-the next rarer terms are intersected with them, and what is left is compared term by term.
-
-Only terms that occur in a test item are indexed, as no other term can be part of a match. Terms are
-words, and for scripts without spaces pairs of neighbouring characters, which have positions of
-their own.
+``build_index`` stores the postings of every term of the corpus, in shards of documents: per shard
+its terms, and per term the places where it stands. The index knows nothing of test items; it is
+written once and answers any set of them.
+
+A shard is searched by intersection. For every window of an item that a match must cover, the list
+of its rarest term, shifted by the term's place in the item, gives the places where the item might
+begin; the shifted lists of the next rarer terms are intersected with it one after the other. What
+is left when all terms of the window are done stands there word for word, and neighbouring windows
+join to runs.
+
+Terms are words, and for texts in scripts without spaces also pairs of neighbouring characters,
+which have places of their own.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +36,14 @@ LEAST_WORDS = 16
 LEAST_CHARS = 34
 #: Languages whose items are matched by characters (fixed by the task).
 CHAR_LANGS = ("zh", "ja")
-#: Documents of one index shard at most.
-SHARD_DOCS = 2_000
+#: Characters of text after which an index shard is closed.
+SHARD_CHARS = 4 << 20
+#: Characters of test items that are set against the index at once; more items go in several blocks.
+ITEM_CHARS = 8 << 20
 #: Terms by which a proximity match may be shifted within its passage, and of its shortest part.
 SLACK = 4
 LEAST_PART = 4
-#: Hits of anchors that are looked at together.
+#: Places that are intersected together.
 HITS_AT_ONCE = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -64,142 +71,187 @@ def char_pairs(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Items:
-    """The test items, as places of terms; all of it is bounded by the test set."""
+    """A block of test items, as places of terms; its size is bounded by ``ITEM_CHARS``."""
 
     ids: np.ndarray  # per item
     least: np.ndarray  # consecutive terms that make a match
     start: np.ndarray  # where the item's terms begin in ``term``
     length: np.ndarray
-    term: np.ndarray  # term number at each place of each item
-    number: dict  # term to its number; pairs of characters have a blank before them
+    term: np.ndarray  # number in ``terms`` at each place of each item
+    terms: pa.Array  # the different terms; pairs of characters have a blank before them
 
 
-def read_items(items: DataFrame) -> Items:
-    """The test set, which is fixed and small. Null texts hold nothing."""
-    rows = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower("lang").alias("lang"), "text").where("text IS NOT NULL").distinct().collect()
+def usable_items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("bigint").alias("item_id"), F.lower("lang").alias("lang"), "text").where(
+        "text IS NOT NULL AND item_id IS NOT NULL"
+    )
+
+
+def item_blocks(items: DataFrame) -> int:
+    """Into how many blocks the test set is split, so that each can be broadcast; counted, not assumed."""
+    chars = usable_items(items).agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    return -(-chars // ITEM_CHARS)
+
+
+def read_items(items: DataFrame, block: int = 0, blocks: int = 1) -> Items:
+    """One block of the test set. Null texts hold nothing."""
+    rows = usable_items(items).where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).distinct().collect()  # ITEM_CHARS on average
     number: dict[str, int] = {}
     ids, least, start, length, term = [], [], [], [], []
-    for row in sorted(rows, key=lambda r: (r.item_id is None, r.item_id, r.text)):
+    for row in sorted(rows, key=lambda r: (r.item_id, r.text)):
         text = folded(html.unescape(row.text))
         by_chars = row.lang in CHAR_LANGS
         terms = [" " + t for t in char_pairs(text)] if by_chars else words(text)
         need = LEAST_CHARS - 1 if by_chars else LEAST_WORDS
-        if len(terms) < need or row.item_id is None:
+        if len(terms) < need:
             continue
         ids.append(row.item_id), least.append(need), start.append(len(term)), length.append(len(terms))
         term.extend(number.setdefault(t, len(number)) for t in terms)
-    return Items(*[np.array(x, dtype=np.int64) for x in (ids, least, start, length, term)], number)
-
+    return Items(*[np.array(x, dtype=np.int64) for x in (ids, least, start, length, term)], pa.array(list(number), type=pa.string()))
 
-def _numbers(terms: list[str], number: dict, prefix: str = "") -> np.ndarray:
-    get = number.get
-    return np.fromiter((get(prefix + t, -1) if prefix else get(t, -1) for t in terms), dtype=np.int32, count=len(terms))
 
+#: Of a shard: the documents, where the places of each of their streams begin, the different terms
+#: (their text, and where it ends), where each term's places end, and the places, as byte planes of
+#: the distances between them. A document is a stream of words and, where its script wants it, one
+#: of character pairs; streams are a place apart, so that no match runs from one into the next.
+INDEX = "docs binary, begins binary, term_text binary, term_ends binary, ends binary, places binary"
 
-INDEX = "docs binary, streams binary, lengths binary, terms binary, ends binary, doc binary, position binary"
 
-
-def build_index(docs: DataFrame, key: str, text: str, items: Items) -> DataFrame:
-    """One row per shard: its streams (a document's words, or its character pairs) and its postings.
-
-    Postings are sorted by term, then document, then position; ``ends`` tells where each term's end.
-    """
-    number = docs.sparkSession.sparkContext.broadcast(items.number)
-    pairs_wanted = any(t.startswith(" ") for t in items.number)
+def build_index(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The index of all texts, one row per shard; to be written once and searched by ``search_index``."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = number.value
+        ids: list[int] = []
+        streams: list[list[str]] = []
+        size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD_DOCS):
-                ids, kinds, streams = [], [], []
-                part = batch.slice(lo, SHARD_DOCS)
-                for doc, raw in zip(part.column("key").to_pylist(), part.column("text").to_pylist()):
-                    if doc is None or not raw:
-                        continue
-                    plain = folded(shown_text(raw))
-                    streams.append(_numbers(words(plain), known))
-                    ids.append(doc), kinds.append(0)
-                    if pairs_wanted and _SPACELESS.search(plain):
-                        streams.append(_numbers(char_pairs(plain), known, " "))
-                        ids.append(doc), kinds.append(1)
-                if ids:
-                    yield _shard(ids, kinds, streams)
+            for doc, raw in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                if doc is None or not raw:
+                    continue
+                plain = folded(shown_text(raw))
+                ids.append(doc), streams.append(words(plain))
+                if _SPACELESS.search(plain):
+                    ids.append(doc), streams.append([" " + t for t in char_pairs(plain)])
+                size += len(raw)
+                if size >= SHARD_CHARS:
+                    yield _shard(ids, streams)
+                    ids, streams, size = [], [], 0
+        if ids:
+            yield _shard(ids, streams)
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     return spread(rows).mapInArrow(index, INDEX)
 
 
-def _shard(ids: list, kinds: list, streams: list[np.ndarray]) -> pa.RecordBatch:
-    lengths = np.array([len(s) for s in streams], dtype=np.int32)
-    term = np.concatenate(streams)
-    doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-    position = (np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-    kept = np.flatnonzero(term >= 0)
-    kept = kept[np.argsort(term[kept], kind="stable")]
-    term, doc, position = term[kept], doc[kept], position[kept]
-    terms, begin = np.unique(term, return_index=True)
-    ends = np.append(begin[1:], len(term)).astype(np.int64)
-    blobs = [np.array(ids, dtype=np.int64), np.array(kinds, dtype=np.int8), lengths, terms.astype(np.int32), ends, doc, position]
-    return pa.RecordBatch.from_arrays([pa.array([b.tobytes()], type=pa.binary()) for b in blobs], names=[f.split()[0] for f in INDEX.split(", ")])
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, of which the upper ones compress well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _read_shard(batch: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
-    kinds = {"docs": np.int64, "streams": np.int8, "lengths": np.int32, "terms": np.int32, "ends": np.int64, "doc": np.int32, "position": np.int32}
-    return {name: np.frombuffer(batch.column(name)[i].as_py(), dtype=kind) for name, kind in kinds.items()}
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
-def document_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
-    """In how many streams each term of the test items occurs, over the whole corpus."""
+def _shard(ids: list[int], streams: list[list[str]]) -> pa.RecordBatch:
+    lengths = np.array([len(s) for s in streams], dtype=np.int64)
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    coded = pa.concat_arrays([pa.array(s, type=pa.string()) for s in streams]).dictionary_encode()
+    term, names = np.asarray(coded.indices), coded.dictionary
+    place = np.arange(len(term)) + np.repeat(np.arange(len(streams)), lengths)
+    order = np.argsort(term, kind="stable")
+    ends = np.cumsum(np.bincount(term, minlength=len(names)))
+    apart = np.diff(place[order], prepend=0)
+    first = np.append(0, ends[:-1])[: len(ends)]
+    apart[first] = place[order][first]  # of each term the first as it is
+    names = pa.concat_arrays([names])
+    offsets, data = names.buffers()[1:]
+    text_ends = np.frombuffer(offsets, dtype=np.int32)[names.offset : names.offset + len(names) + 1]
+    blobs = [np.array(ids, dtype=np.int64).tobytes(), begins.astype(np.int64).tobytes(), data.to_pybytes() if data else b"", text_ends.tobytes(), ends.astype(np.int64).tobytes(), _planes(apart)]
+    return pa.RecordBatch.from_arrays([pa.array([b], type=pa.binary()) for b in blobs], names=[f.split()[0] for f in INDEX.split(", ")])
+
+
+@dataclass(frozen=True)
+class Postings:
+    """Of one shard the lists of the terms that a block of items asks for."""
+
+    docs: np.ndarray
+    begins: np.ndarray
+    listed: np.ndarray  # per term of the items: where its places begin and end in ``keys``
+    keys: np.ndarray  # term number and place as one sorted number
+
+    def count(self, term: np.ndarray) -> np.ndarray:
+        return self.listed[term, 1] - self.listed[term, 0]
+
+    def holds(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether each place is in the list of its term, by sorted search."""
+        if not len(self.keys):
+            return np.zeros(len(term), dtype=bool)
+        key = (term << 33) + place
+        at = np.searchsorted(self.keys, key)
+        return (place >= 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == key)
+
+    def stream(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, place, side="right") - 1
+
+
+def read_postings(batch: pa.RecordBatch, i: int, items: Items) -> Postings:
+    raw = {name: batch.column(name)[i].as_buffer() for name in batch.schema.names}
+    numbers = lambda name, kind: np.frombuffer(raw[name], dtype=kind)
+    ends = numbers("ends", np.int64)
+    names = pa.StringArray.from_buffers(len(ends), raw["term_ends"], raw["term_text"])
+    where = pa.compute.index_in(items.terms, value_set=names)
+    there = np.flatnonzero(np.asarray(where.is_valid()))
+    own = np.asarray(where.drop_null()).astype(np.int64)
+    lo = np.where(own > 0, ends[own - 1], 0) if len(ends) else own
+    n = ends[own] - lo if len(ends) else own
+    apart = _from_planes(raw["places"]).astype(np.int64)
+    take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    total = np.cumsum(apart[take])
+    first = np.cumsum(n) - n  # sums begin anew with each list
+    place = total - np.repeat(total[first] - apart[lo], n) if len(n) else total
+    listed = np.zeros((len(items.terms), 2), dtype=np.int64)
+    listed[there] = np.stack([first, first + n], axis=1)
+    return Postings(numbers("docs", np.int64), numbers("begins", np.int64), listed, (np.repeat(there, n) << 33) + place)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, dtype=np.int64)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = _read_shard(batch, i)
-                which = np.repeat(np.arange(len(shard["terms"])), np.diff(shard["ends"], prepend=0))
-                new = np.ones(len(which), dtype=bool)
-                new[1:] = (which[1:] != which[:-1]) | (shard["doc"][1:] != shard["doc"][:-1])
-                total[shard["terms"]] += np.bincount(which[new], minlength=len(shard["terms"]))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["term", "n"])
-
-    counts = index.select("terms", "ends", "doc", F.lit(b"").alias("docs"), F.lit(b"").alias("streams"), F.lit(b"").alias("lengths"), F.lit(b"").alias("position"))
-    rows = counts.mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # terms of the test set
-    out = np.zeros(n_terms, dtype=np.int64)
-    for row in rows:
-        out[row.term] = row.n
-    return out
-
-
-def anchors_of(items: Items, frequency: np.ndarray, phrase: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(term, item, place, second place): the rarest term of every window of a match's length.
-
-    Any match covers a window, so it holds the window's rarest term at its place; the second place
-    is that of the next rarer term of the window, whose list is intersected first. The windows of a
-    proximity match are those of its shortest parts.
-    """
-    found = set()
-    for i in range(len(items.ids)):
-        places = items.term[items.start[i] : items.start[i] + items.length[i]]
-        rank = frequency[places]
-        size = int(items.least[i]) if phrase else LEAST_PART
-        for w in range(items.length[i] - size + 1):
-            order = np.lexsort((np.arange(size), rank[w : w + size]))
-            first = w + int(order[0])
-            rest = [w + int(k) for k in order[1:] if places[w + k] != places[first]]
-            found.add((int(places[first]), i, first, rest[0] if rest else first))
-    columns = np.array(sorted(found), dtype=np.int64).reshape(-1, 4)
-    return tuple(columns.T)
 
+@dataclass(frozen=True)
+class Windows:
+    """Every window of an item that a match must cover, its places from the rarest term on."""
 
-def _runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, length) of each run of true values along the rows."""
-    padded = np.zeros((hit.shape[0], hit.shape[1] + 2), dtype=np.int8)
-    padded[:, 1:-1] = hit
-    change = np.diff(padded, axis=1)
-    row, first = np.nonzero(change == 1)
-    _, end = np.nonzero(change == -1)
-    return row, first, end - first
+    item: np.ndarray
+    first: np.ndarray  # the place where the window begins
+    size: np.ndarray
+    place: np.ndarray  # (window, k): the place of its k-th rarest term; beyond its size the last is repeated
+
+
+def windows_of(items: Items, postings: Postings, phrase: bool) -> Windows:
+    """The windows all of whose terms the shard has; rarity is that in the shard."""
+    count = postings.count(items.term)
+    parts: list[list[np.ndarray]] = [[], [], [], []]
+    widest = LEAST_PART if not phrase else int(items.least.max(initial=1))
+    for i in range(len(items.ids)):
+        size = int(items.least[i]) if phrase else LEAST_PART
+        own = count[items.start[i] : items.start[i] + items.length[i]]
+        rank = np.lib.stride_tricks.sliding_window_view(own, size)
+        kept = np.flatnonzero(rank.min(axis=1) > 0)
+        order = np.argsort(rank[kept], axis=1, kind="stable") + kept[:, None]
+        parts[0].append(np.full(len(kept), i)), parts[1].append(kept), parts[2].append(np.full(len(kept), size))
+        parts[3].append(np.pad(order, ((0, 0), (0, widest - size)), mode="edge"))
+    if not parts[0]:
+        empty = np.empty(0, dtype=np.int64)
+        return Windows(empty, empty, empty, np.empty((0, widest), dtype=np.int64))
+    return Windows(*[np.concatenate(p) for p in parts])
+
+
+def _joined(item: np.ndarray, shift: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(item, shift, first, terms) of the runs that neighbouring windows of one shift make up."""
+    order = np.lexsort((first, shift, item))
+    item, shift, first, size = item[order], shift[order], first[order], size[order]
+    new = np.ones(len(item), dtype=bool)
+    new[1:] = (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (first[1:] > first[:-1] + 1)
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(item))[: len(begin)] - 1
+    return item[begin], shift[begin], first[begin], first[last] - first[begin] + size[begin]
 
 
 def _clustered(item: np.ndarray, doc: np.ndarray, shift: np.ndarray, place: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -261,7 +313,7 @@ def _chains(doc: np.ndarray, shift: np.ndarray, first: np.ndarray, count: np.nda
         yield own, best[1], best[0]
 
 
-def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bool) -> tuple[np.ndarray, ...]:
+def search_shard(postings: Postings, items: Items, phrase: bool) -> tuple[np.ndarray, ...]:
     """(document, item, place in the item, terms) of the matches in one shard.
 
     A phrase match is a run of at least ``least`` consecutive terms of the item that stand in a row
@@ -269,71 +321,86 @@ def search_shard(shard: dict[str, np.ndarray], items: Items, anchors, phrase: bo
     in the item, and in the document, with up to ``SLACK`` terms put in, left out or changed between
     them, are summed, and count when together they reach ``least``; see ``_chains``.
     """
-    term, item, place, second = anchors
-    terms, ends = shard["terms"], shard["ends"]
     empty = tuple(np.empty(0, dtype=np.int64) for _ in range(4))
-    if not len(terms) or not len(term):
-        return empty
-    at = np.searchsorted(terms, term)
-    there = (at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == term)
-    term, item, place, second, at = (x[there] for x in (term, item, place, second, at))
-    if not len(term):
+    windows = windows_of(items, postings, phrase)
+    if not len(windows.item):
         return empty
-    lo = np.where(at > 0, ends[at - 1], 0)
-    n = ends[at] - lo
-    # the streams as they were, to compare an item's terms with those at its shifted places
-    lengths = shard["lengths"].astype(np.int64)
-    begin = np.cumsum(lengths) - lengths
-    stream = np.full(int(lengths.sum()), -1, dtype=np.int32)
-    stream[begin[shard["doc"]] + shard["position"]] = np.repeat(terms, np.diff(ends, prepend=0))
-
-    def is_at(doc, item, shift, place):
-        spot = shift + place
-        inside = (spot >= 0) & (spot < lengths[doc])
-        return inside & (stream[np.where(inside, begin[doc] + spot, 0)] == items.term[items.start[item] + place])
-
+    term_at = lambda item, place: items.term[items.start[item] + place]
+    # the two rarest lists, once for all windows that have them in common
+    pairs, pair_of = np.unique(np.stack([windows.item, windows.place[:, 0], windows.place[:, min(1, windows.place.shape[1] - 1)]]), axis=1, return_inverse=True)
+    pair_of = pair_of.reshape(-1)
+    rarest = term_at(pairs[0], pairs[1])
+    lo, n = postings.listed[rarest, 0], postings.count(rarest)
     hits = []
     for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(n) // HITS_AT_ONCE)) + 1):
         k = n[part]
         take = np.repeat(lo[part] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        own, p = np.repeat(item[part], k), np.repeat(place[part], k)
-        d, s = shard["doc"][take].astype(np.int64), shard["position"][take].astype(np.int64) - p
-        # the window stands whole in a phrase match, and in a part of a proximity match
-        kept = is_at(d, own, s, np.repeat(second[part], k))
-        hits.append((d[kept], own[kept], s[kept], p[kept]))
-    doc, item, shift, place = (np.concatenate(c) for c in zip(*hits))
+        pair = np.repeat(part, k)
+        shift = (postings.keys[take] & ((1 << 33) - 1)) - pairs[1][pair]
+        kept = postings.holds(term_at(pairs[0][pair], pairs[2][pair]), shift + pairs[2][pair])
+        hits.append((pair[kept], shift[kept]))
+    pair, shift = (np.concatenate(c) for c in zip(*hits))
     if not phrase:
-        kept = _clustered(item, doc, shift, place, items.least)
-        doc, item, shift = doc[kept], item[kept], shift[kept]
-    if not len(doc):
+        item, place = pairs[0][pair], pairs[1][pair]
+        kept = _clustered(item, postings.stream(shift + place), shift, place, items.least)
+        pair, shift = pair[kept], shift[kept]
+    # the lists of all other terms of each window, from rare to frequent
+    by_pair = np.argsort(pair_of, kind="stable")
+    many = np.bincount(pair_of, minlength=pairs.shape[1])
+    begin = np.cumsum(many) - many
+    found = []
+    each = many[pair]
+    for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(np.cumsum(each) // HITS_AT_ONCE)) + 1):
+        k = each[part]
+        w = by_pair[np.repeat(begin[pair[part]] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        s = np.repeat(shift[part], k)
+        for j in range(2, windows.place.shape[1]):
+            if not len(w):
+                break
+            place = windows.place[w, j]
+            kept = postings.holds(term_at(windows.item[w], place), s + place)
+            w, s = w[kept], s[kept]
+        found.append((windows.item[w], s, windows.first[w], windows.size[w]))
+    item, shift, first, count = _joined(*(np.concatenate(c) for c in zip(*found)))
+    if not len(item):
         return empty
-    order = np.lexsort((shift, doc, item))
-    key = np.stack([item, doc, shift])[:, order]
-    key = key[:, np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))]
+    doc = postings.stream(shift + first)
+    if phrase:
+        return postings.docs[doc], items.ids[item], first, count
     out = []
-    for own in np.split(key, np.flatnonzero(np.diff(key[0])) + 1, axis=1):
-        i = own[0, 0]
-        places = np.arange(items.length[i])
-        step = max(1, 4_000_000 // len(places))
-        rows = []
-        for k in range(0, own.shape[1], step):
-            d, s = own[1, k : k + step], own[2, k : k + step]
-            hit = is_at(d[:, None], np.full((len(d), 1), i), s[:, None], places[None, :])
-            row, first, count = _runs(hit)
-            rows.append((d[row], s[row], first, count))
-        d, s, first, count = (np.concatenate(c) for c in zip(*rows))
-        if phrase:
-            good = count >= items.least[i]
-            out.append((d[good], np.full(good.sum(), i), first[good], count[good]))
-            continue
-        good = count >= LEAST_PART
-        d, s, first, count = d[good], s[good], first[good], count[good]
-        for doc_at, place_at, total in _chains(d, s, first, count, int(items.least[i])):
-            out.append(tuple(np.array([x], dtype=np.int64) for x in (doc_at, i, place_at, total)))
-    if not out:
-        return empty
-    doc, item, first, count = (np.concatenate(c) for c in zip(*out))
-    return shard["docs"][doc], items.ids[item], first, count
+    order = np.argsort(item, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+        i = item[own[0]]
+        for doc_at, place_at, total in _chains(doc[own], shift[own], first[own], count[own], int(items.least[i])):
+            out.append((postings.docs[doc_at], items.ids[i], place_at, total))
+    return tuple(np.array(out, dtype=np.int64).reshape(-1, 4).T)
+
+
+def search_index(index: DataFrame, items: DataFrame, phrase: bool = True) -> DataFrame:
+    """doc, item_id, longest: what ``leaked`` gives, of an index that ``build_index`` made.
+
+    The test set is measured first and split into blocks of some ``ITEM_CHARS`` characters; each is
+    broadcast and set against all shards.
+    """
+    spark = index.sparkSession
+    schema = "doc bigint, item_id bigint, terms bigint"
+    found = None
+    blocks = item_blocks(items)
+    for block in range(blocks):
+        shared = spark.sparkContext.broadcast(read_items(items, block, blocks))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    doc, item, _, count = search_shard(read_postings(batch, i, shared.value), shared.value, phrase)
+                    if len(doc):
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, item, count)], names=["doc", "item_id", "terms"])
+
+        own = index.mapInArrow(search, schema)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], schema)
+    return found.groupBy("doc", "item_id").agg(F.max("terms").alias("longest"))
 
 
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", phrase: bool = True) -> DataFrame:
@@ -352,18 +419,5 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     row; items shorter than a match give none; empty tables give an empty result; other columns are
     never read.
     """
-    wanted = read_items(items)
-    index = materialize(build_index(docs, key, text, wanted), "postings")
-    anchors = anchors_of(wanted, document_frequencies(index, len(wanted.number)), phrase)
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, anchors))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, at = shared.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc, item, _, count = search_shard(_read_shard(batch, i), own, at, phrase)
-                if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, item, count)], names=["doc", "item_id", "terms"])
-
-    found = index.mapInArrow(search, "doc bigint, item_id bigint, terms bigint")
-    return found.groupBy(F.col("doc").alias(key), "item_id").agg(F.max("terms").alias("longest"))
+    index = materialize(build_index(docs, key, text), "postings")
+    return search_index(index, items, phrase).withColumnRenamed("doc", key)

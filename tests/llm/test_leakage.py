@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratacel.llm import leakage
@@ -125,14 +127,44 @@ def test_proximity_against_brute_force(spark, size):
     assert {(r.doc_id, r.item_id): r.longest for r in out.collect()} == want and len(want) > 20
 
 
+def test_one_written_index_answers_two_test_sets(spark, tmp_path):
+    rng = random.Random(8)
+    first, second = [[(i, "t", "en", " ".join(passage(30, rng))) for i in range(8)] for _ in range(2)]
+    docs = [(d, " ".join(passage(9, rng) + rng.choice(first + second)[3].split()[rng.randrange(10) :] + passage(9, rng)), 1, "x") for d in range(60)]
+    path = str(tmp_path / "index")
+    leakage.build_index(spark.createDataFrame(docs, DOC), "doc_id", "text").write.parquet(path)
+    for items in (first, second):
+        out = leakage.search_index(spark.read.parquet(path), spark.createDataFrame(items, ITEM))
+        want = {}
+        for d, text, *_ in docs:
+            w = text.split()
+            for i, _, _, t in items:
+                p = t.split()
+                runs = [n for a in range(len(w)) for b in range(len(p)) if (n := next((k for k in range(min(len(w) - a, len(p) - b)) if w[a + k] != p[b + k]), min(len(w) - a, len(p) - b))) >= 16]
+                if runs:
+                    want[d, i] = max(runs)
+        assert {(r.doc, r.item_id): r.longest for r in out.collect()} == want and len(want) > 10
+
+
+def test_postings_hold_every_term():
+    streams = [["a", "b", "a", "c"], [], [" xy", "a"], ["b"]]
+    batch = leakage._shard([7, 8, 8, 9], streams)
+    items = leakage.Items(*[np.array(x) for x in ([1], [4], [0], [4], [0, 1, 2, 3])], pa.array(["zz", "a", " xy", "b"]))
+    held = leakage.read_postings(batch, 0, items)
+    lists = [(held.keys[a:b] & ((1 << 33) - 1)).tolist() for a, b in held.listed]
+    assert lists == [[], [0, 2, 7], [6], [1, 9]]
+    assert held.docs[held.stream(np.array([0, 3, 6, 7, 9]))].tolist() == [7, 7, 8, 8, 9]
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [(1, "en", " ".join(WORDS[:20]))]) == set()
     assert found(spark, [(1, "text")], []) == set()
 
 
-@pytest.mark.parametrize("shard", [3, 1000])
-def test_against_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(leakage, "SHARD_DOCS", shard)
+@pytest.mark.parametrize("shard,block", [(300, 8 << 20), (1 << 22, 400)])
+def test_against_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(leakage, "SHARD_CHARS", shard)
+    monkeypatch.setattr(leakage, "ITEM_CHARS", block)
     rng = random.Random(5)
     common = WORDS[:30]
     items = [(i, "en", " ".join(rng.choice(common) for _ in range(rng.randrange(10, 50)))) for i in range(12)]
