@@ -69,9 +69,18 @@ def _rules(*rows: tuple[bool, str, str]) -> list[Rule]:
     return [Rule(b, regex.compile(f"(?r)(?:{before})") if before else None, re.compile(after) if after else None) for b, before, after in rows]
 
 
+def _apart(text: str) -> str:
+    """With the accents of Latin letters as characters of their own."""
+    return "".join(unicodedata.normalize("NFD", c) if c.isalpha() else c for c in text)
+
+
+def _bare(text: str) -> str:
+    return "".join(c for c in _apart(text) if not "\u0300" <= c <= "\u036f")
+
+
 def _words(text: str, blanks: bool = True) -> str:
     """Alternatives, in any case; with ``blanks`` the parts of an abbreviation may be set apart by one."""
-    text += " " + "".join(c for c in unicodedata.normalize("NFD", text) if ord(c) < 0x300 or ord(c) > 0x36F)  # as often typed
+    text += f" {_apart(text)} {_bare(text)}"  # as often typed
     dot = r"\.\s?" if blanks else r"\."
     return "(?i:" + "|".join(re.escape(w).replace(r"\.", dot) for w in sorted(set(text.split()), key=lambda w: (-len(w), w))) + ")"
 
@@ -150,9 +159,9 @@ ABBREVIATIONS = {
     for name in BOUND
 }
 SINGLE = _rules(
-    (True, rf"\d\s?[^\W\d_]\.", rf"\s*(?:{_UPPER}|{_OPEN})"),  # a unit, a year or a century after its number
-    (False, r"(?<![^\W_])[^\W\d_]\.", r"\s*(?:[^\W_]|[\-–(])"),  # an initial or a shortened word
-    (False, rf"(?<![^\W_])(?:[^\W\d_]\.){{2}}", rf"\s*(?:{_LOWER}|\d)"),
+    (True, rf"\d\s?[^\W\d_][̀-ͯ]*\.", rf"\s*(?:{_UPPER}|{_OPEN})"),  # a unit, a year or a century after its number
+    (False, r"(?<![^\W_])[^\W\d_][̀-ͯ]*\.", r"\s*(?:[^\W_]|[\-–(])"),  # an initial or a shortened word
+    (False, rf"(?<![^\W_])(?:[^\W\d_][̀-ͯ]*\.){{2}}", rf"\s*(?:{_LOWER}|\d)"),
 )
 SPACELESS = _rules(
     (True, r"[。！？｡．][”’」』）》】]*", r"\s*$"),
@@ -267,7 +276,7 @@ def _first_fit(rules: list[Rule], line: str, at: int) -> bool:
 
 #: Last parts of all abbreviations: a longer or other word before a full stop needs no table of them.
 _SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE, LOOSE_PARTS, {"": "Sr"}) for words in table.values() for w in words.split()}
-_SHORT |= {"".join(c for c in unicodedata.normalize("NFD", w) if ord(c) < 0x300 or ord(c) > 0x36F) for w in _SHORT}
+_SHORT |= {f(w) for w in _SHORT for f in (_apart, _bare)}
 #: A whole word before a capital: with a mark that no table of abbreviations knows, it breaks by the defaults.
 _PLAIN = re.compile(rf"\s+{_UPPER}{_LOWER}")
 
@@ -353,9 +362,9 @@ def _breaks(line: str, lang: str) -> list[int]:
     def rule(k: int, a: int, b: int) -> bool:
         first = a
         if line[a] == ".":
-            while first and line[first - 1].isalpha():
+            while first and (line[first - 1].isalpha() or "\u0300" <= line[first - 1] <= "\u036f"):
                 first -= 1
-        shortened = line[a] == "." and (a - first < 2 or line[first:a].lower() in _SHORT)
+        shortened = line[a] == "." and (a - first < 2 or (word := line[first:a].lower()) in _SHORT or len(_bare(word)) < 2)
         if b == a + 1 and line[a] in ".!?" and not shortened and _PLAIN.match(line, b):
             return True
         span = bracket = ""

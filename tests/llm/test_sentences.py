@@ -1,4 +1,5 @@
 import time
+import unicodedata
 
 import pytest
 
@@ -83,6 +84,12 @@ def test_rules_look_past_any_number_of_blanks(blanks):
     assert len(cut(f"Zal cried: “Sell it!”{gap}— and left.", "en")) == 1
 
 
+def test_accents_as_characters_of_their_own():
+    parts = ["En la pág. 14 la Dra. Bi lo dice, núm. 15.", "La halle était déjà restaurée.", "Sa digue couvre la place.", "Am 5. März 1446 war É. B. Pel da."]
+    text = unicodedata.normalize("NFD", " ".join(parts))
+    assert cut(text) == [unicodedata.normalize("NFD", p) for p in parts]
+
+
 ODD_LINES = {
     "plain": "A sentence of words. " * 50_000, "unclosed quotations": "“It is. " * 60_000, "nested brackets": "(One. " * 30_000 + ")" * 30_000,
     "crossed brackets": "(a. [b. " * 30_000 + ")" * 30_000, "apostrophes": "(" * 30_000 + "‘don’t " * 30_000, "initials": "A.B." * 30_000,
