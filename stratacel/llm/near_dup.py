@@ -2,9 +2,13 @@
 
 Rows of the matrix are classes of equal content, columns are runs of adjacent pixels (n-grams).
 The product of the matrix with its transpose holds the overlaps of all pairs of rows. It is taken
-block of columns by block of columns, over the columns that size-derived bounds leave: of a row
-with n grams a pair of at least the wanted similarity must share one of its rarest
-n - ceil(t n) + 1, so only those enter. Whatever pair a block yields is verified on whole contents.
+in two passes. The first goes block of columns by block of columns, over the columns that
+size-derived bounds leave: of a row with n grams a pair of at least the wanted similarity must
+share one of its rarest n - ceil(t n) + 1, so only those enter, and of a pair it keeps what the
+sizes and the places of the shared gram allow. The second accumulates the overlap of those pairs
+over whole rows, block of rows by block of rows, and the counts decide.
+
+A gram is known by 64 mixed bits of its pixels: counts are of those.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacel.session import checkpoint, estimated_bytes, materialize, spread
@@ -23,8 +27,11 @@ from stratacel.session import checkpoint, estimated_bytes, materialize, spread
 RUN = 4
 #: Wanted similarity: shared grams divided by the grams of both.
 SIMILARITY = 0.6
-#: Counters of the sketch of gram frequencies. Its size doesn't depend on the data.
-SKETCH_BITS = 22
+#: Counters of the sketch of gram frequencies, as a power of two: it follows the size of the pixels
+#: between these bounds, of which the upper one is what a task can hold.
+SKETCH_BITS = (22, 25)
+#: Bytes of estimated pixels for one counter.
+COUNTER_BYTES = 256
 #: Parts in which the sketch is summed.
 SKETCH_PARTS = 64
 #: Bytes of the estimated pixels that one block of columns stands for.
@@ -33,7 +40,7 @@ BLOCK_BYTES = 2 << 20
 EMIT_PAIRS = 200_000
 #: Classes that share a gram and are multiplied in one task; a more frequent gram is split.
 HOT_ROWS = 20_000
-#: Members of a class that one task pairs with all the others.
+#: Members of a class in one salted part; parts are paired with parts.
 SALT_ROWS = 2_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
@@ -83,12 +90,17 @@ def _grams(batch: pa.RecordBatch, suffix: str = "") -> tuple[np.ndarray, np.ndar
     return pixel_runs(_ints(batch, f"width{suffix}"), _ints(batch, f"height{suffix}"), batch.column(f"pixels{suffix}"))
 
 
+def _digest() -> Column:
+    return F.xxhash64("width", "height", "pixels")
+
+
 def source_cels(cels: DataFrame) -> DataFrame:
-    """One row per source cel with content: cel_id, size (its grams), hi and lo (key of its content).
+    """One row per source cel with content: cel_id, size (its grams), hi and lo (key of its content), digest.
 
     A source cel is one (doc_id, source_layer_id, source_frame) whose source_frame equals
-    linked_source_frame; its lowest cel_id stands for it. Contents are equal when the sets of
-    grams are; the key is 128 bits of the set. Pixels don't leave the scan's tasks.
+    linked_source_frame; its lowest cel_id stands for it. Where that cel_id was delivered with
+    different pixels, the delivery with the fewest grams counts, and the digest tells which. Contents are equal when the
+    sets of grams are; the key is 128 bits of the set. Pixels don't leave the scan's tasks.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,59 +113,66 @@ def source_cels(cels: DataFrame) -> DataFrame:
             for salt in (_M1, _M2):  # sums of mixed grams don't depend on their order
                 total = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(gram ^ salt), dtype=np.uint64)])
                 keys_of.append((total[begin + size] - total[begin]).view(np.int64))
-            names = ["doc_id", "source_layer_id", "source_frame", "cel_id"]
+            names = ["doc_id", "source_layer_id", "source_frame", "cel_id", "digest"]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in names], pa.array(size, type=pa.int64()), *[pa.array(k) for k in keys_of]],
                 names=[*names, "size", "hi", "lo"],
             )
 
     own = cels.where("source_frame = linked_source_frame AND cel_id IS NOT NULL").select(
-        "doc_id", "source_layer_id", "source_frame", F.col("cel_id").cast("bigint").alias("cel_id"), "width", "height", "pixels"
+        "doc_id", "source_layer_id", "source_frame", F.col("cel_id").cast("bigint").alias("cel_id"), _digest().alias("digest"), "width", "height", "pixels"
     )
-    schema = own.select("doc_id", "source_layer_id", "source_frame", "cel_id").schema
+    schema = own.select("doc_id", "source_layer_id", "source_frame", "cel_id", "digest").schema
     for name in ("size", "hi", "lo"):
         schema = schema.add(name, "long")
     rows = spread(own).mapInArrow(keys, schema)
     first = rows.groupBy("doc_id", "source_layer_id", "source_frame").agg(
-        F.min(F.struct("cel_id", "size", "hi", "lo")).alias("row")
+        F.min(F.struct("cel_id", "size", "hi", "lo", "digest")).alias("row")
     )
     return first.select("row.*").where("size > 0")
 
 
 def classes_of(members: DataFrame) -> DataFrame:
-    """Classes of equal content: rep (lowest cel_id), members, size, hi, lo."""
-    return members.groupBy("hi", "lo", "size").agg(F.min("cel_id").alias("rep"), F.count("*").alias("members"))
+    """Classes of equal content: rep (lowest cel_id) and its digest, members, size, hi, lo."""
+    one = members.groupBy("hi", "lo", "size").agg(F.min(F.struct("cel_id", "digest")).alias("rep"), F.count("*").alias("members"))
+    return one.select("hi", "lo", "size", F.col("rep.cel_id").alias("rep"), F.col("rep.digest").alias("digest"), "members")
+
+
+def sketch_bits(contents: DataFrame) -> int:
+    least, most = SKETCH_BITS
+    return min(most, max(least, (estimated_bytes(contents) // COUNTER_BYTES).bit_length()))
 
 
-def gram_sketch(contents: DataFrame) -> tuple[np.ndarray, float]:
-    """How often grams occur, over all rows, as logarithmic codes of a fixed number of counters; their mean.
+def gram_sketch(contents: DataFrame, bits: int) -> tuple[np.ndarray, float]:
+    """How often grams occur, over all rows, as logarithmic codes of 2^bits counters; their mean.
 
     It only orders the grams from rare to frequent. Grams that share a counter look more frequent
     than they are, which costs time and no pair.
     """
-    width = 1 << SKETCH_BITS
+    width = 1 << bits
     part = width // SKETCH_PARTS
+    kind = np.uint16 if part <= 65536 else np.uint32
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(width, dtype=np.uint32)
         for batch in batches:
             _, gram = _grams(batch)
-            at, n = np.unique(gram >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            at, n = np.unique(gram >> np.uint64(64 - bits), return_counts=True)
             counts[at.astype(np.int64)] += n.astype(np.uint32)
         for i in range(SKETCH_PARTS):
             own = counts[i * part : (i + 1) * part]
             at = np.flatnonzero(own)
             if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], type=pa.int32()), pa.array([np.diff(at, prepend=0).astype(np.uint16).tobytes()]), pa.array([np.minimum(own[at], 65535).astype(np.uint16).tobytes()])],
-                    names=["part", "at", "n"],
-                )
+                n = own[at]
+                blobs = [np.diff(at, prepend=0).astype(kind).tobytes(), n.astype(np.uint16 if n.max() < 65536 else np.uint32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([i], type=pa.int32()), *[pa.array([b]) for b in blobs]], names=["part", "at", "n"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(part, dtype=np.uint64)
         for batch in batches:
             for at, n in zip(batch.column("at"), batch.column("n")):
-                total[np.cumsum(np.frombuffer(at.as_py(), dtype=np.uint16).astype(np.int64))] += np.frombuffer(n.as_py(), dtype=np.uint16)
+                where = np.cumsum(np.frombuffer(at.as_py(), dtype=kind).astype(np.int64))
+                total[where] += _sized(n.as_py(), len(where)).astype(np.uint64)
         code = np.floor(8 * np.log2(1 + total.astype(float))).clip(0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[0].as_py()], type=pa.int32()), pa.array([code.tobytes()]), pa.array([int(total.sum())], type=pa.int64())],
@@ -171,7 +190,7 @@ def gram_sketch(contents: DataFrame) -> tuple[np.ndarray, float]:
 def row_groups(code: np.ndarray, load: float) -> np.ndarray:
     """Into how many groups the rows of a gram are split: one, but for grams far above the mean counter."""
     frequency = 2.0 ** ((code.astype(float) + 1) / 8)
-    return np.ceil((frequency - 2 * load) / HOT_ROWS).clip(1, 1000).astype(np.int64)
+    return np.ceil((frequency - 2 * load) / HOT_ROWS).clip(1).astype(np.int64)
 
 
 def split_hot(gram: np.ndarray, ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +214,9 @@ def prefixes(contents: DataFrame, similarity: float, blocks: int) -> DataFrame:
     frequent.
     """
     spark = contents.sparkSession
-    codes, load = gram_sketch(contents)
-    sketch = spark.sparkContext.broadcast(codes.tobytes())  # 2^SKETCH_BITS bytes
+    bits = sketch_bits(contents)
+    codes, load = gram_sketch(contents, bits)
+    sketch = spark.sparkContext.broadcast(codes.tobytes())  # 2^bits bytes
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_of = np.frombuffer(sketch.value, dtype=np.uint8)
@@ -204,7 +224,7 @@ def prefixes(contents: DataFrame, similarity: float, blocks: int) -> DataFrame:
             owner, gram = _grams(batch)
             if not len(owner):
                 continue
-            code = code_of[(gram >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            code = code_of[(gram >> np.uint64(64 - bits)).astype(np.int64)]
             order = np.lexsort((gram, code, owner))
             owner, gram = owner[order], gram[order]
             size = np.bincount(owner, minlength=batch.num_rows)
@@ -271,7 +291,7 @@ def block_pairs(gram: np.ndarray, ids: np.ndarray, size: np.ndarray, position: n
 
 
 def candidate_pairs(entries: DataFrame, similarity: float) -> DataFrame:
-    """a, b (a < b) and shared, the number of blocks' grams that yield the pair."""
+    """a, b (a < b): the pairs that the first pass leaves."""
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -295,19 +315,50 @@ def candidate_pairs(entries: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield _pairs(held)
 
-    pairs = entries.groupBy("block").applyInArrow(multiply, "a bigint, b bigint, shared bigint")
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    return entries.groupBy("block").applyInArrow(multiply, "a bigint, b bigint").distinct()
 
 
 def _pairs(held: list[np.ndarray]) -> pa.RecordBatch:
-    pairs, count = np.unique(np.concatenate(held, axis=1), axis=1, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(count)], names=["a", "b", "shared"])
+    a, b = np.concatenate(held, axis=1)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
+
 
+def gram_rows(contents: DataFrame) -> DataFrame:
+    """rep and grams: the whole rows of the matrix, sorted."""
 
-def _overlap(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shared grams, and grams of both, of each row's two contents."""
-    n = batch.num_rows
-    (oa, ga), (ob, gb) = _grams(batch, "_a"), _grams(batch, "_b")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, gram = _grams(batch)
+            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1)) * 8
+            if ends[-1] < 2**31:
+                packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(gram)])
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), packed], names=["rep", "grams"])
+            else:
+                for i in range(batch.num_rows):
+                    own = gram[ends[i] // 8 : ends[i + 1] // 8].tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, 1), pa.array([own], type=pa.binary())], names=["rep", "grams"])
+
+    return contents.mapInArrow(rows, "rep bigint, grams binary")
+
+
+def _row_entries(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of a column of packed rows."""
+    size = np.asarray(pa.compute.binary_length(rows)).astype(np.int64) // 8
+    rows = pa.concat_arrays([rows])
+    offsets = np.frombuffer(rows.buffers()[1], dtype=np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = rows.buffers()[2]
+    gram = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].view(np.uint64) if data else np.empty(0, dtype=np.uint64)
+    return np.repeat(np.arange(len(rows)), size), gram
+
+
+def block_product(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Overlaps of the rows of two blocks, place by place, and the grams of both."""
+    n = len(left)
+    (oa, ga), (ob, gb) = _row_entries(left), _row_entries(right)
     owner, gram = np.concatenate([oa, ob]), np.concatenate([ga, gb])
     order = np.lexsort((gram, owner))
     owner, gram = owner[order], gram[order]
@@ -319,20 +370,22 @@ def _overlap(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def class_links(cels: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of different classes of at least the wanted similarity: a < b, shared, grams (of both)."""
     pixels = cels.where("source_frame = linked_source_frame").select(
-        F.col("cel_id").cast("bigint").alias("rep"), "width", "height", "pixels"
+        F.col("cel_id").cast("bigint").alias("rep"), _digest().alias("digest"), "width", "height", "pixels"
     )
-    contents = pixels.join(classes.select("rep"), "rep", "left_semi").groupBy("rep").agg(
-        F.max(F.struct(F.length("pixels").alias("n"), "width", "height", "pixels")).alias("row")
+    once = pixels.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").groupBy("rep").agg(
+        F.max(F.struct("width", "height", "pixels")).alias("row")
     )
-    contents = materialize(contents.select("rep", "row.width", "row.height", "row.pixels"), "contents")
+    contents = materialize(once.select("rep", "row.width", "row.height", "row.pixels"), "contents")
     blocks = max(contents.sparkSession.sparkContext.defaultParallelism, estimated_bytes(contents) // BLOCK_BYTES)
-    candidates = candidate_pairs(prefixes(contents, similarity, blocks), similarity)
-    side = lambda s: contents.select(F.col("rep").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("width", "height", "pixels")])
-    both = candidates.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    candidates = checkpoint(candidate_pairs(prefixes(contents, similarity, blocks), similarity))
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    rows = materialize(gram_rows(contents.join(wanted, "rep", "left_semi")), "rows")
+    side = lambda s: rows.select(F.col("rep").alias(s), F.col("grams").alias(f"grams_{s}"))
+    both = candidates.join(side("b"), "b").join(side("a"), "a")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, grams = _overlap(batch)
+            shared, grams = block_product(batch.column("grams_a"), batch.column("grams_b"))
             kept = pa.array(shared >= similarity * grams - 1e-9)
             out = pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(shared, type=pa.int64()), pa.array(grams, type=pa.int64())],
@@ -340,7 +393,7 @@ def class_links(cels: DataFrame, classes: DataFrame, similarity: float = SIMILAR
             )
             yield out.filter(kept)
 
-    return both.mapInArrow(verify, "a bigint, b bigint, shared bigint, grams bigint")
+    return both.mapInArrow(multiply, "a bigint, b bigint, shared bigint, grams bigint")
 
 
 def near_duplicates(cels: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -364,22 +417,24 @@ def near_duplicates(cels: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """All pairs of cels that the classes and their links stand for: lo < hi.
 
-    The larger side of a hot class is cut into salted parts of ``SALT_ROWS`` rows, so that its
-    pairs, which the result must hold, are made by many tasks.
+    Classes are cut into salted parts of some ``SALT_ROWS`` members before anything is joined, and
+    parts are paired with parts, so the pairs of a hot class, which the result must hold, are made
+    by as many tasks as there are pairs of parts.
     """
     parts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
-    every = members.select("rep", "cel_id", "members", parts.alias("parts"))
-    salted = every.withColumn("salt", F.pmod(F.xxhash64("cel_id"), F.col("parts")).cast("int"))
-    salts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")
-    copies = every.where("members > 1")
-    inside = (
-        salted.where("members > 1").select("rep", "salt", "cel_id")
-        .join(copies.select("rep", F.col("cel_id").alias("other"), salts), ["rep", "salt"])
-        .where("cel_id < other")
-        .select("cel_id", "other")
+    salted = members.select("rep", F.pmod(F.xxhash64("cel_id"), parts).cast("int").alias("salt"), "cel_id")
+    heads = members.where("cel_id = rep")
+    hot = heads.where(parts > 1).select("rep", parts.alias("parts"))
+    own = heads.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    ends = links.select("a", "b").unionByName(own)
+    for end in ("a", "b"):
+        ends = ends.join(hot.select(F.col("rep").alias(end), F.col("parts").alias(f"parts_{end}")), end, "left")
+    count = lambda end: F.coalesce(f"parts_{end}", F.lit(1)) - 1
+    keys = (
+        ends.withColumn("salt_a", F.explode(F.sequence(F.lit(0), count("a"))))
+        .withColumn("salt_b", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("salt_a")).otherwise(0), count("b"))))
+        .select("a", "b", "salt_a", "salt_b")
     )
-    linked = links.select("a", "b").join(every.where("cel_id = rep").select(F.col("rep").alias("a"), "parts"), "a")
-    left = linked.join(salted.select(F.col("rep").alias("a"), "salt", "cel_id"), "a").select("a", "b", "salt", "cel_id")
-    right = linked.join(every.select(F.col("rep").alias("b"), F.col("cel_id").alias("other")), "b").select("a", "b", "other", salts)
-    across = left.join(right, ["a", "b", "salt"]).select(F.least("cel_id", "other").alias("cel_id"), F.greatest("cel_id", "other").alias("other"))
-    return inside.unionByName(across).select(F.col("cel_id").alias("lo"), F.col("other").alias("hi"))
+    side = lambda end, name: keys.join(salted.select(F.col("rep").alias(end), F.col("salt").alias(f"salt_{end}"), F.col("cel_id").alias(name)), [end, f"salt_{end}"])
+    both = side("a", "x").join(side("b", "y"), ["a", "b", "salt_a", "salt_b"]).where("a <> b OR salt_a <> salt_b OR x < y")
+    return both.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))

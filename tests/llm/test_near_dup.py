@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratacel.llm import near_dup
 from stratacel.llm.near_dup import expand_pairs, near_duplicates
@@ -99,6 +100,26 @@ def test_nulls_and_empty_tables(spark):
     assert run(spark, rows) == ({(1, 4)}, {1, 4})
 
 
+def test_one_cel_delivered_with_different_pixels_counts_once(spark):
+    colours = [bytes([c, 1, 2, 255]) for c in range(40)]
+    few, many, near = b"".join(colours[:8]), b"".join(colours[10:26]), b"".join(colours[:9])
+    rows = [(1, "d", 1, 0, 0, 8, 1, few, 0, ""), (1, "d", 1, 0, 0, 16, 1, many, 0, ""), (2, "e", 1, 0, 0, 8, 1, few, 0, ""), (3, "f", 1, 0, 0, 16, 1, many, 0, ""), (4, "g", 1, 0, 0, 9, 1, near, 0, "")]
+    found, members = run(spark, rows)
+    assert found == {(1, 2), (1, 4), (2, 4)} and members == {1, 2, 3, 4}
+
+
+def test_sketch_counts_beyond_16_bits_and_follows_the_size(spark, monkeypatch):
+    px = bytes([9, 9, 9, 255]) * 4
+    one = spark.range(70_000).selectExpr("id AS rep", "4 AS width", "1 AS height").withColumn("pixels", F.lit(px)).coalesce(1)
+    codes, load = near_dup.gram_sketch(one, 22)
+    assert codes.max() == int(8 * np.log2(70_001)) and (codes > 0).sum() == 1 and load == 70_000 / (1 << 22)
+    monkeypatch.setattr(near_dup, "estimated_bytes", lambda df: size)
+    bits = []
+    for size in (0, 1 << 31, 1 << 50):
+        bits.append(near_dup.sketch_bits(one))
+    assert bits == [22, 24, 25]
+
+
 def test_block_pairs_keep_every_pair():
     rng = np.random.default_rng(3)
     sets = [frozenset(rng.choice(60, size=rng.integers(1, 25), replace=False).tolist()) for _ in range(80)]
