@@ -372,7 +372,7 @@ def class_links(cels: DataFrame, classes: DataFrame, similarity: float = SIMILAR
     pixels = cels.where("source_frame = linked_source_frame").select(
         F.col("cel_id").cast("bigint").alias("rep"), _digest().alias("digest"), "width", "height", "pixels"
     )
-    once = pixels.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").groupBy("rep").agg(
+    once = pixels.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").groupBy("rep", "digest").agg(
         F.max(F.struct("width", "height", "pixels")).alias("row")
     )
     contents = materialize(once.select("rep", "row.width", "row.height", "row.pixels"), "contents")
