@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,24 +127,18 @@ def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Adds rank: 0, 1, ... within a length, in an order of hashes.
 
     A frequent length is ranked in salted parts: the parts' sizes, summed up in order, are added to
-    the ranks within them.
+    the ranks within them. No count of parts reaches the driver.
     """
-    spark = pieces.sparkSession
     frequent = {k: -(-n // RANK_ROWS) for k, n in histogram.items() if n > RANK_ROWS}
     parts = F.lit(1)
     if frequent:
         by_length = F.create_map(*[F.lit(x) for pair in frequent.items() for x in pair])
         parts = F.coalesce(F.element_at(by_length, F.col("length")), F.lit(1))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), parts).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # lengths plus items / RANK_ROWS rows
-    before, total = {}, {}
-    for row in sorted(sizes, key=lambda r: (r.length, r.salt)):
-        before[row.length, row.salt] = total.get(row.length, 0)
-        total[row.length] = total.get(row.length, 0) + row.n
-    from pyspark.sql import Window
-
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    offsets = sizes.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.xxhash64("key", "piece", F.lit(1)), "key", "piece")) - 1
-    offsets = spark.createDataFrame([(k, s, n) for (k, s), n in before.items()], "length int, salt int, before bigint")
     numbered = salted.withColumn("own", own.cast("bigint"))
     return numbered.join(offsets, ["length", "salt"]).select("key", "piece", "start", "length", (F.col("own") + F.col("before")).alias("rank"))
 
