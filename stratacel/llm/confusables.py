@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacel.session import materialize
+
 #: Accent-sensitive and case-sensitive Unicode collation.
 COLLATION = "UNICODE"
 #: Compatibility decompositions that don't change how a character looks, by their tag.
@@ -34,6 +36,8 @@ def _classes(skeletons: tuple[tuple[str, str], ...]) -> dict[str, str]:
     groups = defaultdict(list)
     for letter, skeleton in skeletons:
         kind = unicodedata.category(letter)
+        if kind not in ("Lu", "Ll"):  # a letter without case is of the case of the letter it is drawn like
+            kind = unicodedata.category(skeleton) if len(skeleton) == 1 else ""
         groups[skeleton, kind if kind in ("Lu", "Ll") else ""].append(letter)
     table = {}
     for letters in groups.values():
@@ -116,12 +120,13 @@ def canonical_forms(texts: DataFrame, column: str) -> DataFrame:
 
     Distinct texts are mapped to their visible form, grouped under an accent-sensitive Unicode
     collation, and the canonical member of each class is joined back: a text that is its own form
-    before others, then the lowest by code points. Null has no form and doesn't come out.
+    before others, then the lowest by code points. Null has no form and doesn't come out. The forms,
+    which Python makes, and the result are written once, as several joins read them.
     """
     spark = texts.sparkSession
     distinct = texts.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
-    mapped = distinct.select("text", form_of(spark, F.col("text")).alias("form"))
-    return spark.sql(
+    mapped = materialize(distinct.select("text", form_of(spark, F.col("text")).alias("form")), "forms")
+    canonical = spark.sql(
         f"""
         WITH classes AS (
             SELECT collate(form, '{COLLATION}') AS look, min(struct(text <> form AS altered, text)).text AS canonical
@@ -131,6 +136,7 @@ def canonical_forms(texts: DataFrame, column: str) -> DataFrame:
         """,
         mapped=mapped,
     )
+    return materialize(canonical, "canonical")
 
 
 def consistent(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -168,16 +174,19 @@ def look_alike_pairs(rows: DataFrame, key: str, group: str, column: str, latest:
         .where("text IS NOT NULL")
     )
     forms = canonical_forms(once, "text")
-    looks = once.join(forms, "text").select("key", "group", "text", "form", "canonical")
+    looks = materialize(once.join(forms, "text").select("key", "group", "text", "form", "canonical"), "looks")
     sizes = looks.groupBy("group", "canonical").agg(
         F.count("*").alias("n"), F.min("text").alias("least"), F.max("text").alias("most")
     )
     sizes = sizes.where("least <> most").select("group", "canonical", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("parts"))
     mixed = looks.join(sizes, ["group", "canonical"])
-    left = mixed.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    right = mixed.select(
+    salted = mixed.withColumn("salt", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    rest = F.explode(F.sequence(F.col("salt"), F.col("parts") - 1))  # parts of a group are paired with parts
+    left = salted.withColumn("with", rest)
+    right = salted.select(
         "group", "canonical", F.col("key").alias("other"), F.col("text").alias("other_text"), F.col("form").alias("other_form"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"),
+        F.col("salt").alias("with"), F.explode(F.sequence(F.lit(0), F.col("salt"))).alias("salt"),
     )
-    pairs = left.join(right, ["group", "canonical", "salt"]).where("key < other AND text <> other_text AND form = other_form")
+    pairs = left.join(right, ["group", "canonical", "salt", "with"]).where("text <> other_text AND form = other_form AND (salt <> with OR key < other)")
+    pairs = pairs.select(F.least("key", "other").alias("key"), F.greatest("key", "other").alias("other"))
     return pairs.select(F.col("key").alias("lo"), F.col("other").alias("hi"))

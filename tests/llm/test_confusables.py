@@ -21,6 +21,7 @@ SAME = [
     ("@ADF8", "@1100@1173"),
     ("@03BF@03C3@03BF", "ooo"),
     ("tab x", "tab@0009x"),
+    ("Bone", "@A4D0one"),
 ]
 DIFFERENT = [
     ("Layer", "layer"),
@@ -29,6 +30,7 @@ DIFFERENT = [
     ("Iris", "lris"),
     ("x2", "x@00B2"),
     ("o", "@00F8"),
+    ("bone", "@A4D0one"),
     ("gr@00F6ss", "gr@00F6@00DF"),
 ]
 
