@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratacel.session import spread
+from stratacel.session import shared_dir, spread
 
 #: Rows of one emitted Arrow batch.
 EMIT_ROWS = 20_000
@@ -138,98 +141,109 @@ def _payload(value: dict, array_fields: frozenset[str]) -> str:
         return json.dumps({k: v for k, v in kept.items() if not isinstance(v, (dict, list))}, ensure_ascii=False)
 
 
-def valid_latest(raw: DataFrame, key: str, order_by: str, body: str) -> DataFrame:
-    """Per key the last received body that parses as a whole: columns key, body.
+#: The tables of what isn't an element of a named array: the bodies themselves, and elements of other arrays.
+BODIES, OTHER = "_bodies", "_other"
 
-    Ties in ``order_by`` fall to the greatest body; a null ``order_by`` is the earliest. Partial
-    aggregation leaves one body per key and map task before the shuffle.
+
+def emit_nodes(raw: DataFrame, key: str, order_by: str, body: str, array_fields: Sequence[str]) -> DataFrame:
+    """Every body that parses as a whole in one depth-first pass: a row for it and one per nested object.
+
+    Columns: ``delivery`` (the row of ``raw``), the key, ``at`` and ``digest`` (of bodies only),
+    ``tag`` (name of the array's field), ``node_path``, ``parent_path``, ``ordinal``, ``payload``,
+    and ``table``: the tag where it is one of ``array_fields``, else ``BODIES`` or ``OTHER``, so that
+    the number of tables is that of the named fields whatever the bodies hold.
     """
+    names = frozenset(array_fields)
+    rows = spread(raw.select(F.col(key).alias("key"), F.col(order_by).alias("at"), F.col(body).alias("body"))).select(
+        F.monotonically_increasing_id().alias("delivery"), "key", "at", F.sha2("body", 256).alias("digest"), "body"
+    )
+    schema = rows.drop("body").schema
+    for name, kind in (("tag", "string"), ("node_path", "string"), ("parent_path", "string"), ("ordinal", "integer"), ("payload", "string"), ("table", "string")):
+        schema = schema.add(name, kind)
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
 
-    def parses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for text in batch.column("body"):
+            owner, out = [], []
+            for i, text in enumerate(batch.column("body")):
                 try:
-                    parse_whole(text.as_py())
-                    good.append(True)
+                    root = parse_whole(text.as_py())
                 except ValueError:
-                    good.append(False)
-            yield batch.filter(pa.array(good, type=pa.bool_()))
+                    continue
+                owner.append(i)
+                out.append((None, "", None, None, None, BODIES))
+                for tag, path, parent, ordinal, value in visit(root, names):
+                    owner.append(i)
+                    out.append((tag, path, parent, ordinal, _payload(value, names), tag if tag in names else OTHER))
+                if len(out) >= EMIT_ROWS:
+                    yield _batch(batch, owner, out)
+                    owner, out = [], []
+            if out:
+                yield _batch(batch, owner, out)
 
-    rows = raw.select(F.col(key).alias("key"), F.col(order_by).alias("at"), F.col(body).alias("body"))
-    good = spread(rows).mapInArrow(parses, rows.schema)
-    return good.groupBy("key").agg(F.max(F.struct("at", "body")).alias("row")).select("key", F.col("row.body").alias("body"))
+    def _batch(batch: pa.RecordBatch, owner: list[int], out: list[tuple]) -> pa.RecordBatch:
+        of = pa.array(owner, type=pa.int64())
+        columns = [pa.array(c, type=k) for c, k in zip(zip(*out), kinds)]
+        head = [batch.column(c).take(of) for c in ("delivery", "key", "at", "digest")]
+        bodies = pa.compute.equal(columns[-1], BODIES)
+        head[2:] = [pa.compute.if_else(bodies, c, pa.scalar(None, type=c.type)) for c in head[2:]]
+        return pa.RecordBatch.from_arrays([*head, *columns], names=schema.fieldNames())
 
+    return rows.mapInArrow(emit, schema)
 
-def flatten_nested(
-    raw: DataFrame, key: str, order_by: str, body: str, array_fields: Sequence[str]
-) -> DataFrame:
-    """One row per object that is an element of an array, at any depth, in one pass over each body.
 
-    Columns: the key, ``tag`` (name of the array's field), ``node_path``, ``parent_path`` (nearest
-    enclosing such object, or the empty string), ``ordinal`` (zero-based position) and ``payload``
-    (the object's other fields as JSON). ``write_tables`` writes them partitioned by tag and
-    ``read_tag`` applies a schema.
+def write_tables(nodes: DataFrame, path: str) -> None:
+    """Write the tagged rows, one folder per table; an existing path is an error."""
+    nodes.write.partitionBy("table").option("compression", "zstd").mode("errorifexists").parquet(path)
 
-    ``array_fields`` always hold arrays: a lone object stands for an array of one, a string of JSON
-    for what it holds. Null elements give no row but keep their position; null bodies and bodies
-    that don't parse as a whole (a bare NaN or text after the end included) don't count; of a name
-    that an object repeats the last value counts; a null key is a key like any other; an empty
-    table gives an empty result; further columns are never read.
+
+class Tables:
+    """The flat tables that ``write_tables`` wrote, of which the last whole body of each key counts.
+
+    A table reads its own folder only. Which deliveries count is a partial aggregation over the
+    bodies' rows, one row per key and map task before the shuffle; ties in ``at`` fall to the
+    greatest digest, a null ``at`` is the earliest.
     """
-    names = frozenset(array_fields)
-    bodies = valid_latest(raw, key, order_by, body)
-    schema = T.StructType(
-        [
-            T.StructField("key", bodies.schema["key"].dataType),
-            T.StructField("tag", T.StringType()),
-            T.StructField("node_path", T.StringType()),
-            T.StructField("parent_path", T.StringType()),
-            T.StructField("ordinal", T.IntegerType()),
-            T.StructField("payload", T.StringType()),
-        ]
-    )
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = None
-        for batch in batches:
-            kinds = batch.schema.field("key").type
-            owner, rows = [], []
-            for i, text in enumerate(batch.column("body")):
-                for tag, path, parent, ordinal, value in visit(parse_whole(text.as_py()), names):
-                    owner.append(i)
-                    rows.append((tag, path, parent, ordinal, _payload(value, names)))
-                if len(rows) >= EMIT_ROWS:
-                    yield _batch(batch, owner, rows)
-                    owner, rows = [], []
-            if rows:
-                yield _batch(batch, owner, rows)
-
-    def _batch(batch: pa.RecordBatch, owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("key").take(pa.array(owner, type=pa.int64())),
-                pa.array(columns[0], type=pa.string()),
-                pa.array(columns[1], type=pa.string()),
-                pa.array(columns[2], type=pa.string()),
-                pa.array(columns[3], type=pa.int32()),
-                pa.array(columns[4], type=pa.string()),
-            ],
-            names=schema.fieldNames(),
-        )
-
-    return bodies.mapInArrow(emit, schema).withColumnRenamed("key", key)
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str):
+        self.key = key
+        self._rows = spark.read.schema(schema).parquet(path)
 
+    def deliveries(self) -> DataFrame:
+        latest = self._rows.where(F.col("table") == BODIES).groupBy("key").agg(F.max(F.struct("at", "digest", "delivery")).alias("row"))
+        return latest.select("row.delivery")
 
-def write_tables(nodes: DataFrame, path: str) -> None:
-    """Write the tagged rows, one folder per tag; an existing path is an error."""
-    nodes.write.partitionBy("tag").mode("errorifexists").parquet(path)
+    def nodes(self, tag: str | None = None) -> DataFrame:
+        """The nested objects, of all tables or of one: key, tag, node_path, parent_path, ordinal, payload."""
+        rows = self._rows.where(F.col("table") != BODIES if tag is None else F.col("table") == tag)
+        kept = rows.join(self.deliveries(), "delivery", "left_semi")
+        return kept.select(F.col("key").alias(self.key), "tag", "node_path", "parent_path", "ordinal", "payload")
+
+    def read(self, tag: str, schema: T.StructType | str) -> DataFrame:
+        """One table with a schema applied to its payloads; see ``apply_schema``."""
+        return apply_schema(self.nodes(tag), schema)
 
 
-def read_tag(spark: SparkSession, path: str, tag: str, schema: T.StructType | str) -> DataFrame:
-    """One flat table of what ``write_tables`` wrote, with a schema applied to its payloads."""
-    return apply_schema(spark.read.parquet(path).where(F.col("tag") == tag), schema)
+def nested_tables(raw: DataFrame, key: str, order_by: str, body: str, array_fields: Sequence[str], path: str | None = None) -> Tables:
+    """Nested records as flat tables, written partitioned by table, in one pass over each body.
+
+    The tables hold one row per object that is an element of an array, at any depth: the key,
+    ``tag`` (name of the array's field), ``node_path``, ``parent_path`` (nearest enclosing such
+    object, or the empty string), ``ordinal`` (zero-based position) and ``payload`` (the object's
+    other fields as JSON). ``path`` is where they are written; by default a new place in the shared
+    folder.
+
+    ``array_fields`` always hold arrays: a lone object stands for an array of one, a string of JSON
+    for what it holds. Null elements give no row but keep their position; null bodies and bodies
+    that don't parse as a whole (a bare NaN or text after the end included) don't count; of a name
+    that an object repeats the last value counts; a null key is a key like any other; a body
+    delivered twice counts once; an empty table gives empty tables; further columns are never read.
+    """
+    spark = raw.sparkSession
+    nodes = emit_nodes(raw, key, order_by, body, array_fields)
+    path = path or os.path.join(shared_dir(spark), f"nested-{uuid.uuid4().hex}")
+    write_tables(nodes, path)
+    return Tables(spark, path, nodes.schema, key)
 
 
 def apply_schema(nodes: DataFrame, schema: T.StructType | str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratacel.operators.nested import apply_schema, flatten_nested
+from stratacel.operators.nested import Tables, nested_tables
 from stratacel.operators.table_diff import Compared, diff_tables, letters_only, unordered
 from stratacel.session import table
 
@@ -47,30 +47,30 @@ def p1_summary(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("source", "finding").agg(F.count("*").alias("n"))
 
 
-def _nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten_nested(table(spark, sf, "report_raw"), "report_id", "received_at", "body", REPORT_ARRAYS)
+def _tables(spark: SparkSession, sf: str) -> Tables:
+    return nested_tables(table(spark, sf, "report_raw"), "report_id", "received_at", "body", REPORT_ARRAYS)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every nested object with its parent."""
-    return _nodes(spark, sf).select("report_id", "node_path", "parent_path")
+    return _tables(spark, sf).nodes().select("report_id", "node_path", "parent_path")
 
 
 def p5_layers(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of layers, with its schema applied."""
-    rows = apply_schema(_nodes(spark, sf).where("tag = 'layers'"), "id BIGINT, name STRING, kind STRING, opacity DOUBLE, blend_mode STRING")
+    rows = _tables(spark, sf).read("layers", "id BIGINT, name STRING, kind STRING, opacity DOUBLE, blend_mode STRING")
     return rows.select("report_id", "node_path", "parent_path", "ordinal", "id", "name", "kind", "opacity", "blend_mode")
 
 
 def p5_channels(spark: SparkSession, sf: str) -> DataFrame:
     """The flat table of channels; parent_path leads to their layer."""
-    rows = apply_schema(_nodes(spark, sf).where("tag = 'channels'"), "id INT, compression INT")
+    rows = _tables(spark, sf).read("channels", "id INT, compression INT")
     return rows.select("report_id", "node_path", "parent_path", "ordinal", "id", "compression")
 
 
 def p5_tags(spark: SparkSession, sf: str) -> DataFrame:
     """Rows and reports of each flat table."""
-    return _nodes(spark, sf).groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("report_id").alias("reports"))
+    return _tables(spark, sf).nodes().groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("report_id").alias("reports"))
 
 
 QUERIES = {

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stratacel.operators.nested import apply_schema, flatten_nested, parse_deep, parse_whole, read_tag, write_tables
+from stratacel.operators.nested import BODIES, apply_schema, emit_nodes, nested_tables, parse_deep, parse_whole
 from stratacel.operators.table_diff import Compared, diff_tables, letters_only, unordered
 from stratacel.queries.general import REPORT_ARRAYS
 
@@ -104,7 +104,7 @@ def test_arrays_compare_as_multisets(spark):
 
 def nodes(spark, rows):
     raw = spark.createDataFrame(rows, "id bigint, at timestamp, body string, key string, tag string, payload string")
-    return flatten_nested(raw, "id", "at", "body", REPORT_ARRAYS)
+    return nested_tables(raw, "id", "at", "body", REPORT_ARRAYS).nodes()
 
 
 def paths(spark, *bodies):
@@ -172,10 +172,23 @@ def test_deep_parser_refuses(text):
 
 
 def test_tables_written_by_tag(spark, tmp_path):
-    body = json.dumps({"layers": [{"id": 1, "name": "a", "channels": [{"id": -1}]}, {"id": "bad", "name": "b"}]})
+    body = json.dumps({"layers": [{"id": 1, "name": "a", "channels": [{"id": -1}]}, {"id": "bad", "name": "b"}], "odd": [{"x": 1}]})
     path = str(tmp_path / "nodes")
-    write_tables(nodes(spark, [(7, T0, body, "", "", "")]), path)
-    layers = read_tag(spark, path, "layers", "id BIGINT, name STRING").orderBy("node_path").collect()
-    assert [(r.id, r.node_path, r.name) for r in layers] == [(1, "layers/0", "a"), (None, "layers/1", "b")] or len(layers) == 2
-    channels = read_tag(spark, path, "channels", "c INT")
-    assert channels.select("parent_path").first()[0] == "layers/0"
+    raw = spark.createDataFrame([(7, T0, body, "k"), (7, T0, body, "k"), (7, T1, '{"layers":', "k")], "id bigint, at timestamp, body string, key string")
+    tables = nested_tables(raw, "id", "at", "body", REPORT_ARRAYS, path)
+    assert {p.name for p in (tmp_path / "nodes").glob("table=*")} == {"table=layers", "table=channels", "table=_other", "table=_bodies"}
+    layers = tables.read("layers", "id BIGINT, name STRING").orderBy("node_path").collect()
+    assert [(r[0], r.node_path, r.ordinal) for r in layers] == [(7, "layers/0", 0), (7, "layers/1", 1)] and layers[0].name == "a"
+    channels = tables.read("channels", "c INT").collect()
+    assert [(r.parent_path, r.c) for r in channels] == [("layers/0", None)]
+    assert tables.read("frames", "c INT").count() == 0
+    plan = tables.nodes("channels")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(table" in plan
+
+
+def test_each_body_is_parsed_once(spark):
+    raw = spark.createDataFrame([(1, T0, '{"layers":[{},{}]}'), (2, T0, "{"), (1, T1, "{}")], "id bigint, at timestamp, body string")
+    rows = emit_nodes(raw, "id", "at", "body", REPORT_ARRAYS).collect()
+    assert sorted((r.key, r.table) for r in rows) == [(1, BODIES), (1, BODIES), (1, "layers"), (1, "layers")]
+    assert all((r.at is None) == (r.table != BODIES) for r in rows)
+    assert nested_tables(raw, "id", "at", "body", REPORT_ARRAYS).nodes().count() == 0  # the last body holds none
