@@ -84,9 +84,9 @@ def group_score(a: Column, b: Column) -> Column:
 
 
 def name_score(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
-    """Likeness of two names: 20 for equal ones that aren't generic, 5 for equal bases."""
+    """Likeness of two names of their own: 20 for equal ones, 5 for equal bases; a generic one has none."""
     own = ~is_generic_name(a) & ~is_generic_name(b)
-    return F.when(own & (a == b), 20).when(base_a == base_b, 5).otherwise(0)
+    return F.when(own & (a == b), 20).when(own & (base_a == base_b), 5).otherwise(0)
 
 
 def order_score(rank: Column, median: Column) -> Column:

@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 
 from stratacel.session import checkpoint
 
-#: Depth beyond which a hierarchy is taken to hold a cycle.
-MAX_DEPTH = 64
-
 
 def flatten(nodes: DataFrame, node: str, parent: str, ordinal: str, group: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Depth, index path (``0/2/1``) and ancestor ids of every node, level by level.
+    """Depth, index path (``0/2/1``) and ancestor ids of every node.
 
-    Each level is one equi-join with the nodes, so the number of joins is the depth of the deepest
-    tree, not its size. Nodes that no root leads to don't come out.
+    Pointer doubling: a node knows the part of its path up to an ancestor, and each round puts that
+    ancestor's part before it, so a tree of depth d takes log2(d) joins whatever d is. Nodes that no
+    root leads to, those of a cycle and under one included, don't come out: a round that reaches no
+    root any more ends it.
     """
     keys = list(group)
-    base = nodes.select(*keys, F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(ordinal).alias("ordinal"))
-    level = checkpoint(
-        base.where("parent IS NULL").select(*keys, "node", F.lit(0).alias("depth"), F.col("ordinal").cast("string").alias("path"), F.array().cast("array<bigint>").alias("ancestors"))
-    )
-    out = level
-    for _ in range(MAX_DEPTH):
-        above = level.select(*keys, F.col("node").alias("parent"), "depth", "path", "ancestors")
-        level = checkpoint(
-            base.join(above, [*keys, "parent"]).select(
-                *keys, "node", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("ordinal").cast("string")).alias("path"),
-                F.concat("ancestors", F.array(F.col("parent").cast("bigint"))).alias("ancestors"),
+    state = checkpoint(
+        nodes.select(
+            *keys, F.col(node).alias("node"), F.col(parent).cast("bigint").alias("above"), F.lit(0).alias("depth"), F.col(ordinal).cast("string").alias("path"), F.array().cast("array<bigint>").alias("ancestors")
+        )
+    )
+    done, waiting = state.where("above IS NULL"), state.where("above IS NOT NULL")
+    while not waiting.isEmpty():
+        upper = state.select(
+            *keys, F.col("node").cast("bigint").alias("above"), F.col("above").alias("next"), F.col("depth").alias("more"), F.col("path").alias("lead"), F.col("ancestors").alias("upper")
+        )
+        state = checkpoint(
+            waiting.join(upper, [*keys, "above"])
+            .select(
+                *keys, "node", F.col("next").alias("above"), (F.col("depth") + F.col("more") + 1).alias("depth"), F.concat_ws("/", "lead", "path").alias("path"),
+                F.concat("upper", F.array("above"), "ancestors").alias("ancestors"),
             )
+            .unionByName(done)
         )
-        if level.isEmpty():
-            return out.withColumnRenamed("node", node)
-        out = out.unionByName(level)
-    raise ValueError(f"deeper than {MAX_DEPTH} levels, or a cycle")
+        reached, waiting = state.where("above IS NULL"), state.where("above IS NOT NULL")
+        if reached.count() == done.count():
+            break
+        done = reached
+    return done.select(*keys, F.col("node").alias(node), "depth", "path", "ancestors")
 
 
 def closure(flat: DataFrame, node: str, group: Sequence[str] = ("doc_id",)) -> DataFrame:

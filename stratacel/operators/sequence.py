@@ -138,7 +138,7 @@ def playback(tags: DataFrame, first: str, last: str, direction: str) -> DataFram
 
 def nearest_both_sides(df: DataFrame, keys: Names, order: Names, value: Column, before: str, after: str) -> DataFrame:
     """The nearest earlier and later non-null value of each row, itself not counted."""
-    w = _window(keys, order)
-    return df.withColumn(before, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
-        after, F.first(value, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    )
+    earlier = Window.unboundedPreceding, -1  # both as a running value: a frame that shrinks is gone over anew for each row
+    forwards = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*earlier)
+    backwards = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(*earlier)
+    return df.withColumn(before, F.last(value, ignorenulls=True).over(forwards)).withColumn(after, F.last(value, ignorenulls=True).over(backwards))

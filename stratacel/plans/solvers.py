@@ -9,8 +9,6 @@ import numpy as np
 
 #: Weight of an edge besides its score, so that the solver weighs edges and not only their number (fixed value).
 EDGE_BONUS = 100
-#: Swaps of crossing assignments before the weaker edge is dropped.
-MAX_SWAPS = 64
 
 
 def _assign(weight: np.ndarray) -> tuple[float, np.ndarray]:
@@ -163,26 +161,32 @@ def z_indices(current: Sequence, wanted: Sequence) -> dict:
 def uncross(assigned: list[tuple], order: Mapping, median: Mapping, scores: Mapping, overlap: Callable | None = None) -> list[tuple]:
     """Swaps or drops assignments whose items overlap and stand in the opposite order of their tracks.
 
-    Without ``overlap``, a test of two items, all of them overlap. Of equal scores the first
-    assignment is dropped. Equal medians don't cross, and swaps are bounded, so it always ends.
+    Without ``overlap``, a test of two items, all of them overlap. The first crossing is repaired
+    until none is left; of equal scores the first assignment is dropped. Equal medians don't cross,
+    and a swap leaves fewer pairs in opposite order, so it always ends.
     """
-    pairs, swaps = list(assigned), 0
-    while True:
-        crossing = next(
-            (
-                (i, j)
-                for i in range(len(pairs))
-                for j in range(i + 1, len(pairs))
-                if (order[pairs[i][0]] - order[pairs[j][0]]) * (median[pairs[i][1]] - median[pairs[j][1]]) < 0
-                and (overlap is None or overlap(pairs[i][0], pairs[j][0]))
-            ),
-            None,
-        )
-        if crossing is None:
-            return pairs
-        (a, s), (b, t) = pairs[crossing[0]], pairs[crossing[1]]
-        if (a, t) in scores and (b, s) in scores and swaps < MAX_SWAPS:
-            pairs[crossing[0]], pairs[crossing[1]] = (a, t), (b, s)
-            swaps += 1
+    pairs = list(assigned)
+    place = np.array([order[a] for a, _ in pairs])
+    track = np.array([median[t] for _, t in pairs])
+    alive = np.ones(len(pairs), dtype=bool)
+
+    def crossing(i: int, js: np.ndarray) -> int | None:
+        """The first of the places that crosses with i."""
+        apart = js[alive[js] & ((place[js] - place[i]) * (track[js] - track[i]) < 0)]
+        return next((int(j) for j in apart if overlap is None or overlap(pairs[min(i, j)][0], pairs[max(i, j)][0])), None)
+
+    i = 0
+    while i < len(pairs):
+        j = crossing(i, np.arange(i + 1, len(pairs))) if alive[i] else None
+        if j is None:
+            i += 1
+            continue
+        (a, s), (b, t) = pairs[i], pairs[j]
+        if (a, t) in scores and (b, s) in scores:
+            pairs[i], pairs[j] = (a, t), (b, s)
+            track[i], track[j] = track[j], track[i]
+            before = [k for k in (crossing(i, np.arange(i)), crossing(j, np.arange(i))) if k is not None]
+            i = min([i, *before])  # what stood before may cross with the changed two
         else:
-            pairs.pop(crossing[0] if scores.get((a, s), 0) <= scores.get((b, t), 0) else crossing[1])
+            alive[i if scores.get((a, s), 0) <= scores.get((b, t), 0) else j] = False
+    return [p for p, kept in zip(pairs, alive) if kept]

@@ -107,7 +107,7 @@ def score(row, place: int, track: Track) -> int:
     """Likeness of an observation and a track, 0 to 100, by name, group, order, geometry and pixels."""
     last = track.seen[-1]
     named = not row.generic and not last.generic
-    name = 20 if named and row.name == last.name else 5 if row.base == last.base else 0
+    name = 20 if named and row.name == last.name else 5 if named and row.base == last.base else 0
     order = max(0, 20 - 4 * min(abs(place - track.median), 5))
     group = max(_group(row.path, p) for p in track.paths)
     geometry = max(_geometry(row, s) for s in track.boxes.values())

@@ -190,30 +190,66 @@ def track_plan(spark: SparkSession, sf: str) -> DataFrame:
     return P.plan_tracks(_observed(spark, sf))
 
 
-@query("SELECT ''::VARCHAR AS doc_id, 0::INT AS frame, 0::BIGINT AS layer WHERE false")
+@query(_CELS + """, l AS (SELECT * FROM snapshot_layer QUALIFY row_number() OVER (PARTITION BY doc_id, source_layer_id ORDER BY ingested_at DESC, layer_key DESC) = 1)
+SELECT c.doc_id, c.frame_index AS frame, c.source_layer_id AS layer, 1::BIGINT AS planned FROM c JOIN l USING (doc_id, source_layer_id) WHERE l.kind <> 'group' AND l.visible AND c.pixels IS NOT NULL GROUP BY ALL""")
 def track_conservation(spark: SparkSession, sf: str) -> DataFrame:
-    """Observations that the plan lost or doubled: none (SET-03)."""
-    observed = _observed(spark, sf)
-    return P.unassigned(observed, P.plan_tracks(observed))
+    """Every observation and how often it is in the plan: once (SET-03, SLV-06)."""
+    return P.plan_tracks(_observed(spark, sf)).groupBy("doc_id", "frame", "layer").agg(F.count("*").alias("planned"))
 
 
-def _encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _encoded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    documents = K.latest_delivery(table(spark, sf, "psd_document"), ["doc_id"])
     frames = K.latest_delivery(table(spark, sf, "psd_frame"), ["doc_id", "frame_index"])
     layers = K.latest_delivery(table(spark, sf, "snapshot_layer"), ["doc_id", "source_layer_id"])
     cels = _cels(spark, sf)
-    return layers, cels, W.encode_documents(frames, layers, cels)
+    return documents, frames, cels, W.encode_documents(documents, frames, layers, cels)
 
 
-@query()
+_LATEST_LAYERS = """, l AS (SELECT * FROM snapshot_layer QUALIFY row_number() OVER (PARTITION BY doc_id, source_layer_id ORDER BY ingested_at DESC, layer_key DESC) = 1),
+s AS (SELECT * FROM c WHERE octet_length(pixels) = width * height * 4 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = c.doc_id AND l.source_layer_id = c.source_layer_id))"""
+
+
+@query(_CELS + _LATEST_LAYERS + """, k AS (SELECT doc_id, source_layer_id, pixels, width, height, count(*) AS n FROM s GROUP BY ALL)
+SELECT doc_id, sum(n)::INT AS cels, sum(n - 1)::INT AS linked, (SELECT count(*) FROM l WHERE l.doc_id = k.doc_id)::INT AS layers, NULL::VARCHAR AS problem FROM k GROUP BY doc_id""")
 def sprite_files(spark: SparkSession, sf: str) -> DataFrame:
     """One encoded file per document, equal cels linked (SNK-01, SNK-03, WIN-05)."""
-    return _encoded(spark, sf)[2].select("doc_id", "layers", "cels", "linked", "bytes")
+    return _encoded(spark, sf)[3].select("doc_id", "layers", "cels", "linked", "problem")
+
+
+@query("""WITH d AS (SELECT * FROM psd_document QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC) = 1),
+f AS (SELECT doc_id, frame_index, arg_max(coalesce(duration_ms, -1), ingested_at) AS ms FROM psd_frame GROUP BY ALL),
+t AS (SELECT doc_id, max(frame_index) + 1 AS n, sum(CASE WHEN ms < 0 THEN 100 ELSE ms END)::BIGINT AS ms, count(*) AS given FROM f GROUP BY doc_id)
+SELECT doc_id, width::INT AS width, height::INT AS height, n::INT AS frames, (ms + 100 * (n - given))::BIGINT AS duration, loop_tag AS loop,
+CASE WHEN loop_tag IS NOT NULL THEN 0 END::INT AS loop_first, CASE WHEN loop_tag IS NOT NULL THEN n - 1 END::INT AS loop_last, CASE WHEN loop_tag IS NOT NULL THEN coalesce(loop_count, 0) END::INT AS loop_repeat
+FROM d JOIN t USING (doc_id)""")
+def sprite_headers(spark: SparkSession, sf: str) -> DataFrame:
+    """Canvas, length, duration and loop as the written files give them back (SRC-09, SNK-01, SNK-03, PRJ-08)."""
+    return W.decode_documents(_encoded(spark, sf)[3], "headers")
+
+
+@query("""WITH RECURSIVE l AS (SELECT * FROM snapshot_layer QUALIFY row_number() OVER (PARTITION BY doc_id, source_layer_id ORDER BY ingested_at DESC, layer_key DESC) = 1),
+t AS (SELECT doc_id, source_layer_id, 0 AS level, [(child_ordinal, source_layer_id)] AS way FROM l WHERE parent_layer_id IS NULL OR NOT EXISTS (SELECT 1 FROM l p WHERE p.doc_id = l.doc_id AND p.source_layer_id = l.parent_layer_id)
+UNION ALL SELECT l.doc_id, l.source_layer_id, t.level + 1, list_append(t.way, (l.child_ordinal, l.source_layer_id)) FROM l JOIN t ON l.doc_id = t.doc_id AND l.parent_layer_id = t.source_layer_id)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY way) - 1)::INT AS place, coalesce(name, '') AS name, kind = 'group' AS grouped, level::INT AS level, coalesce(visible, false) AS visible, coalesce(opacity, 255)::INT AS opacity
+FROM t JOIN l USING (doc_id, source_layer_id)""")
+def sprite_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """The layer trees as the written files give them back (SRC-09, SNK-01, PRJ-07)."""
+    return W.decode_documents(_encoded(spark, sf)[3], "layers").drop("blend")
+
+
+@query(_CELS + _LATEST_LAYERS + """ SELECT doc_id, frame_index AS frame, x, y, opacity, width, height, sha256(pixels) AS digest,
+row_number() OVER (PARTITION BY doc_id, source_layer_id, pixels, width, height ORDER BY frame_index) > 1 AS linked FROM s""")
+def sprite_cels(spark: SparkSession, sf: str) -> DataFrame:
+    """The cels as the written files give them back, links followed (SRC-10, SRC-12, WIN-05)."""
+    return W.decode_documents(_encoded(spark, sf)[3], "cels").drop("layer")
 
 
-@query("SELECT ''::VARCHAR AS doc_id, ''::VARCHAR AS layer, 0::INT AS frame, 0::INT AS x, 0::INT AS y, 0::INT AS opacity, 0::INT AS width, 0::INT AS height, ''::VARCHAR AS digest WHERE false")
+@query("SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS differing FROM psd_document")
 def sprite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Cels that the files don't give back as they were written: none (VAL-01, SRC-12)."""
-    return W.roundtrip_differences(*_encoded(spark, sf))
+    """Documents that were written, and those whose files don't give them back (VAL-01)."""
+    documents, frames, cels, encoded = _encoded(spark, sf)
+    apart = W.roundtrip_differences(documents, frames, cels, encoded).select("doc_id").distinct().agg(F.count("*").alias("differing"))
+    return encoded.where("content IS NOT NULL").agg(F.count("*").alias("documents")).join(apart, F.lit(True))
 
 
 @query()

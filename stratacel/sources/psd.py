@@ -8,8 +8,10 @@ can't be read becomes a row of the tag ``error`` instead of an exception of the
 from __future__ import annotations
 
 import json
+import re
 import struct
-from collections.abc import Iterator
+import urllib.parse
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,13 +71,62 @@ class Reader:
         return raw.decode("latin-1")
 
 
-def descriptor(r: Reader, depth: int = 0) -> dict:
-    """A keyed tree of values; objects are dicts, lists are lists, units and enumerations small dicts."""
-    if depth > 64:
-        raise Damaged("descriptor nested too deeply")
+def descriptor(r: Reader) -> dict:
+    """A keyed tree of values; objects are dicts, lists are lists, units and enumerations small dicts.
+
+    The open objects and lists stand on a stack, so depth is bounded by the bytes only.
+    """
+    root: dict = {}
+    stack = [[root, _object(r)]]  # holder, members left
+    while stack:
+        holder, left = stack[-1]
+        if not left:
+            stack.pop()
+            continue
+        stack[-1][1] -= 1
+        key = _key(r) if isinstance(holder, dict) else None
+        kind = r.take(4)
+        if kind in (b"Objc", b"GlbO"):
+            value, members = {}, _object(r)
+        elif kind == b"VlLs":
+            value, members = [], r.number("I")
+        else:
+            value, members = _value(r, kind), None
+        if key is None:
+            holder.append(value)
+        else:
+            holder[key] = value
+        if members is not None:
+            stack.append([value, members])
+    return root
+
+
+def _object(r: Reader) -> int:
+    """Reads the head of an object and returns the number of its members."""
     r.text()  # a display name
     _key(r)
-    return {_key(r): _value(r, depth) for _ in range(r.number("I"))}
+    return r.number("I")
+
+
+def to_json(value) -> str:
+    """JSON of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        pass
+    out, stack = [], [value]  # values to write, and finished text as one-element tuples
+    while stack:
+        at = stack.pop()
+        if isinstance(at, tuple):
+            out.append(at[0])
+        elif isinstance(at, dict):
+            parts = [x for k, v in at.items() for x in ((", ",), (json.dumps(k, ensure_ascii=False) + ": ",), v)][1:]
+            stack.extend(reversed([("{",), *parts, ("}",)]))
+        elif isinstance(at, list):
+            stack.extend(reversed([("[",), *[x for v in at for x in ((", ",), v)][1:], ("]",)]))
+        else:
+            out.append(json.dumps(at, ensure_ascii=False))
+    return "".join(out)
 
 
 def _key(r: Reader) -> str:
@@ -83,12 +134,7 @@ def _key(r: Reader) -> str:
     return r.take(size or 4).decode("latin-1")
 
 
-def _value(r: Reader, depth: int):
-    kind = r.take(4)
-    if kind in (b"Objc", b"GlbO"):
-        return descriptor(r, depth + 1)
-    if kind == b"VlLs":
-        return [_value(r, depth + 1) for _ in range(r.number("I"))]
+def _value(r: Reader, kind: bytes):
     if kind == b"doub":
         return r.number("d")
     if kind == b"UntF":
@@ -253,48 +299,90 @@ def _metadata(r: Reader) -> dict:
     return {"items": out}
 
 
-def scan(data: bytes, headers_only: bool = False) -> list[tuple]:
+def head_size(read: Callable[[int, int], bytes]) -> int:
+    """How many bytes lead up to the layers' section, its length included; ``read`` gives (start, count)."""
+    wide = read(4, 2) == b"\0\2"
+    at = 26
+    for _ in range(2):  # the colours, the resources
+        raw = read(at, 4)
+        if len(raw) < 4:
+            return at + len(raw)
+        at += 4 + struct.unpack(">I", raw)[0]
+    return at + (8 if wide else 4)
+
+
+def scan(data: bytes, headers_only: bool = False, size: int | None = None) -> list[tuple]:
     """(tag, ordinal, parent, start, end, fields) of one document: header, sections, resources, layers,
-    their metadata and markers. ``headers_only`` stops before the layers' records.
+    their metadata and markers. ``headers_only`` stops before the layers' records, of which ``data``
+    needn't hold anything: it is then the first ``head_size`` of ``size`` bytes.
     """
     out: list[tuple] = []
     r = Reader(data)
+    whole = len(data) if size is None else size
     try:
         fields, wide = _header(r)
         out.append(("header", 0, None, 0, r.at, fields))
         for k, name in enumerate(("color", "resources", "layers")):
             start = r.at
-            size = _length(r, wide and name == "layers")
-            body = r.part(size)
-            out.append(("section", k, None, start, r.at, {"name": name, "size": size}))
+            count = _length(r, wide and name == "layers")
+            if name == "layers" and headers_only:
+                if r.at + count > whole:
+                    raise Damaged(f"a part ends at {r.at + count} of {whole}")
+                out.append(("section", k, None, start, r.at + count, {"name": name, "size": count}))
+                r.at += count
+                continue
+            body = r.part(count)
+            out.append(("section", k, None, start, r.at, {"name": name, "size": count}))
             if name == "resources":
                 out.extend(_resources(body))
-            elif name == "layers" and size and not headers_only:
+            elif name == "layers" and count:
                 own = body.part(_length(body, wide))
                 if own.left:
                     out.extend(_records(own, wide))
-        out.append(("section", 3, None, r.at, len(data), {"name": "composite", "size": len(data) - r.at}))
+        out.append(("section", 3, None, r.at, whole, {"name": "composite", "size": whole - r.at}))
     except (Damaged, struct.error, UnicodeError) as e:
-        out.append(("error", len(out), None, r.at, len(data), {"message": str(e)}))
+        out.append(("error", len(out), None, r.at, whole, {"message": str(e)}))
     return out
 
 
-def read_documents(spark: SparkSession, path: str, headers_only: bool = False) -> DataFrame:
-    """All blocks of the documents of a folder: columns of ``BLOCK``; fields are JSON, tags partition them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+def blocks_of(files: DataFrame, headers_only: bool = False) -> DataFrame:
+    """All blocks of documents given as ``path`` and ``content``: columns of ``BLOCK``, fields as JSON.
+
+    Without ``content``, of each path only the bytes before the layers' section are read.
+    """
+    whole = "content" in files.columns
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content")):
+            for i, name in enumerate(batch.column("path").to_pylist()):
+                if whole:
+                    found = scan(batch.column("content")[i].as_py() or b"", headers_only)
+                else:
+                    found = scan(*_head(name))
                 rows = [
-                    {"path": name.as_py(), "tag": tag, "ordinal": k, "parent": parent, "start": start, "end": end, "fields": json.dumps(fields, ensure_ascii=False)}
-                    for tag, k, parent, start, end, fields in scan(content.as_py(), headers_only)
+                    {"path": name, "tag": tag, "ordinal": k, "parent": parent, "start": start, "end": end, "fields": to_json(fields)}
+                    for tag, k, parent, start, end, fields in found
                 ]
                 yield pa.RecordBatch.from_pylist(rows, schema=_schema())
 
     return files.mapInArrow(parse, BLOCK)
 
 
+def _head(path: str) -> tuple[bytes, bool, int]:
+    """The arguments of ``scan`` for the beginning of a file, wherever its address leads."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", urllib.parse.quote(path, safe=":/@%?=&")))
+    with system.open_input_file(at) as file:
+        return file.read_at(min(head_size(lambda start, count: file.read_at(count, start)), file.size()), 0), True, file.size()
+
+
+def read_documents(spark: SparkSession, path: str, headers_only: bool = False) -> DataFrame:
+    """All blocks of the documents of a folder; ``headers_only`` reads only the beginnings of the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return blocks_of(files.select("path") if headers_only else files.select("path", "content"), headers_only)
+
+
 def _schema() -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
     return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in BLOCK.split(", "))])

@@ -6,6 +6,7 @@ the check that a writer runs on what it has just written.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -166,23 +167,49 @@ def flattened_frames(document: dict) -> dict[int, dict]:
     return out
 
 
-ENCODED = "doc_id string, layers int, cels int, linked int, bytes bigint, content binary"
+ENCODED = "doc_id string, layers int, cels int, linked int, bytes bigint, problem string, content binary"
+#: The largest canvas side, duration, frame number and layer number of the format.
+LARGEST = 0xFFFF
 
 
-def encode_documents(frames: DataFrame, layers: DataFrame, cels: DataFrame, reuse: bool = True) -> DataFrame:
-    """One file per document from the snapshot tables, each layer its own; equal cels of a layer link
-    back to the first where ``reuse``. A file is one value, so its document is one task.
+def tree_order(rows: Sequence[dict]) -> list[tuple[dict, int]]:
+    """(row, level) of layers in file order: siblings by ordinal, what a group holds right after it.
+
+    rows: layer, above (the parent's layer or None), place. A parent that isn't there counts as
+    none; what lies on a cycle isn't reached and comes last, without a level.
+    """
+    there = {r["layer"] for r in rows}
+    below: dict = {}
+    for r in sorted(rows, key=lambda r: (r["place"] is None, r["place"], r["layer"]), reverse=True):
+        below.setdefault(r["above"] if r["above"] in there else None, []).append(r)
+    out, stack = [], [(r, 0) for r in below.get(None, ())]
+    while stack:
+        r, level = stack.pop()
+        out.append((r, level))
+        stack.extend((k, level + 1) for k in below.get(r["layer"], ()))
+    reached = {r["layer"] for r, _ in out}
+    return out + [(r, 0) for r in rows if r["layer"] not in reached]
+
+
+def encode_documents(documents: DataFrame, frames: DataFrame, layers: DataFrame, cels: DataFrame, reuse: bool = True) -> DataFrame:
+    """One file per document from the snapshot tables, with its canvas, tree, timeline and loop.
+
+    Equal cels of a layer link back to the first where ``reuse``. A loop becomes a tag over all
+    frames, whose repeat is the loop count (0 plays on and on). What the format can't hold isn't
+    cut to size: the document gets no file but a ``problem``. A file is one value, so its document
+    is one task.
     """
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, drawn = left.to_pylist(), right.to_pylist()
-        own = sorted((r for r in rows if r["layer"] is not None), key=lambda r: (r["place"], r["layer"]))
-        place = {r["layer"]: k for k, r in enumerate(own)}
+        head = next((r for r in rows if r["width"] is not None or r["height"] is not None), {"width": None, "height": None, "loop": None, "repeat": None})
+        ordered = tree_order([r for r in rows if r["layer"] is not None])
+        place = {r["layer"]: k for k, (r, _) in enumerate(ordered)}
         length = max([r["frame"] for r in rows if r["frame"] is not None] + [c["frame"] for c in drawn], default=-1) + 1
         ms: list = [None] * length
         for r in rows:
             if r["frame"] is not None:
-                ms[r["frame"]] = None if r["ms"] is None else min(r["ms"], 0xFFFF)
+                ms[r["frame"]] = r["ms"]
         out, first, linked = [], {}, 0
         for c in sorted(drawn, key=lambda c: (c["frame"], c["layer"])):
             if c["layer"] not in place:
@@ -195,49 +222,115 @@ def encode_documents(frames: DataFrame, layers: DataFrame, cels: DataFrame, reus
                 cel |= {"width": c["width"], "height": c["height"], "pixels": c["pixels"]}
                 first[key] = c["frame"]
             out.append(cel)
-        described = [{"name": r["name"] or "", "group": r["kind"] == "group", "level": 0, "visible": bool(r["visible"]), "opacity": 255 if r["strength"] is None else r["strength"], "blend": r["blend"] or "normal"} for r in own]
+        described = [
+            {"name": r["name"] or "", "group": r["kind"] == "group", "level": level, "visible": bool(r["visible"]), "opacity": 255 if r["strength"] is None else r["strength"], "blend": r["blend"] or "normal"}
+            for r, level in ordered
+        ]
+        tags = [] if head["loop"] is None or not length else [{"first": 0, "last": length - 1, "direction": "forward", "repeat": head["repeat"] or 0, "name": head["loop"]}]
+        problem = _problem(head, ms, described, tags)
+        data = None
+        if problem is None:
+            try:
+                data = encode(head["width"], head["height"], ms, described, out, tags)
+            except (ValueError, TypeError, struct.error) as e:
+                problem = str(e)
         doc = (rows or drawn)[0]["doc_id"]
-        data = encode(1, 1, ms, described, out)
-        return pa.Table.from_pylist([{"doc_id": doc, "layers": len(described), "cels": len(out), "linked": linked, "bytes": len(data), "content": data}], schema=_schema())
-
-    none = lambda kind: F.lit(None).cast(kind)
-    timeline = frames.select("doc_id", F.col("frame_index").alias("frame"), F.col("duration_ms").cast("int").alias("ms"), none("bigint").alias("layer"), none("int").alias("place"), none("string").alias("name"), none("string").alias("kind"), none("boolean").alias("visible"), none("int").alias("strength"), none("string").alias("blend"))
-    tree = layers.select("doc_id", none("int").alias("frame"), none("int").alias("ms"), F.col("source_layer_id").alias("layer"), F.col("child_ordinal").alias("place"), "name", "kind", "visible", F.col("opacity").alias("strength"), F.col("blend_mode").alias("blend"))
-    pixels = cels.where(F.length("pixels") == F.col("width") * F.col("height") * 4).select("doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), "x", "y", "opacity", "width", "height", "pixels")
-    return timeline.unionByName(tree).groupBy("doc_id").cogroup(pixels.groupBy("doc_id")).applyInArrow(write, ENCODED)
-
-
-def _schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ENCODED.split(", "))])
+        size = None if data is None else len(data)
+        return pa.Table.from_pylist([{"doc_id": doc, "layers": len(described), "cels": len(out), "linked": linked, "bytes": size, "problem": problem, "content": data}], schema=_schema(ENCODED))
+
+    heads = documents.select("doc_id", "width", "height", F.col("loop_tag").alias("loop"), F.col("loop_count").alias("repeat"))
+    timeline = frames.select("doc_id", F.col("frame_index").alias("frame"), F.col("duration_ms").alias("ms"))
+    tree = layers.select(
+        "doc_id", F.col("source_layer_id").alias("layer"), F.col("parent_layer_id").alias("above"), F.col("child_ordinal").alias("place"), "name", "kind", "visible", F.col("opacity").alias("strength"), F.col("blend_mode").alias("blend")
+    )
+    pixels = sound_cels(cels).select("doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), "x", "y", "opacity", "width", "height", "pixels")
+    every = heads.unionByName(timeline, allowMissingColumns=True).unionByName(tree, allowMissingColumns=True)
+    return every.groupBy("doc_id").cogroup(pixels.groupBy("doc_id")).applyInArrow(write, ENCODED)
+
+
+def sound_cels(cels: DataFrame) -> DataFrame:
+    """Cels with a place and pixels of the length that their size wants."""
+    return cels.where("frame_index IS NOT NULL AND source_layer_id IS NOT NULL").where(F.length("pixels") == F.col("width").cast("bigint") * F.col("height") * 4)
+
+
+def _problem(head: dict, ms: list, described: list, tags: list) -> str | None:
+    """What the format can't hold."""
+    for side in ("width", "height"):
+        if head[side] is None or not 1 <= head[side] <= LARGEST:
+            return f"{side} {head[side]}"
+    if not 1 <= len(ms) <= LARGEST:
+        return f"{len(ms)} frames"
+    for f, d in enumerate(ms):
+        if d is not None and not 0 <= d <= LARGEST:
+            return f"frame {f} of {d} ms"
+    if len(described) > LARGEST:
+        return f"{len(described)} layers"
+    if any(not 0 <= t["repeat"] <= LARGEST for t in tags):
+        return f"repeat {tags[0]['repeat']}"
+    return None
+
+
+def _schema(columns: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in columns.split(", "))])
+
+
+#: What the parts of a decoded document are given as.
+DECODED = {
+    "headers": "doc_id string, width int, height int, frames int, duration bigint, loop string, loop_first int, loop_last int, loop_repeat int",
+    "layers": "doc_id string, place int, name string, grouped boolean, level int, visible boolean, opacity int, blend string",
+    "frames": "doc_id string, frame int, duration int",
+    "cels": "doc_id string, layer int, frame int, x int, y int, opacity int, width int, height int, digest string, linked boolean",
+}
+
+
+def _rows(document: dict, part: str) -> Iterator[dict]:
+    if part == "headers":
+        tag = (document["tags"] or [{"name": None, "first": None, "last": None, "repeat": None}])[0]
+        yield {"width": document["width"], "height": document["height"], "frames": len(document["durations"]), "duration": sum(document["durations"])} | {
+            "loop": tag["name"], "loop_first": tag["first"], "loop_last": tag["last"], "loop_repeat": tag["repeat"]
+        }
+    elif part == "layers":
+        for k, own in enumerate(document["layers"]):
+            yield {"place": k, "grouped": own["group"]} | {n: own[n] for n in ("name", "level", "visible", "opacity", "blend")}
+    elif part == "frames":
+        for f, ms in enumerate(document["durations"]):
+            yield {"frame": f, "duration": ms}
+    else:
+        links = {(c["layer"], c["frame"]) for c in document["cels"] if c["link"] is not None}
+        for c in shown(document):
+            yield {"digest": hashlib.sha256(c["pixels"]).hexdigest(), "linked": (c["layer"], c["frame"]) in links} | {k: c[k] for k in ("layer", "frame", "x", "y", "opacity", "width", "height")}
+
+
+def decode_documents(encoded: DataFrame, part: str) -> DataFrame:
+    """One part of the documents that files hold, a key of ``DECODED``; of cels links are followed and
+    pixels are given by their digest."""
+    schema = DECODED[part]
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, content in zip(batch.column("doc_id"), batch.column("content")):
+                own = {"doc_id": doc.as_py()}
+                yield pa.RecordBatch.from_pylist([own | r for r in _rows(decode(content.as_py()), part)], schema=_schema(schema))
 
-DECODED = "doc_id string, layer string, frame int, x int, y int, opacity int, width int, height int, digest string"
+    return encoded.where("content IS NOT NULL").select("doc_id", "content").mapInArrow(read, schema)
 
 
-def decode_cels(encoded: DataFrame) -> DataFrame:
-    """The cels that encoded documents show, links followed, pixels as a digest."""
-    import hashlib
+def roundtrip_differences(documents: DataFrame, frames: DataFrame, cels: DataFrame, encoded: DataFrame) -> DataFrame:
+    """What was written and doesn't come back, or the reverse: doc_id, part and what it is as JSON.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, content in zip(batch.column("doc_id"), batch.column("content")):
-                document = decode(content.as_py())
-                rows = [
-                    {"doc_id": doc.as_py(), "layer": document["layers"][c["layer"]]["name"], "digest": hashlib.sha256(c["pixels"]).hexdigest()} | {k: c[k] for k in ("frame", "x", "y", "opacity", "width", "height")}
-                    for c in shown(document)
-                ]
-                kinds = {"string": pa.string(), "int": pa.int32()}
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, kinds[t]) for n, t in (c.split() for c in DECODED.split(", "))]))
-
-    return encoded.select("doc_id", "content").mapInArrow(read, DECODED)
-
-
-def roundtrip_differences(layers: DataFrame, cels: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Cels that were written and don't come back, or the reverse: none."""
-    named = layers.select("doc_id", "source_layer_id", F.coalesce("name", F.lit("")).alias("layer"))
-    wanted = cels.where(F.length("pixels") == F.col("width") * F.col("height") * 4).join(named, ["doc_id", "source_layer_id"]).select(
-        "doc_id", "layer", F.col("frame_index").alias("frame"), "x", "y", "opacity", "width", "height", F.sha2("pixels", 256).alias("digest")
-    )
-    got = decode_cels(encoded)
-    return wanted.exceptAll(got).unionByName(got.exceptAll(wanted))
+    Canvas, frames, durations and loops of documents, and every cel with its drawing.
+    """
+    written = encoded.where("content IS NOT NULL").select("doc_id")
+    timeline = frames.select("doc_id", F.col("frame_index").alias("frame"), F.coalesce("duration_ms", F.lit(DEFAULT_MS)).cast("int").alias("duration"))
+    lengths = timeline.groupBy("doc_id").agg((F.max("frame") + 1).alias("frames"))
+    heads = documents.join(lengths, "doc_id").select("doc_id", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "frames", F.col("loop_tag").alias("loop"), F.when(F.col("loop_tag").isNotNull(), F.coalesce("loop_count", F.lit(0))).cast("int").alias("loop_repeat"))
+    drawn = sound_cels(cels).select("doc_id", F.col("frame_index").alias("frame"), "x", "y", "opacity", "width", "height", F.sha2("pixels", 256).alias("digest"))
+    out = None
+    for part, wanted in (("headers", heads), ("frames", timeline), ("cels", drawn)):
+        wanted = wanted.join(written, "doc_id", "left_semi")
+        got = decode_documents(encoded, part).select(*wanted.columns)
+        apart = wanted.exceptAll(got).withColumn("side", F.lit("written")).unionByName(got.exceptAll(wanted).withColumn("side", F.lit("read")))
+        own = apart.select("doc_id", F.lit(part).alias("part"), F.to_json(F.struct(*[c for c in apart.columns if c != "doc_id"])).alias("difference"))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -181,3 +181,35 @@ def test_plan_is_conserved(spark):
     votes = P.group_votes(plan, observed).collect()
     assert len(votes) == plan.select("doc_id", "track").distinct().count()
     assert P.plan_tracks(observed.limit(0)).count() == 0
+
+
+def test_many_swaps_leave_nothing_crossing():
+    n = 450
+    order = {i: i for i in range(n)}
+    median = {t: n - t for t in range(n)}
+    scores = {(i, t): 50 for i in range(n) for t in range(n)}
+    out = Z.uncross([(i, i) for i in range(n)], order, median, scores)
+    assert out == [(i, n - 1 - i) for i in range(n)]  # some 10^5 swaps, none dropped
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_uncross_against_plain_repairs(seed):
+    rng = random.Random(seed)
+    n = rng.randrange(2, 9)
+    order = {i: i for i in range(n)}
+    median = {t: rng.randrange(6) for t in range(n)}
+    scores = {(i, t): rng.randrange(40, 100) for i in range(n) for t in range(n) if i == t or rng.random() < 0.6}
+    touching = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.7}
+    pairs = [(i, i) for i in range(n)]
+    crossing = lambda p, q: (order[p[0]] - order[q[0]]) * (median[p[1]] - median[q[1]]) < 0 and (p[0], q[0]) in touching
+    while True:
+        found = next(((i, j) for i in range(len(pairs)) for j in range(i + 1, len(pairs)) if crossing(pairs[i], pairs[j])), None)
+        if found is None:
+            break
+        i, j = found
+        (a, s), (b, t) = pairs[i], pairs[j]
+        if (a, t) in scores and (b, s) in scores:
+            pairs[i], pairs[j] = (a, t), (b, s)
+        else:
+            pairs.pop(i if scores.get((a, s), 0) <= scores.get((b, t), 0) else j)
+    assert Z.uncross([(i, i) for i in range(n)], order, median, scores, lambda a, b: (a, b) in touching) == pairs

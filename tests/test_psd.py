@@ -3,7 +3,7 @@ import struct
 
 import pytest
 
-from stratacel.sources.psd import Damaged, gaps_in_sections, read_documents, scan
+from stratacel.sources.psd import Damaged, blocks_of, gaps_in_sections, head_size, read_documents, scan, to_json
 
 
 def block(key, body, wide=False, signature=b"8BIM"):
@@ -87,3 +87,31 @@ def test_folder(spark, tmp_path):
     assert json.loads(blocks.where("tag = 'layer'").first().fields)["name"] == "x"
     assert gaps_in_sections(blocks).where("next_start - end > 8 OR next_start < end").count() == 0
     assert issubclass(Damaged, ValueError)
+
+
+def test_deep_descriptors(spark):
+    depth = 5000
+    deep = desc(a=b"long" + struct.pack(">i", 7))
+    for k in range(depth):
+        deep = desc(a=b"Objc" + deep) if k % 2 else desc(a=b"VlLs" + struct.pack(">I", 1) + b"Objc" + deep)
+    ands = struct.pack(">I", 16) + deep
+    body = b"8BIMAnDs" + struct.pack(">I", len(ands)) + ands
+    data = document(resources=resource(4000, b"maniIRFR" + struct.pack(">I", len(body)) + body))
+    assert not [f for t, *_, f in scan(data) if t == "error"]
+    blocks = blocks_of(spark.createDataFrame([("x", data)], "path string, content binary"))
+    text = blocks.where("tag = 'resource'").first().fields
+    assert text.count('"a"') == depth + 1 and '{"a": 7}' in text
+    assert json.loads(to_json({"a": [1, {"b": None}], "c": {}, "d": []})) == {"a": [1, {"b": None}], "c": {}, "d": []}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_heads_are_read_without_the_rest(spark, tmp_path, wide):
+    data = document([record("x", (0, 0, 1, 1), b"", wide)] * 50, resources=resource(1060, b"odd"), wide=wide)
+    (tmp_path / "a b.psd").write_bytes(data)
+    (tmp_path / "short.psd").write_bytes(data[:40])
+    heads = {(r.path[-5:], r.tag, r.ordinal): (r.start, r.end) for r in read_documents(spark, str(tmp_path), headers_only=True).collect()}
+    all_of = {(r.path[-5:], r.tag, r.ordinal): (r.start, r.end) for r in read_documents(spark, str(tmp_path)).where("tag <> 'layer'").collect()}
+    assert heads == all_of and ("b.psd", "section", 2) in heads and {k[0] for k in heads if k[1] == "error"} == {"t.psd"}
+    read = []
+    size = head_size(lambda start, count: read.append((start, count)) or data[start : start + count])
+    assert size < 100 and sum(n for _, n in read) == 10

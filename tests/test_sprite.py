@@ -58,14 +58,35 @@ def test_raw_cels_palette_links_and_flattened():
     assert zlib.decompress(zlib.compress(b"")) == b""
 
 
+LAYERS = "doc_id string, source_layer_id bigint, parent_layer_id bigint, child_ordinal int, name string, kind string, visible boolean, opacity int, blend_mode string"
+DOCUMENT = "doc_id string, width bigint, height bigint, loop_tag string, loop_count bigint"
+CELS = "doc_id string, frame_index int, source_layer_id bigint, x int, y int, opacity int, width int, height int, pixels binary"
+
+
 def test_tables_to_files_and_back(spark):
-    frames = spark.createDataFrame([("d", 0, 50), ("d", 1, None), ("e", 0, 10)], "doc_id string, frame_index int, duration_ms bigint")
-    layers = spark.createDataFrame([("d", 1, 0, "a", "pixel", True, None, "screen"), ("d", 2, 1, None, "pixel", False, 9, None)], "doc_id string, source_layer_id bigint, child_ordinal int, name string, kind string, visible boolean, opacity int, blend_mode string")
-    cel = "doc_id string, frame_index int, source_layer_id bigint, x int, y int, opacity int, width int, height int, pixels binary"
-    cels = spark.createDataFrame([("d", 0, 1, 1, 2, 255, 1, 1, b"abcd"), ("d", 1, 1, 3, 2, 255, 1, 1, b"abcd"), ("d", 1, 2, 0, 0, 7, 1, 2, b"abcdefgh"), ("d", 0, 2, 0, 0, 7, 1, 2, b"short"), ("d", 0, 2, 0, 0, 7, 1, 2, None)], cel)
-    encoded = S.encode_documents(frames, layers, cels)
+    documents = spark.createDataFrame([("d", 30, 20, "finite", 3), ("e", 7, 5, None, None), ("f", 70_000, 5, None, None), ("g", 1, 1, "x", None), ("h", 1, None, None, None)], DOCUMENT)
+    frames = spark.createDataFrame([("d", 0, 50), ("d", 1, None), ("e", 0, 10), ("f", 0, 10), ("g", 0, 70_000), ("h", 0, 1)], "doc_id string, frame_index int, duration_ms bigint")
+    layers = spark.createDataFrame(
+        [("d", 1, 3, 0, "a", "pixel", True, None, "screen"), ("d", 2, None, 1, None, "pixel", False, 9, None), ("d", 3, None, 0, "g", "group", True, 255, None), ("d", 4, 3, 1, "b", "pixel", True, 1, "normal"), ("d", 5, 99, 2, "o", "pixel", True, 1, "normal")], LAYERS
+    )
+    cels = spark.createDataFrame([("d", 0, 1, 1, 2, 255, 1, 1, b"abcd"), ("d", 1, 1, 3, 2, 255, 1, 1, b"abcd"), ("d", 1, 2, 0, 0, 7, 1, 2, b"abcdefgh"), ("d", 0, 2, 0, 0, 7, 1, 2, b"short"), ("d", 0, 2, 0, 0, 7, 1, 2, None)], CELS)
+    encoded = S.encode_documents(documents, frames, layers, cels)
     rows = {r.doc_id: r for r in encoded.collect()}
-    assert (rows["d"].layers, rows["d"].cels, rows["d"].linked) == (2, 3, 1) and rows["e"].cels == 0
-    assert S.decode(bytes(rows["d"].content))["durations"] == [50, 100]
-    assert S.roundtrip_differences(layers, cels, encoded).count() == 0
-    assert S.encode_documents(frames.limit(0), layers.limit(0), cels.limit(0)).count() == 0
+    assert (rows["d"].layers, rows["d"].cels, rows["d"].linked) == (5, 3, 1) and rows["e"].cels == 0
+    assert {k: r.problem for k, r in rows.items()} == {"d": None, "e": None, "f": "width 70000", "g": "frame 0 of 70000 ms", "h": "height None"} and rows["g"].content is None
+    out = S.decode(bytes(rows["d"].content))
+    assert (out["width"], out["height"], out["durations"]) == (30, 20, [50, 100])
+    assert [(l["name"], l["level"], l["group"]) for l in out["layers"]] == [("g", 0, True), ("a", 1, False), ("b", 1, False), ("", 0, False), ("o", 0, False)]
+    assert out["tags"] == [{"first": 0, "last": 1, "direction": "forward", "repeat": 3, "name": "finite"}]
+    assert S.roundtrip_differences(documents, frames, cels, encoded).count() == 0
+    other = documents.withColumn("width", documents.width + 1)
+    assert [r.part for r in S.roundtrip_differences(other, frames, cels, encoded).collect()] == ["headers"] * 4
+    empty = [x.limit(0) for x in (documents, frames, layers, cels)]
+    assert S.encode_documents(*empty).count() == 0 and S.decode_documents(S.encode_documents(*empty), "cels").count() == 0
+
+
+def test_layers_of_a_cycle_come_last():
+    rows = [{"layer": k, "above": a, "place": 0} for k, a in ((1, 2), (2, 1), (3, None), (4, 3))]
+    assert [(r["layer"], level) for r, level in S.tree_order(rows)] == [(3, 0), (4, 1), (1, 0), (2, 0)]
+    deep = [{"layer": k, "above": k - 1 or None, "place": 0} for k in range(1, 5000)]
+    assert S.tree_order(deep)[-1][1] == 4998

@@ -105,3 +105,18 @@ def test_loss_report(spark):
     assert report["entries"][0] == {"code": "mask", "disposition": "dropped", "count": 12, "detail": "first", "locations": [f"l{i}" for i in range(8)]}
     assert "detail" not in report["entries"][1]
     assert list(itertools.islice(report, 1)) == ["schema_version"]
+
+
+def test_deep_chains_and_cycles(spark):
+    from stratacel.operators.hierarchy import flatten
+
+    depth = 500
+    rows = [("d", k, k - 1 if k else None, k % 3) for k in range(depth)]
+    rows += [("d", 1000, 1001, 0), ("d", 1001, 1000, 0), ("d", 1002, 1001, 0), ("d", 1003, 5555, 0), ("e", 1, None, 4), ("e", 2, 1, 0), ("e", 3, 1, 1)]
+    flat = {(r.doc_id, r.node): r for r in flatten(spark.createDataFrame(rows, "doc_id string, node bigint, parent bigint, ordinal int"), "node", "parent", "ordinal").collect()}
+    assert len(flat) == depth + 3
+    last = flat["d", depth - 1]
+    assert last.depth == depth - 1 and last.path == "/".join(str(k % 3) for k in range(depth)) and last.ancestors == list(range(depth - 1))
+    assert [(flat["e", k].path, flat["e", k].ancestors, flat["e", k].depth) for k in (1, 2, 3)] == [("4", [], 0), ("4/0", [1], 1), ("4/1", [1], 1)]
+    empty = spark.createDataFrame([], "doc_id string, node bigint, parent bigint, ordinal int")
+    assert flatten(empty, "node", "parent", "ordinal").count() == 0
