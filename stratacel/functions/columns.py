@@ -89,6 +89,47 @@ def name_score(a: Column, b: Column, base_a: Column, base_b: Column) -> Column:
     return F.when(own & (a == b), 20).when(own & (base_a == base_b), 5).otherwise(0)
 
 
+def name_evidence_weight(generic: Column, suffixes: Column) -> Column:
+    """What a name weighs as evidence: nothing if generic, half if it has copy suffixes (fixed values)."""
+    return F.when(generic, 0).when(suffixes > 0, 15).otherwise(30)
+
+
+def is_shared_background(name: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(name)) == "background", F.lit(False))
+
+
+def enum_suffix(value: Column, known: list[str], default: str) -> Column:
+    """What follows the last full stop, in lower case, if it is known; another value stays, null is the default."""
+    last = F.lower(F.substring_index(value, ".", -1))
+    return F.when(value.isNull(), default).when(last.isin(known), last).otherwise(value)
+
+
+def property_validity(kind: Column, background: Column, flags: Column) -> Column:
+    """Whether a layer's opacity and blend mode count, by the header's flags: 1 for opacity, 2 for those of groups."""
+    groups = flags.bitwiseAND(F.lit(2)) != 0
+    plain, group = kind.isin("normal", "tilemap"), kind == "group"
+    opacity = (flags.bitwiseAND(F.lit(1)) != 0) & (plain | (group & groups))
+    return F.struct((~background & opacity).alias("opacity"), (~background & (plain | (group & groups))).alias("blend_mode"))
+
+
+def present_fields(always: list[str], conditions: dict[str, Column]) -> Column:
+    """The names of those fields that hold something, after those that are always named."""
+    return F.array_compact(F.array(*[F.lit(x) for x in always], *[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in conditions.items()]))
+
+
+def rasterisable_mask(has_image: Column, obstacles: list[Column]) -> Column:
+    """A mask with an image and none of what can't be drawn into the pixels."""
+    free = has_image
+    for o in obstacles:
+        free = free & ~F.coalesce(o, F.lit(False))
+    return F.coalesce(free, F.lit(False))
+
+
+def cel_origin(place: Column, offset: Column, what: str) -> Column:
+    """Place plus a whole offset, within 16 bits; anything else is an error."""
+    return checked_integer(place + F.coalesce(offset, F.lit(0)), -32768, 32767, what)
+
+
 def order_score(rank: Column, median: Column) -> Column:
     return F.greatest(F.lit(0), 20 - 4 * F.least(F.abs(rank - median), F.lit(5)))
 

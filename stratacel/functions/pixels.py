@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 PROFILES = {"conservative": (8, 2, 1, 6), "balanced": (16, 4, 3, 12)}
 
 
+def thresholds(profile: str, alpha: int | None = None, speck: int | None = None, percent: int | None = None, delta: int | None = None) -> tuple[int, int, int, int]:
+    """The values of a profile, each of which may be replaced; a speck holds a pixel at least, a percentage is one."""
+    if speck is not None and speck < 1:
+        raise ValueError(f"largest speck {speck}")
+    if percent is not None and not 0 <= percent <= 100:
+        raise ValueError(f"{percent} percent")
+    return tuple(own if own is not None else given for own, given in zip((alpha, speck, percent, delta), PROFILES[profile]))
+
+
 def image(data: bytes | None, width: int | None, height: int | None) -> np.ndarray | None:
     if data is None or width is None or height is None or width != width or height != height or len(data) != int(width) * int(height) * 4:
         return None

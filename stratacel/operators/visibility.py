@@ -70,11 +70,31 @@ def effective_visibility(layers: DataFrame, closed: DataFrame, states: DataFrame
     return above.groupBy("doc_id", F.col("descendant").alias("layer_id"), "frame_index").agg(F.bool_and("open").alias("visible"))
 
 
-def timeline_bound(layers: DataFrame, closed: DataFrame, states: DataFrame) -> DataFrame:
-    """Groups whose own state varies over the frames and that hold a drawing visible in one (FLT-05..07)."""
+def varying(states: DataFrame) -> DataFrame:
+    """Layers whose state differs between two adjacent frames (FLT-05)."""
     from stratacel.operators.sequence import state_changes
 
-    varied = state_changes(states, KEY, ["frame_index"], ["enabled"], "changes").where("changes > 0").select(*KEY)
+    return state_changes(states, KEY, ["frame_index"], ["enabled"], "changes").where("changes > 0").select(*KEY)
+
+
+def exclusive_features(layers: DataFrame, states: DataFrame) -> DataFrame:
+    """Groups of drawings only, below a group whose state varies (FLT-07)."""
+    kids = layers.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("layer_id")).agg(F.bool_and(F.col("kind") != "group").alias("drawings"))
+    groups = layers.where("kind = 'group'").join(kids.where("drawings"), KEY, "left_semi")
+    parents = varying(states).withColumnRenamed("layer_id", "parent_id")
+    return groups.join(parents, ["doc_id", "parent_id"], "left_semi").select(*KEY)
+
+
+def ever_visible(layers: DataFrame, states: DataFrame, containers: DataFrame) -> DataFrame:
+    """Whether a layer is enabled in any frame, or a structural container (FLT-04)."""
+    own = states.groupBy(*KEY).agg(F.bool_or("enabled").alias("ever"))
+    joined = layers.select(*KEY).join(own, KEY, "left").join(containers.withColumn("structural", F.lit(True)), KEY, "left")
+    return joined.select(*KEY, (F.coalesce("ever", F.lit(False)) | F.coalesce("structural", F.lit(False))).alias("ever"))
+
+
+def timeline_bound(layers: DataFrame, closed: DataFrame, states: DataFrame) -> DataFrame:
+    """Groups whose own state varies over the frames and that hold a drawing enabled in one (FLT-05, FLT-06)."""
+    varied = varying(states)
     drawn = states.where("enabled").join(layers.where("kind <> 'group'").select(*KEY), KEY).select("doc_id", F.col("layer_id").alias("descendant")).distinct()
     holds = closed.join(drawn, ["doc_id", "descendant"], "left_semi").select("doc_id", F.col("ancestor").alias("layer_id")).distinct()
     return layers.where("kind = 'group'").select(*KEY).join(varied, KEY, "left_semi").join(holds, KEY, "left_semi")
