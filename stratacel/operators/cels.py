@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacel.functions.pixels import nearly_equal, specks, writable
+from stratacel.functions.pixels import PROFILES, nearly_equal, specks, writable
+from stratacel.session import materialize
 
 LAYER = ["doc_id", "source_layer_id"]
 
@@ -103,17 +104,62 @@ def jitter_repairs(cels: DataFrame, profile: str = "conservative") -> DataFrame:
     return cleaned.where("s.patches > 0").select("cel_id", "s.patches", "s.cleared", "s.pixels")
 
 
+def _segments(percent: int) -> Column:
+    """Hashes of the parts of a buffer of which two near-equal ones must have one in common.
+
+    Buffers of n pixels that differ in k at most agree in one of any k + 1 parts of them.
+    """
+    n = F.col("width").cast("bigint") * F.col("height")
+    parts = F.floor(n * percent / 100) + 1
+    edge = lambda i: F.floor(i * n / parts)
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda i: F.xxhash64(F.substring(F.col("pixels"), (edge(i) * 4 + 1).cast("int"), ((edge(i + 1) - edge(i)) * 4).cast("int"))))
+
+
 def colour_representatives(cels: DataFrame, profile: str = "conservative") -> DataFrame:
     """Cels of a layer that nearly equal an earlier one at the same place: cel_id and its representative.
 
-    Pairs are made within (layer, size, place) only, and the highest earlier cel counts; one hop,
-    not transitive.
+    The highest earlier cel counts; one hop, not transitive. Different buffers of one (layer, size,
+    place) are compared once, and only those that agree in one of so many parts that near-equal ones
+    must; what cels a near pair of buffers stands for is a running value along the cels, so cels are
+    never paired with each other.
     """
+    _, _, percent, _ = PROFILES[profile]
     keys = [*LAYER, "width", "height", "x", "y"]
-    one = cels.select(*keys, F.col("cel_id").alias("representative"), F.col("pixels").alias("a"))
-    pairs = one.join(cels.select(*keys, "cel_id", F.col("pixels").alias("b")), keys).where("representative < cel_id AND a <> b")
-    near = pairs.where(nearly_equal(F.col("a"), F.col("b"), F.col("width"), F.col("height"), profile))
-    return near.groupBy("cel_id").agg(F.max("representative").alias("representative"))
+    sound = cels.where(F.length("pixels") == F.col("width").cast("bigint") * F.col("height") * 4).select(*keys, "cel_id", "pixels", F.sha2("pixels", 256).alias("content"))
+    contents = sound.groupBy(*keys, "content").agg(F.any_value("pixels").alias("pixels"))
+    parts = contents.select(*keys, "content", F.posexplode(_segments(percent)).alias("part", "hash"))
+    pairs = (
+        parts.withColumnRenamed("content", "one")
+        .join(parts.withColumnRenamed("content", "two"), [*keys, "part", "hash"])
+        .where("one < two")
+        .select(*keys, "one", "two")
+        .distinct()
+    )
+    side = lambda name: contents.select(*keys, F.col("content").alias(name), F.col("pixels").alias(f"{name}_pixels"))
+    both = pairs.join(side("one"), [*keys, "one"]).join(side("two"), [*keys, "two"])
+    near = both.where(nearly_equal(F.col("one_pixels"), F.col("two_pixels"), F.col("width"), F.col("height"), profile)).select(*keys, "one", "two")
+    ways = near.unionByName(near.select(*keys, F.col("two").alias("one"), F.col("one").alias("two")))
+    named = sound.select(*keys, "cel_id", "content")
+    given = named.withColumnRenamed("content", "one").join(ways, [*keys, "one"]).select(*keys, "two", "cel_id", F.col("cel_id").alias("given"))
+    asked = named.withColumnRenamed("content", "two").select(*keys, "two", "cel_id", F.lit(None).cast("bigint").alias("given"))
+    before = Window.partitionBy(*keys, "two").orderBy("cel_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = given.unionByName(asked.join(ways.select(*keys, "two").distinct(), [*keys, "two"], "left_semi")).withColumn("representative", F.last("given", ignorenulls=True).over(before))
+    return placed.where("given IS NULL AND representative IS NOT NULL").select("cel_id", "representative")
+
+
+def resolved_pixels(cels: DataFrame, profile: str = "conservative") -> DataFrame:
+    """Cels as they are written: without faint specks, and with the buffer of their representative (PIX-07).
+
+    Representatives are found among the repaired buffers, so cels that are alike once their specks
+    are gone share one; one hop: the representative's own repaired buffer counts.
+    """
+    clean = specks(F.col("pixels"), F.col("width"), F.col("height"), profile)
+    repaired = cels.withColumn("pixels", F.coalesce(clean.pixels, F.col("pixels")))
+    repaired = materialize(repaired, "repaired")
+    hops = colour_representatives(repaired, profile)
+    target = repaired.select(F.col("cel_id").alias("representative"), F.col("pixels").alias("shared"))
+    joined = repaired.join(hops, "cel_id", "left").join(target, "representative", "left")
+    return joined.select("cel_id", "width", "height", "representative", F.coalesce("shared", "pixels").alias("pixels"))
 
 
 def omitted_layers(layers: DataFrame, cels: DataFrame) -> DataFrame:

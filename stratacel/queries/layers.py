@@ -254,7 +254,7 @@ def structure_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT (l_orderkey % 50)::VARCHAR AS doc_id, l_orderkey, l_orderkey * 10 + l_linenumber AS layer_id, l_orderkey * 10 + 1 + max(l_linenumber) OVER (PARTITION BY l_orderkey) AS parent_id, l_returnflag AS name, l_shipdate FROM lineitem)
-SELECT doc_id, parent_id AS layer_id FROM k GROUP BY ALL HAVING bool_and(name = 'N') AND count(*) = parent_id - min(layer_id) AND count(DISTINCT l_shipdate) = count(*)""")
+SELECT doc_id, parent_id AS layer_id FROM k GROUP BY ALL HAVING bool_and(name = 'N') AND count(*) = parent_id - min(layer_id) AND count(DISTINCT layer_id) = count(*) AND count(DISTINCT l_shipdate) = count(*)""")
 def cel_wrappers(spark: SparkSession, sf: str) -> DataFrame:
     """Groups that only wrap the cels of one layer, on orders and their lines (FLT-20)."""
     lines = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).cast("string").alias("doc_id"), "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("layer_id"), F.col("l_returnflag").alias("name"), F.col("l_shipdate").alias("frame_index"))
