@@ -161,7 +161,7 @@ def layer_areas(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.select("doc_id", "layer_id", C.rectangle_area(F.col("left_px"), F.col("top_px"), F.col("right_px"), F.col("bottom_px")).alias("area"))
 
 
-@query()
+@query(_CELS + " SELECT cel_id, coalesce(octet_length(pixels) > 0 AND octet_length(pixels) % 4 = 0 AND NOT regexp_full_match(hex(pixels), '(......00)*'), false) AND coalesce(opacity > 0, true) AS writable FROM c")
 def writable_cels(spark: SparkSession, sf: str) -> DataFrame:
     """Cels with something to see (FLT-10, PIX-02)."""
     return K.writable_cels(_cels(spark, sf)).select("cel_id", "writable")
@@ -173,7 +173,10 @@ def jitter_specks(spark: SparkSession, sf: str) -> DataFrame:
     return K.jitter_repairs(_cels(spark, sf), "balanced").select("cel_id", "patches", "cleared")
 
 
-@query()
+@query(_CELS + """, k AS (SELECT doc_id, source_layer_id, width, height, x, y, cel_id, hex(pixels) AS h FROM c WHERE octet_length(pixels) = width * height * 4),
+q AS (SELECT a.cel_id AS representative, b.cel_id AS cel_id, a.h AS one, b.h AS two, a.width * a.height AS n FROM k a JOIN k b USING (doc_id, source_layer_id, width, height, x, y) WHERE a.cel_id < b.cel_id AND a.h <> b.h),
+m AS (SELECT representative, cel_id, n, i // 4 AS pixel, max(abs(('0x' || substr(one, 2 * i + 1, 2))::INT - ('0x' || substr(two, 2 * i + 1, 2))::INT)) AS apart FROM q, unnest(range(0, 4 * n)) AS u(i) WHERE substr(one, 2 * i + 1, 2) <> substr(two, 2 * i + 1, 2) GROUP BY ALL)
+SELECT cel_id, max(representative) AS representative FROM (SELECT representative, cel_id FROM m GROUP BY representative, cel_id, n HAVING max(apart) <= 12 AND count(*) * 100 <= n * 3) GROUP BY cel_id""")
 def jitter_colours(spark: SparkSession, sf: str) -> DataFrame:
     """Cels that nearly equal an earlier one of their layer (PIX-05, PIX-06)."""
     return K.colour_representatives(_cels(spark, sf).where("pixels IS NOT NULL"), "balanced")
