@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,10 +169,24 @@ def writable_cels(spark: SparkSession, sf: str) -> DataFrame:
     return K.writable_cels(_cels(spark, sf)).select("cel_id", "writable")
 
 
-@query()
+@query(_CELS + """, p AS (SELECT cel_id, i % width AS px, i // width AS py, 1 + ('0x' || substr(hex(pixels), 8 * i + 1, 2))::INT % 24 AS a FROM c, unnest(range(0, width * height)) AS u(i) WHERE octet_length(pixels) = width * height * 4),
+g AS (SELECT cel_id, px // 3 AS gx, py, count(*) FILTER (WHERE a <= 16) AS faint, count(*) FILTER (WHERE a > 16) AS strong FROM p WHERE px % 3 < 2 AND py % 2 = 0 GROUP BY ALL)
+SELECT cel_id, count(*) FILTER (WHERE faint > 0) AS patches, count(*) FILTER (WHERE faint > 0 AND strong = 0) AS cleared FROM g GROUP BY cel_id HAVING patches > 0""")
 def jitter_specks(spark: SparkSession, sf: str) -> DataFrame:
-    """Faint specks and those cleared (PIX-04)."""
-    return K.jitter_repairs(_cels(spark, sf), "balanced").select("cel_id", "patches", "cleared")
+    """Faint specks and those cleared (PIX-04), on drawings thinned out to patches of two pixels."""
+
+    @F.pandas_udf("binary")
+    def thinned(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        out = []
+        for d, w, h in zip(data, width, height):
+            own = np.frombuffer(d, dtype=np.uint8).reshape(h, w, 4).copy()
+            kept = (np.arange(w) % 3 < 2)[None, :] & (np.arange(h) % 2 == 0)[:, None]
+            own[..., 3] = np.where(kept, 1 + own[..., 0] % 24, 0)
+            out.append(own.tobytes())
+        return pd.Series(out, dtype=object)
+
+    sound = _cels(spark, sf).where(F.length("pixels") == F.col("width") * F.col("height") * 4)
+    return K.jitter_repairs(sound.withColumn("pixels", thinned("pixels", "width", "height")), "balanced").select("cel_id", "patches", "cleared")
 
 
 @query(_CELS + """, k AS (SELECT doc_id, source_layer_id, width, height, x, y, cel_id, hex(pixels) AS h FROM c WHERE octet_length(pixels) = width * height * 4),
@@ -255,7 +271,10 @@ def sprite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return encoded.where("content IS NOT NULL").agg(F.count("*").alias("documents")).join(apart, F.lit(True))
 
 
-@query()
+@query(_CELS + """, x AS (SELECT doc_id, cel_id AS seq, 'missing_pixels' AS code, source_layer_id || '/' || frame_index AS place, NULL AS detail FROM c WHERE pixels IS NULL
+UNION ALL SELECT doc_id, cel_id, 'malformed_pixels', source_layer_id || '/' || frame_index, octet_length(pixels) || ' bytes' FROM c WHERE octet_length(pixels) <> width * height * 4),
+e AS (SELECT doc_id, code, min(seq) AS first_seen, count(*) AS n, arg_min(detail, seq) AS detail, list(place ORDER BY seq)[1:8] AS places FROM x GROUP BY ALL)
+SELECT doc_id, '{"schema_version":3,"summary":{"total":' || count(*) || '},"entries":[' || string_agg('{"code":"' || code || '","disposition":"dropped","count":' || n || CASE WHEN detail IS NOT NULL THEN ',"detail":"' || detail || '"' ELSE '' END || ',"locations":["' || array_to_string(places, '","') || '"]}', ',' ORDER BY first_seen) || ']}' AS report FROM e GROUP BY doc_id""")
 def loss_reports(spark: SparkSession, sf: str) -> DataFrame:
     """JSON reports of what a conversion would lose, per document (SNK-09, JSN-01, VAL-09)."""
     cels = _cels(spark, sf)
