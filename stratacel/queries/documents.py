@@ -260,7 +260,16 @@ def sprite_layers(spark: SparkSession, sf: str) -> DataFrame:
 row_number() OVER (PARTITION BY doc_id, source_layer_id, pixels, width, height ORDER BY frame_index) > 1 AS linked FROM s""")
 def sprite_cels(spark: SparkSession, sf: str) -> DataFrame:
     """The cels as the written files give them back, links followed (SRC-10, SRC-12, WIN-05)."""
-    return W.decode_documents(_encoded(spark, sf)[3], "cels").drop("layer")
+    return W.decode_documents(_encoded(spark, sf)[3], "cels").drop("layer", "z")
+
+
+@query(_CELS + _LATEST_LAYERS + """ SELECT s.doc_id, s.frame_index AS frame, s.x, s.y, s.opacity, s.width, s.height, sha256(s.pixels) AS digest FROM s JOIN l USING (doc_id, source_layer_id) WHERE l.kind <> 'group' AND l.visible""")
+def planned_cels(spark: SparkSession, sf: str) -> DataFrame:
+    """The visible cels as files of planned tracks give them back (SNK-02, VAL-02)."""
+    documents = K.latest_delivery(table(spark, sf, "psd_document"), ["doc_id"])
+    frames = K.latest_delivery(table(spark, sf, "psd_frame"), ["doc_id", "frame_index"])
+    files = W.encode_plans(documents, frames, P.plan_tracks(_observed(spark, sf)), _cels(spark, sf))
+    return W.decode_documents(files, "cels").drop("layer", "z", "linked")
 
 
 @query("SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS differing FROM psd_document")

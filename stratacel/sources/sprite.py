@@ -167,6 +167,18 @@ def flattened_frames(document: dict) -> dict[int, dict]:
     return out
 
 
+def link_problems(document: dict) -> list[str]:
+    """What is wrong with the links of cels: each leads back to a cel of its layer that isn't a link."""
+    own = {(c["layer"], c["frame"]): c for c in document["cels"]}
+    out = []
+    for c in document["cels"]:
+        if c["link"] is not None:
+            target = own.get((c["layer"], c["link"]))
+            if c["link"] >= c["frame"] or target is None or target["link"] is not None:
+                out.append(f"layer {c['layer']} frame {c['frame']} links to {c['link']}")
+    return out
+
+
 ENCODED = "doc_id string, layers int, cels int, linked int, bytes bigint, problem string, content binary"
 #: The largest canvas side, duration, frame number and layer number of the format.
 LARGEST = 0xFFFF
@@ -248,6 +260,51 @@ def encode_documents(documents: DataFrame, frames: DataFrame, layers: DataFrame,
     return every.groupBy("doc_id").cogroup(pixels.groupBy("doc_id")).applyInArrow(write, ENCODED)
 
 
+def encode_plans(documents: DataFrame, frames: DataFrame, plan: DataFrame, cels: DataFrame, reuse: bool = True) -> DataFrame:
+    """One file per document with a layer for each track of its plan, and the cels' z-indices.
+
+    plan: doc_id, frame, layer, track, track_place, track_name, z_index. Equal cels of a track link
+    back to the first where ``reuse``, whatever layer they come from. What the format can't hold is
+    a ``problem``, as with ``encode_documents``.
+    """
+
+    def write(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, drawn = left.to_pylist(), right.to_pylist()
+        head = next((r for r in rows if r["width"] is not None or r["height"] is not None), {"width": None, "height": None, "loop": None, "repeat": None})
+        names = {(c["track_place"], c["track"]): c["track_name"] for c in drawn}
+        place = {track: k for k, (_, track) in enumerate(sorted(names))}
+        ms: list = [None] * (max([r["frame"] for r in rows if r["frame"] is not None] + [c["frame"] for c in drawn], default=-1) + 1)
+        for r in rows:
+            if r["frame"] is not None:
+                ms[r["frame"]] = r["ms"]
+        out, first = [], {}
+        for c in sorted(drawn, key=lambda c: (c["frame"], c["track"])):
+            cel = {"frame": c["frame"], "layer": place[c["track"]], "x": c["x"], "y": c["y"], "opacity": c["opacity"], "z": c["z_index"]}
+            key = (c["track"], c["width"], c["height"], c["pixels"])
+            if reuse and key in first:
+                cel["link"] = first[key]
+            else:
+                cel |= {k: c[k] for k in ("width", "height", "pixels")}
+                first[key] = c["frame"]
+            out.append(cel)
+        described = [{"name": names[k] or "", "group": False, "level": 0, "visible": True, "opacity": 255, "blend": "normal"} for k in sorted(names)]
+        tags = [] if head["loop"] is None or not ms else [{"first": 0, "last": len(ms) - 1, "direction": "forward", "repeat": head["repeat"] or 0, "name": head["loop"]}]
+        problem, data = _problem(head, ms, described, tags), None
+        if problem is None:
+            try:
+                data = encode(head["width"], head["height"], ms, described, out, tags)
+            except (ValueError, TypeError, struct.error) as e:
+                problem = str(e)
+        linked = sum(c.get("link") is not None for c in out)
+        return pa.Table.from_pylist([{"doc_id": (rows or drawn)[0]["doc_id"], "layers": len(described), "cels": len(out), "linked": linked, "bytes": data and len(data), "problem": problem, "content": data}], schema=_schema(ENCODED))
+
+    heads = documents.select("doc_id", "width", "height", F.col("loop_tag").alias("loop"), F.col("loop_count").alias("repeat"))
+    timeline = frames.select("doc_id", F.col("frame_index").alias("frame"), F.col("duration_ms").alias("ms"))
+    pixels = sound_cels(cels).select("doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), "x", "y", "opacity", "width", "height", "pixels")
+    planned = pixels.join(plan.select("doc_id", "frame", "layer", "track", "track_place", "track_name", "z_index"), ["doc_id", "frame", "layer"])
+    return heads.unionByName(timeline, allowMissingColumns=True).groupBy("doc_id").cogroup(planned.groupBy("doc_id")).applyInArrow(write, ENCODED)
+
+
 def sound_cels(cels: DataFrame) -> DataFrame:
     """Cels with a place and pixels of the length that their size wants."""
     return cels.where("frame_index IS NOT NULL AND source_layer_id IS NOT NULL").where(F.length("pixels") == F.col("width").cast("bigint") * F.col("height") * 4)
@@ -280,7 +337,7 @@ DECODED = {
     "headers": "doc_id string, width int, height int, frames int, duration bigint, loop string, loop_first int, loop_last int, loop_repeat int",
     "layers": "doc_id string, place int, name string, grouped boolean, level int, visible boolean, opacity int, blend string",
     "frames": "doc_id string, frame int, duration int",
-    "cels": "doc_id string, layer int, frame int, x int, y int, opacity int, width int, height int, digest string, linked boolean",
+    "cels": "doc_id string, layer int, frame int, x int, y int, opacity int, width int, height int, digest string, linked boolean, z int",
 }
 
 
@@ -299,7 +356,7 @@ def _rows(document: dict, part: str) -> Iterator[dict]:
     else:
         links = {(c["layer"], c["frame"]) for c in document["cels"] if c["link"] is not None}
         for c in shown(document):
-            yield {"digest": hashlib.sha256(c["pixels"]).hexdigest(), "linked": (c["layer"], c["frame"]) in links} | {k: c[k] for k in ("layer", "frame", "x", "y", "opacity", "width", "height")}
+            yield {"digest": hashlib.sha256(c["pixels"]).hexdigest(), "linked": (c["layer"], c["frame"]) in links} | {k: c[k] for k in ("layer", "frame", "x", "y", "opacity", "width", "height", "z")}
 
 
 def decode_documents(encoded: DataFrame, part: str) -> DataFrame:

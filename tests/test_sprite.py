@@ -90,3 +90,17 @@ def test_layers_of_a_cycle_come_last():
     assert [(r["layer"], level) for r, level in S.tree_order(rows)] == [(3, 0), (4, 1), (1, 0), (2, 0)]
     deep = [{"layer": k, "above": k - 1 or None, "place": 0} for k in range(1, 5000)]
     assert S.tree_order(deep)[-1][1] == 4998
+
+
+def test_files_of_planned_tracks(spark):
+    documents = spark.createDataFrame([("d", 9, 9, None, None), ("e", 1, 1, None, None)], DOCUMENT)
+    frames = spark.createDataFrame([("d", 0, 50), ("d", 1, 60), ("d", 2, 60), ("e", 0, 1)], "doc_id string, frame_index int, duration_ms bigint")
+    cels = spark.createDataFrame([("d", 0, 1, 1, 2, 255, 1, 1, b"abcd"), ("d", 1, 7, 3, 2, 255, 1, 1, b"abcd"), ("d", 1, 2, 0, 0, 7, 1, 2, b"abcdefgh"), ("d", 2, 7, 3, 2, 255, 1, 1, b"abcd")], CELS)
+    plan = spark.createDataFrame([("d", 0, 1, 0, 1, "a", 0), ("d", 1, 7, 0, 1, "a", -1), ("d", 1, 2, 4, 0, "b", 1), ("d", 2, 7, 0, 1, "a", 0)], "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int")
+    rows = {r.doc_id: r for r in S.encode_plans(documents, frames, plan, cels).collect()}
+    assert (rows["d"].layers, rows["d"].cels, rows["d"].linked, rows["e"].layers) == (2, 4, 2, 0)
+    out = S.decode(bytes(rows["d"].content))
+    assert [l["name"] for l in out["layers"]] == ["b", "a"] and not S.link_problems(out)
+    assert [(c["frame"], c["layer"], c["z"], c["link"]) for c in out["cels"]] == [(0, 1, 0, None), (1, 0, 1, None), (1, 1, -1, 0), (2, 1, 0, 0)]
+    out["cels"][3]["link"] = 1
+    assert S.link_problems(out) == ["layer 1 frame 2 links to 1"]
