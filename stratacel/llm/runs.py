@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ CHUNK_BYTES = 8 << 20
 FAN_IN = 16
 #: Pixels in which two repeated drawings may differ.
 MAX_DIFFERING = 2
+#: Pixels that are compared at once.
+COMPARED = 1 << 20
 
 #: What the summary of a run keeps of its first and of its last event.
 EDGE = ["frame", "x", "y", "opacity", "width", "height", "link", "pixels"]
@@ -87,6 +90,29 @@ def same_drawing(a: bytes | None, b: bytes | None, width: int, height: int) -> b
     return int(np.count_nonzero(np.frombuffer(a, dtype="<u4") != np.frombuffer(b, dtype="<u4"))) <= MAX_DIFFERING
 
 
+def same_drawings(pixels: pa.Array, at: np.ndarray, area: np.ndarray) -> np.ndarray:
+    """``same_drawing`` of each place and the one before it, on the flat buffer of the column."""
+    out = np.zeros(len(at), dtype=bool)
+    if not len(at):
+        return out
+    pixels = pa.concat_arrays([pixels])
+    offsets = np.frombuffer(pixels.buffers()[1], dtype=np.int32 if pa.types.is_binary(pixels.type) else np.int64)[pixels.offset :].astype(np.int64)
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(pixels), -1)).astype(np.int64)
+    sound = np.flatnonzero((sizes[at] == area * 4) & (sizes[at - 1] == area * 4) & (area >= 0))
+    out[sound] = True  # two empty drawings are the same
+    sound = sound[area[sound] > 0]
+    if not len(sound):
+        return out
+    data = np.frombuffer(pixels.buffers()[2], dtype=np.uint8)
+    for part in np.split(sound, np.flatnonzero(np.diff(np.cumsum(area[sound]) // COMPARED)) + 1):
+        size = area[part] * 4
+        begin = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(begin, size)
+        one, two = (data[np.repeat(offsets[at[part] - k], size) + inner].view("<u4") for k in (1, 0))
+        out[part] = np.add.reduceat(one != two, begin // 4, dtype=np.int64) <= MAX_DIFFERING
+    return out
+
+
 def repeats(a: dict, b: dict) -> bool:
     """Whether event b, at the next position of the same sequence, repeats event a."""
     if any(a[k] is None or a[k] != b[k] for k in ("x", "y", "opacity")):
@@ -123,9 +149,8 @@ class _Chunk:
             near &= eq("x") & eq("y") & eq("opacity")
             same[1:] = near & eq("link")
             drawn[1:] = near & ~same[1:] & eq("width") & eq("height")
-        pixels = col["pixels"]
-        for i in np.flatnonzero(drawn):
-            same[i] = same_drawing(pixels[i - 1].as_py(), pixels[i].as_py(), int(values["width"][i]), int(values["height"][i]))
+        at = np.flatnonzero(drawn)
+        same[at] = same_drawings(col["pixels"], at, values["width"][at].astype(np.int64) * values["height"][at].astype(np.int64))
         starts = np.flatnonzero(~same)
         if self.run is not None and self._continues(col, self._edge(col, 0)):
             starts = starts[1:]
@@ -374,6 +399,10 @@ def merge_runs(runs: DataFrame, chunks: int) -> DataFrame:
     while width < chunks:
         width *= FAN_IN
         merged = rest.groupBy(F.floor(F.col("chunk") / width).alias("parent")).applyInArrow(merge, schema)
+        if width >= chunks:
+            rest = merged  # whatever is open now is a run
+            break
+        merged = materialize(merged, "merged")  # read twice
         out, rest = out.unionByName(merged.where("closed")), merged.where("NOT closed")
     out = out.unionByName(rest)
     return out.drop(*[f"{side}_{k}" for side in ("head", "tail") for k in EDGE])

@@ -1,9 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from stratacel.llm.runs import collapse_runs, resolve_links
+from stratacel.llm import runs
+from stratacel.llm.runs import collapse_runs, resolve_links, same_drawing, same_drawings
 
 T0 = datetime(2024, 1, 1)
 CEL = (
@@ -133,3 +136,22 @@ def test_links_long_chains_and_cycles(spark):
     df = spark.createDataFrame(links, "doc string, layer bigint, source int, target int")
     got = {(r.doc, r.layer, r.source): r.target for r in resolve_links(df).collect()}
     assert got == ends_of(links)
+
+
+@pytest.mark.parametrize("at_once", [3, 1 << 20])
+def test_drawings_compared_on_flat_buffers(monkeypatch, at_once):
+    monkeypatch.setattr(runs, "COMPARED", at_once)
+    rng = random.Random(at_once)
+    base = rng.randbytes(24)
+    buffers = []
+    for _ in range(400):
+        own = bytearray(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 4])):
+            own[rng.randrange(24)] ^= 1
+        buffers.append(rng.choice([bytes(own)] * 8 + [None, b"", b"odd", bytes(own)[:20]]))
+    pixels = pa.array(buffers, type=pa.binary()).slice(5)
+    at = np.arange(1, len(pixels))
+    for w, h in ((2, 3), (0, 4), (1, 5)):
+        got = same_drawings(pixels, at, np.full(len(at), w * h))
+        assert got.tolist() == [same_drawing(buffers[5 + i - 1], buffers[5 + i], w, h) for i in at]
+    assert same_drawings(pixels, at[:0], at[:0]).tolist() == []
