@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from compare import rows, views
 from stratacel.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -25,3 +26,12 @@ def test_query_runs_over_its_whole_tables(spark, name):
         assert len(found) == len(set(found)) > 0
     else:
         assert out.count() > 0
+
+
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables here")
+    got, want = queries.QUERIES[name](spark, SMALL).toPandas(), views(SMALL).execute(queries.ORACLE[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
