@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacel.functions import columns as C
-from stratacel.functions.names import known_blend_mode, parsed_name
+from stratacel.functions.names import COPY_SUFFIXES, known_blend_mode, parsed_name
 from stratacel.operators import cels as K
 from stratacel.operators import sequence as S
 from stratacel.operators import visibility as V
@@ -129,7 +129,18 @@ def layer_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "snapshot_layer").select("layer_key", C.normalized_name(F.col("name")).alias("name")).distinct()
 
 
-@query()
+_SUFFIXES = ", ".join(f"({i}, '{t}')" for i, (t, _, _) in enumerate(COPY_SUFFIXES))
+_BLANKS = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x{001c}-\x{001f}\x{000b}]+"
+_ENDING = r"\s*(?:[-_.]*#?\s*([0-9]+)\s*)?(?:[)\]}]\s*)*$"
+
+
+@query(rf"""WITH RECURSIVE t(i, token) AS (VALUES {_SUFFIXES}), n AS (SELECT DISTINCT doc_id, layer_key, name FROM snapshot_layer WHERE name IS NOT NULL),
+x AS (SELECT DISTINCT trim(regexp_replace(lower(name), '{_BLANKS}', ' ', 'g')) AS name FROM n),
+s AS (SELECT name, name AS base, 0 AS depth FROM x
+  UNION ALL SELECT name, base, depth FROM (SELECT s.name, rtrim(rtrim(regexp_extract(s.base, '(?s)^(.*[\s\-_.(\[{{])' || t.token || '{_ENDING}', 1), '-_.([{{')) AS base, s.depth + 1 AS depth, t.i
+    FROM s JOIN t ON regexp_matches(s.base, '(?s)^(.*[\s\-_.(\[{{])' || t.token || '{_ENDING}') WHERE s.depth < 8) WHERE base <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY i) = 1),
+b AS (SELECT name, arg_max(base, depth) AS base, max(depth) AS depth FROM s GROUP BY name)
+SELECT n.doc_id, b.base AS family, count(DISTINCT b.name) AS variants, count(*) AS layers, max(depth)::INT AS suffixes FROM n JOIN b ON b.name = trim(regexp_replace(lower(n.name), '{_BLANKS}', ' ', 'g')) GROUP BY ALL HAVING max(depth) > 0""")
 def layer_families(spark: SparkSession, sf: str) -> DataFrame:
     """Names without their copy suffixes, per family (STR-02, AGG-12)."""
     parsed = table(spark, sf, "snapshot_layer").select("doc_id", "layer_key", "name").distinct().withColumn("p", parsed_name(F.col("name")))

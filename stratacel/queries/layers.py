@@ -327,3 +327,96 @@ def marker_sets(spark: SparkSession, sf: str) -> DataFrame:
     """Whether marker sets are whole, on sets made for each version (VAL-03)."""
     rows = spark.createDataFrame(_MARKERS, "doc_id string, version int, role string, logical_layer_id bigint, variant_index int, variant_count int")
     return D.marker_status(rows).select("doc_id", "valid", "linked")
+
+
+@query("""WITH e AS (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS was, vec_id // 10 AS g, lag(vec_id) OVER (ORDER BY vec_id) // 10 AS h FROM embeddings)
+SELECT vec_id, len(list_filter(range(1, len(embedding) + 1), lambda i: (embedding[i] > 0) <> (was[i] > 0)))::INT AS changed FROM e WHERE g = h""")
+def near_equal_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Components in which neighbouring vectors of a block differ in sign (PIX-05's count on arrays)."""
+    w = Window.partitionBy((F.col("vec_id") / 10).cast("bigint")).orderBy("vec_id")
+    signs = F.transform("embedding", lambda x: x > 0)
+    rows = table(spark, sf, "embeddings").select("vec_id", signs.alias("now"), F.lag(signs).over(w).alias("was")).where("was IS NOT NULL")
+    return rows.select("vec_id", D.changed_cells(F.col("now"), F.col("was")).alias("changed"))
+
+
+_GROUPS = "WITH g AS (SELECT p_partkey // 3 AS grp, p_partkey % 3 AS l, p_partkey AS k, p_size AS s FROM part), e AS (SELECT grp, l, r, (k * 7 + r * 13 + s * (r + 1)) % 60 AS score FROM g, unnest([0, 1, 2]) AS u(r) WHERE (k * 7 + r * 13 + s * (r + 1)) % 60 >= 20)"
+
+
+def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve`` of each block of rows, many small blocks to a task."""
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def every(pdf):
+        out = [(block, *row) for block, own in pdf.groupby("block") for row in solve(own)]
+        return pd.DataFrame(out, columns=names)
+
+    return rows.withColumn("__part", F.pmod(F.xxhash64("block"), F.lit(256))).groupBy("__part").applyInPandas(every, schema)
+
+
+@query(_GROUPS + """, o AS (SELECT a, b, c FROM unnest([-1, 0, 1, 2]) AS x(a), unnest([-1, 0, 1, 2]) AS y(b), unnest([-1, 0, 1, 2]) AS z(c) WHERE (a < 0 OR a <> b AND a <> c) AND (b < 0 OR b <> c)),
+v AS (SELECT q.grp, a, b, c, CASE WHEN a < 0 THEN 0 ELSE 100 + x.score END + CASE WHEN b < 0 THEN 0 ELSE 100 + y.score END + CASE WHEN c < 0 THEN 0 ELSE 100 + z.score END AS w
+  FROM (SELECT DISTINCT grp FROM e) q CROSS JOIN o LEFT JOIN e x ON x.grp = q.grp AND x.l = 0 AND x.r = a LEFT JOIN e y ON y.grp = q.grp AND y.l = 1 AND y.r = b LEFT JOIN e z ON z.grp = q.grp AND z.l = 2 AND z.r = c),
+m AS (SELECT * FROM v WHERE w IS NOT NULL QUALIFY w = max(w) OVER (PARTITION BY grp)),
+t AS (SELECT grp, unnest([0, 1, 2]) AS l, unnest([a, b, c]) AS r, count(*) OVER (PARTITION BY grp) AS optima FROM m)
+SELECT grp AS block, l AS item, r AS track FROM t WHERE r >= 0 GROUP BY ALL HAVING count(*) = any_value(optima)""")
+def best_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """The assignments that every best matching of a block holds (SLV-02, SLV-03)."""
+    from stratacel.plans.solvers import best_matching
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    edges = table(spark, sf, "part").select((key / 3).cast("bigint").alias("block"), (key % 3).alias("item"), F.explode(F.array(*[F.struct(F.lit(r).alias("track"), ((key * 7 + r * 13 + size * (r + 1)) % 60).alias("score")) for r in range(3)])).alias("e"))
+    edges = edges.select("block", "item", "e.*").where("score >= 20")
+
+    def solve(pdf):
+        scores = {(int(i), int(t)): int(s) for i, t, s in zip(pdf["item"], pdf["track"], pdf["score"])}
+        return best_matching(scores)[0].items()
+
+    return _by_block(edges, solve, "block bigint, item bigint, track int")
+
+
+@query("""WITH g AS (SELECT p_partkey // 4 AS block, p_partkey % 4 AS i, p_partkey AS k, (p_size * 5 + p_partkey * 3) % 23 AS base, (p_size * 11 + p_partkey) % 29 AS key FROM part),
+f AS (SELECT block FROM g GROUP BY block HAVING count(*) = 4),
+e AS (SELECT a.block, a.i AS x, b.i AS y FROM g a JOIN g b ON a.block = b.block AND (a.key < b.key OR a.key = b.key AND a.k < b.k) AND (a.k + b.k) % 3 = 0),
+p AS (SELECT [a, b, c, d] AS perm FROM unnest([0, 1, 2, 3]) AS w(a), unnest([0, 1, 2, 3]) AS x(b), unnest([0, 1, 2, 3]) AS y(c), unnest([0, 1, 2, 3]) AS z(d) WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d),
+c AS (SELECT f.block, perm, (SELECT list((g.base, g.k) ORDER BY list_position(perm, g.i)) FROM g WHERE g.block = f.block) AS way FROM f CROSS JOIN p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.block = f.block AND list_position(perm, e.x) > list_position(perm, e.y))),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY block ORDER BY way) = 1)
+SELECT g.block, g.k AS item, (list_position(perm, g.i) - 1)::INT AS place FROM b JOIN g USING (block)""")
+def topo_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The stable topological order of each block: the least by base of those that keep all edges (ORD-02, ORD-05, ORD-06)."""
+    from stratacel.plans.solvers import stable_order, strict_order
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf, "part").select((k / 4).cast("bigint").alias("block"), k.alias("item"), ((size * 5 + k * 3) % 23).alias("base"), ((size * 11 + k) % 29).alias("key"))
+    rows = rows.join(rows.groupBy("block").agg(F.count("*").alias("n")).where("n = 4").select("block"), "block", "left_semi")
+
+    def order(pdf):
+        ids = [int(x) for x in pdf["item"]]
+        key = {i: (int(v), i) for i, v in zip(ids, pdf["key"])}
+        edges = [(a, b) for a in ids for b in ids if key[a] < key[b] and (a + b) % 3 == 0]
+        base = {i: int(b) for i, b in zip(ids, pdf["base"])}
+        out = stable_order(ids, edges, base)
+        if strict_order(ids, edges, base) != out:
+            raise ValueError("no cycle was given")
+        return [(i, n) for n, i in enumerate(out)]
+
+    return _by_block(rows, order, "block bigint, item bigint, place int")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS block, l_linenumber AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS place, l_extendedprice AS wish, l_linenumber % 3 <> 0 AS moves FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice)),
+m AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY place) AS a, row_number() OVER (PARTITION BY block ORDER BY wish, item) AS b FROM l WHERE moves)
+SELECT x.block, x.item, (y.place - x.place)::INT AS z FROM m x JOIN m y ON x.block = y.block AND x.b = y.a""")
+def z_indices(spark: SparkSession, sf: str) -> DataFrame:
+    """How far items move so that a wanted order fills the slots in use (ORD-07)."""
+    from stratacel.plans.solvers import z_indices as moved
+
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("item")).agg(F.min("l_extendedprice").alias("wish"))
+
+    def move(pdf):
+        current = sorted(int(i) for i in pdf["item"])
+        wish = {int(i): w for i, w in zip(pdf["item"], pdf["wish"])}
+        wanted = sorted((i for i in current if i % 3), key=lambda i: (wish[i], i))
+        return moved(current, wanted).items()
+
+    return _by_block(lines, move, "block bigint, item int, z int")
