@@ -113,7 +113,8 @@ FROM k JOIN g USING (doc_id, frame_index) JOIN l ON l.doc_id = k.doc_id AND l.so
 def psd_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Cels as frame-first documents give them back (SNK-04, SNK-05, VAL-04, VAL-05)."""
     documents, layers = _documents(spark, sf)
-    return psd_writer.decode_frames(psd_writer.encode_frames(documents, layers, _cels(spark, sf)))
+    out = psd_writer.decode_drawings(psd_writer.encode_documents(documents, layers, _cels(spark, sf), "frames"))
+    return out.withColumn("frame_index", F.split("parent", " ")[1].cast("int")).drop("parent")
 
 
 @query(_FRAMES + """ SELECT d.doc_id, (SELECT count(*) FROM f WHERE f.doc_id = d.doc_id)::INT AS frames, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id)::INT AS groups,
@@ -121,7 +122,20 @@ def psd_frames(spark: SparkSession, sf: str) -> DataFrame:
 def psd_files(spark: SparkSession, sf: str) -> DataFrame:
     """One frame-first document each: frames, different ones, and records (SNK-05, AGG-10)."""
     documents, layers = _documents(spark, sf)
-    return psd_writer.encode_frames(documents, layers, _cels(spark, sf)).select("doc_id", "frames", "groups", "records", "problem")
+    return psd_writer.encode_documents(documents, layers, _cels(spark, sf), "frames").select("doc_id", "frames", "groups", "records", "problem")
+
+
+@query(_CELS + ", " + _DOCS + """, k AS (SELECT s.*, min(s.frame_index) OVER (PARTITION BY s.doc_id, s.source_layer_id, s.pixels, s.width, s.height, s.x, s.y, s.opacity) AS first_frame, l.name, l.visible FROM s JOIN l USING (doc_id, source_layer_id)),
+u AS (SELECT DISTINCT doc_id, source_layer_id, first_frame, name, visible, x, y, opacity, width, height, sha256(pixels) AS digest FROM k),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source_layer_id ORDER BY first_frame) AS n, count(*) OVER (PARTITION BY doc_id, source_layer_id) AS states FROM u)
+SELECT doc_id, CASE WHEN states > 1 THEN coalesce(name, '') END AS parent, CASE WHEN states > 1 THEN 'State ' || n ELSE coalesce(name, '') END AS name, CASE WHEN states > 1 THEN n > 1 ELSE NOT coalesce(visible, false) END AS hidden,
+CASE WHEN states > 1 THEN n END::INT AS state, x, y, opacity, width, height, digest FROM v""")
+def psd_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The states of layers as documents with local reuse give them back (SNK-06, SLV-09, STR-03)."""
+    documents, layers = _documents(spark, sf)
+    out = psd_writer.decode_drawings(psd_writer.encode_documents(documents, layers, _cels(spark, sf), "states"))
+    state = F.when(F.col("parent").isNotNull(), psd_writer.state_number(F.col("name")))
+    return out.select("doc_id", "parent", "name", "hidden", state.alias("state"), "x", "y", "opacity", "width", "height", "digest")
 
 
 def _slices() -> bytes:

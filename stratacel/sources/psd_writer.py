@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacel.sources.psd import MARKER_KEY, Damaged, Reader, _header, _length, _records
@@ -161,43 +161,72 @@ def read_tree(data: bytes) -> dict:
 ENCODED = "doc_id string, frames int, groups int, records int, bytes bigint, problem string, content binary"
 
 
-def encode_frames(documents: DataFrame, layers: DataFrame, cels: DataFrame) -> DataFrame:
-    """One file per document, frame first: a group per different frame, which holds the frame's cels.
+def _drawing(cel: dict, layer: dict, name: str, number: int) -> dict:
+    return {"name": name, "id": number, "blend": layer["blend"], "hidden": not layer["visible"], **{k: cel[k] for k in ("x", "y", "opacity", "width", "height", "pixels")}}
 
-    Frames that show the same share the group of the first; all groups but the first are hidden.
-    What the format can't hold gives no file but a ``problem``. A file is one value, so its document
-    is one task.
+
+def _by_frame(known: dict, drawn: list[dict]) -> list[dict]:
+    """A group per different frame, which holds the frame's cels; all but the first are hidden."""
+    frames: dict[int, list[dict]] = {}
+    for c in drawn:
+        frames.setdefault(c["frame"], []).append(c)
+    nodes, seen, fresh = [], set(), 1
+    for f in sorted(frames):
+        own = sorted(frames[f], key=lambda c: c["layer"])
+        key = tuple((c["layer"], c["x"], c["y"], c["opacity"], c["width"], c["height"], c["pixels"]) for c in own)
+        if key in seen:
+            continue
+        seen.add(key)
+        kids = [_drawing(c, known[c["layer"]], known[c["layer"]]["name"] or "", fresh + k) for k, c in enumerate(own)]
+        fresh += len(kids) + 1
+        nodes.append({"name": f"Frame {f}", "id": fresh - 1, "hidden": len(nodes) > 0, "children": kids})
+    return nodes
+
+
+def _by_state(known: dict, drawn: list[dict]) -> list[dict]:
+    """Each layer by its different states: one alone stands for the layer, more lie in a group, all but the first hidden."""
+    layers: dict[int, dict] = {}
+    for c in sorted(drawn, key=lambda c: (c["layer"], c["frame"])):
+        layers.setdefault(c["layer"], {}).setdefault((c["x"], c["y"], c["opacity"], c["width"], c["height"], c["pixels"]), c)
+    nodes, fresh = [], 1
+    for number, states in layers.items():
+        layer, name = known[number], known[number]["name"] or ""
+        if len(states) == 1:
+            nodes.append(_drawing(next(iter(states.values())), layer, name, fresh))
+        else:
+            kids = [_drawing(c, layer, f"State {k + 1}", fresh + 1 + k) | {"hidden": k > 0} for k, c in enumerate(states.values())]
+            nodes.append({"name": name, "id": fresh, "hidden": not layer["visible"], "children": kids})
+        fresh += 1 + len(nodes[-1].get("children", ()))
+    return nodes
+
+
+ARRANGED = {"frames": _by_frame, "states": _by_state}
+
+
+def encode_documents(documents: DataFrame, layers: DataFrame, cels: DataFrame, arranged: str) -> DataFrame:
+    """One file per document, frame first (``frames``) or by the states of its layers (``states``).
+
+    Frames, or states of a layer, that show the same share one record. What the format can't hold
+    gives no file but a ``problem``. A file is one value, so its document is one task.
     """
+    arrange = ARRANGED[arranged]
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, drawn = left.to_pylist(), right.to_pylist()
         head = next((r for r in rows if r["width"] is not None), {"width": 0, "height": 0})
         known = {r["layer"]: r for r in rows if r["layer"] is not None}
-        frames: dict[int, list[dict]] = {}
-        for c in sorted(drawn, key=lambda c: (c["frame"], c["layer"])):
-            if c["layer"] in known:
-                frames.setdefault(c["frame"], []).append(c)
-        nodes, first, fresh = [], {}, 1
-        for f, own in frames.items():
-            key = tuple((c["layer"], c["x"], c["y"], c["opacity"], c["width"], c["height"], c["pixels"]) for c in own)
-            if key in first:
-                continue
-            first[key] = f
-            kids = []
-            for c in own:
-                layer = known[c["layer"]]
-                kids.append({"name": layer["name"] or "", "id": fresh, "blend": layer["blend"], "hidden": not layer["visible"], **{k: c[k] for k in ("x", "y", "opacity", "width", "height", "pixels")}})
-                fresh += 1
-            nodes.append({"name": f"Frame {f}", "id": fresh, "hidden": len(nodes) > 0, "children": kids})
-            fresh += 1
+        held = [c for c in drawn if c["layer"] in known]
+        nodes = arrange(known, held)
         data = problem = None
         try:
             data = encode(head["width"], head["height"] or 0, nodes)
         except (ValueError, TypeError, struct.error) as e:
             problem = str(e)
-        doc = (rows or drawn)[0]["doc_id"]
-        records = sum(2 + len(n["children"]) for n in nodes)
-        return pa.Table.from_pylist([{"doc_id": doc, "frames": len(frames), "groups": len(nodes), "records": records, "bytes": data and len(data), "problem": problem, "content": data}], schema=_schema(ENCODED))
+        out = {
+            "doc_id": (rows or drawn)[0]["doc_id"], "frames": len({c["frame"] for c in held}), "groups": sum("children" in n for n in nodes),
+            "records": sum(2 + len(n["children"]) if "children" in n else 1 for n in nodes), "bytes": data and len(data), "problem": problem, "content": data,
+        }
+        return pa.Table.from_pylist([out], schema=_schema(ENCODED))
 
     heads = documents.select("doc_id", "width", "height")
     named = layers.select("doc_id", F.col("source_layer_id").alias("layer"), "name", F.col("blend_mode").alias("blend"), F.coalesce("visible", F.lit(False)).alias("visible"))
@@ -211,21 +240,29 @@ def _schema(columns: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in columns.split(", "))])
 
 
-DECODED = "doc_id string, frame_index int, ordinal int, name string, hidden boolean, x int, y int, opacity int, width int, height int, digest string"
+DECODED = "doc_id string, parent string, ordinal int, name string, hidden boolean, x int, y int, opacity int, width int, height int, digest string"
 
 
-def decode_frames(encoded: DataFrame) -> DataFrame:
-    """The cels that frame-first files hold, by the frame of their group, pixels as a digest."""
+def decode_drawings(encoded: DataFrame) -> DataFrame:
+    """The drawings that files hold, with the name of the group around them if there is one, pixels as a digest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, content in zip(batch.column("doc_id"), batch.column("content")):
-                rows = [
-                    {"doc_id": doc.as_py(), "frame_index": int(group["name"].split(" ")[1]), "ordinal": k, "digest": hashlib.sha256(n["pixels"]).hexdigest()}
-                    | {c: n[c] for c in ("name", "hidden", "x", "y", "opacity", "width", "height")}
-                    for group in read_tree(content.as_py())["nodes"]
-                    for k, n in enumerate(group["children"])
-                ]
+                rows, stack = [], [(None, read_tree(content.as_py())["nodes"])]
+                while stack:
+                    parent, nodes = stack.pop()
+                    for k, n in enumerate(nodes):
+                        if "children" in n:
+                            stack.append((n["name"], n["children"]))
+                        else:
+                            own = {"doc_id": doc.as_py(), "parent": parent, "ordinal": k, "digest": hashlib.sha256(n["pixels"]).hexdigest()}
+                            rows.append(own | {c: n[c] for c in ("name", "hidden", "x", "y", "opacity", "width", "height")})
                 yield pa.RecordBatch.from_pylist(rows, schema=_schema(DECODED))
 
     return encoded.where("content IS NOT NULL").select("doc_id", "content").mapInArrow(read, DECODED)
+
+
+def state_number(name: Column) -> Column:
+    """The number of a record named ``State n``; null for another name (STR-03)."""
+    return F.when(name.startswith("State "), F.try_to_number(F.substring(name, 7, 20), F.lit("9999999999")).cast("int"))

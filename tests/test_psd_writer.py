@@ -57,9 +57,15 @@ def test_frame_first_files(spark):
     px = np.arange(8, dtype=np.uint8).tobytes()
     rows = [("d", f, l, x, 0, 9, 2, 1, px) for f, l, x in ((0, 1, 0), (1, 1, 0), (2, 1, 1), (2, 2, 3))] + [("d", 3, 9, 0, 0, 1, 2, 1, px), ("d", 3, 1, 0, 0, 1, 2, 1, b"odd")]
     cels = spark.createDataFrame(rows, "doc_id string, frame_index int, source_layer_id bigint, x int, y int, opacity int, width int, height int, pixels binary")
-    encoded = W.encode_frames(documents, layers, cels)
+    encoded = W.encode_documents(documents, layers, cels, "frames")
     out = {r.doc_id: r for r in encoded.collect()}
     assert (out["d"].frames, out["d"].groups, out["d"].records) == (3, 2, 7) and out["e"].problem == "a canvas of 0 x 1" and out["f"].groups == 0
-    got = sorted((r.frame_index, r.ordinal, r.name, r.hidden, r.x, r.width) for r in W.decode_frames(encoded).collect())
-    assert got == [(0, 0, "a", False, 0, 2), (2, 0, "a", False, 1, 2), (2, 1, "", True, 3, 2)]
-    assert W.encode_frames(documents.limit(0), layers.limit(0), cels.limit(0)).count() == 0
+    got = sorted((r.parent, r.ordinal, r.name, r.hidden, r.x, r.width) for r in W.decode_drawings(encoded).collect())
+    assert got == [("Frame 0", 0, "a", False, 0, 2), ("Frame 2", 0, "a", False, 1, 2), ("Frame 2", 1, "", True, 3, 2)]
+    by_state = W.encode_documents(documents, layers, cels, "states")
+    assert {(r.doc_id, r.groups, r.records) for r in by_state.collect()} == {("d", 1, 5), ("e", 0, 0), ("f", 0, 0)}
+    got = sorted((r.parent or "", r.name, r.hidden, r.x) for r in W.decode_drawings(by_state).collect())
+    assert got == [("", "", True, 3), ("a", "State 1", False, 0), ("a", "State 2", True, 1)]
+    assert W.encode_documents(documents.limit(0), layers.limit(0), cels.limit(0), "states").count() == 0
+    names = spark.createDataFrame([("State 12",), ("State x",), ("Statement",), (None,)], "name string")
+    assert [r[0] for r in names.select(W.state_number(names.name)).collect()] == [12, None, None, None]
