@@ -420,3 +420,55 @@ def z_indices(spark: SparkSession, sf: str) -> DataFrame:
         return moved(current, wanted).items()
 
     return _by_block(lines, move, "block bigint, item int, z int")
+
+
+_FOLDERS = """WITH c AS (SELECT DISTINCT (l_orderkey // 40)::VARCHAR AS doc_id, l_suppkey % 12 AS track, l_partkey AS frame, l_linenumber AS ord, l_suppkey % 40 AS x, l_partkey % 40 AS y, l_quantity::INT AS width, l_linenumber AS height, l_suppkey % 12 % 5 AS selector FROM lineitem),
+t AS (SELECT doc_id, track, track % 4 AS base, track % 6 = 5 AS generic, CASE WHEN track % 3 = 2 THEN 1 ELSE 0 END AS suffixes, row_number() OVER (PARTITION BY doc_id ORDER BY track % 5 % 2 * 100 + track) - 1 AS place FROM (SELECT DISTINCT doc_id, track FROM c)),
+k AS (SELECT *, NOT generic AND suffixes = 0 AND track % 2 = 0 AS confirmed, generic OR suffixes > 0 OR track % 4 = 1 AS uncertain FROM t),
+fam AS (SELECT u.doc_id, u.track, min(a.track) AS anchor FROM k u JOIN k a ON a.doc_id = u.doc_id AND a.base = u.base AND a.confirmed WHERE u.uncertain AND NOT u.generic GROUP BY ALL HAVING count(*) = 1),
+nb AS (SELECT u.doc_id, u.track, (SELECT arg_max(a.track, a.place) FROM k a WHERE a.doc_id = u.doc_id AND a.confirmed AND a.place < u.place) AS prev, (SELECT arg_min(a.track, a.place) FROM k a WHERE a.doc_id = u.doc_id AND a.confirmed AND a.place > u.place) AS nxt FROM k u WHERE u.uncertain),
+nf AS (SELECT *, EXISTS (SELECT 1 FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.frame = b.frame AND a.ord > b.ord WHERE a.doc_id = nb.doc_id AND a.track = nb.track AND b.track = nb.prev) AS aft, EXISTS (SELECT 1 FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.frame = b.frame AND a.ord < b.ord WHERE a.doc_id = nb.doc_id AND a.track = nb.track AND b.track = nb.nxt) AS bef FROM nb WHERE prev IS NOT NULL AND nxt IS NOT NULL),
+bnd AS (SELECT doc_id, track, CASE WHEN aft THEN nxt ELSE prev END AS anchor FROM nf WHERE aft <> bef),
+sc AS (SELECT u.doc_id, u.track, a.track AS anchor, least(100, CASE abs(u.place - a.place) WHEN 0 THEN 50 WHEN 1 THEN 40 WHEN 2 THEN 30 WHEN 3 THEN 20 ELSE 0 END
+  + (SELECT max(least(20, (round(least(p.width, q.width) / greatest(p.width, q.width)::DOUBLE * 10)::BIGINT + round(least(p.height, q.height) / greatest(p.height, q.height)::DOUBLE * 10)::BIGINT) // 2 + (20 - least(20, least(abs(p.x - q.x), 32) + least(abs(p.y - q.y), 32))) // 2)) FROM c p JOIN c q ON p.doc_id = q.doc_id WHERE p.doc_id = u.doc_id AND p.track = u.track AND q.track = a.track)
+  + coalesce((SELECT max(15 - 2 * least(abs(p.ord - q.ord), 7)) FROM c p JOIN c q ON p.doc_id = q.doc_id AND p.frame = q.frame WHERE p.doc_id = u.doc_id AND p.track = u.track AND q.track = a.track), 0)) AS score FROM k u JOIN k a ON a.doc_id = u.doc_id AND a.confirmed WHERE u.uncertain),
+aff AS (SELECT doc_id, track, anchor FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, track ORDER BY score DESC, anchor) = 1 AND score >= 50),
+pick AS (SELECT u.doc_id, u.track, coalesce(fam.anchor, bnd.anchor, aff.anchor) AS anchor FROM k u LEFT JOIN fam USING (doc_id, track) LEFT JOIN bnd USING (doc_id, track) LEFT JOIN aff USING (doc_id, track) WHERE u.uncertain),
+rel AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.frame = b.frame WHERE a.doc_id = pick.doc_id AND a.track = pick.anchor AND b.track = pick.track) THEN 'co_visible' WHEN (anchor % 5) % 2 = (track % 5) % 2 AND anchor % 5 <> track % 5 THEN 'structural' ELSE 'observed_disjoint' END AS relation FROM pick WHERE anchor IS NOT NULL),
+mem AS (SELECT DISTINCT doc_id, anchor, unnest([anchor, track]) AS member FROM rel WHERE relation = 'structural'),
+grp AS (SELECT mem.doc_id, anchor, string_agg(member, ',' ORDER BY place) AS members, max(place) - min(place) + 1 = count(*) AS complete FROM mem JOIN t ON t.doc_id = mem.doc_id AND t.track = member GROUP BY ALL),
+fol AS (SELECT doc_id, anchor, members, complete, CASE WHEN EXISTS (SELECT 1 FROM mem m JOIN c ON c.doc_id = m.doc_id AND c.track = m.member WHERE m.doc_id = grp.doc_id AND m.anchor = grp.anchor GROUP BY c.frame HAVING count(DISTINCT m.member) > 1) THEN 'members show together' WHEN NOT complete THEN 'incomplete interval' END AS reason FROM grp
+UNION ALL SELECT r.doc_id, r.anchor, (SELECT string_agg(t.track, ',' ORDER BY place) FROM t WHERE t.doc_id = r.doc_id AND t.track IN (r.anchor, r.track)), (SELECT max(place) - min(place) + 1 = count(*) FROM t WHERE t.doc_id = r.doc_id AND t.track IN (r.anchor, r.track)), relation FROM rel r WHERE relation <> 'structural'
+UNION ALL SELECT doc_id, track, track::VARCHAR, false, 'no anchor' FROM pick WHERE anchor IS NULL)"""
+
+
+def _folders(spark: SparkSession, sf: str) -> DataFrame:
+    from stratacel.plans.folders import candidate_folders
+
+    track = F.col("l_suppkey") % 12
+    cels = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") / 40).cast("bigint").cast("string").alias("doc_id"), track.alias("track"), F.col("l_partkey").alias("frame"), F.col("l_linenumber").alias("order"), (F.col("l_suppkey") % 40).alias("x"),
+        (F.col("l_partkey") % 40).alias("y"), F.col("l_quantity").cast("int").alias("width"), F.col("l_linenumber").alias("height"), (track % 5).alias("selector"),
+    ).distinct()
+    t = F.col("track")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy((t % 5) % 2 * 100 + t)) - 1
+    tracks = cels.select("doc_id", "track").distinct().select("doc_id", "track", (t % 4).alias("base"), (t % 6 == 5).alias("generic"), F.when(t % 3 == 2, 1).otherwise(0).alias("suffixes"), place.alias("place"))
+    status = F.when(t % 2 == 0, "strong").when(t % 4 == 1, "new").otherwise("probable")
+    selectors = cels.select("doc_id", F.col("selector").alias("layer_id"), (F.col("selector") % 2).alias("parent_id")).distinct()
+    return candidate_folders(tracks, cels, tracks.select("doc_id", "track", status.alias("status")), selectors)
+
+
+@query(_FOLDERS + " SELECT doc_id, anchor, members, complete, reason IS NULL AS emitted, reason FROM fol")
+def candidate_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders of uncertain tracks, on suppliers and parts of orders (SLV-07, FLT-17, ORD-10)."""
+    return _folders(spark, sf).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(_FOLDERS + " SELECT doc_id, count(*) FILTER (WHERE reason IS NULL) AS folders, 0::BIGINT AS wrong FROM fol GROUP BY doc_id")
+def folder_topology(spark: SparkSession, sf: str) -> DataFrame:
+    """Emitted folders stand once with exactly their members (VAL-06)."""
+    from stratacel.plans.folders import folder_paths, folder_problems
+
+    folders = checkpoint(_folders(spark, sf))
+    wrong = folder_problems(folders, folder_paths(folders)).groupBy("doc_id").agg(F.count("*").alias("wrong"))
+    return folders.groupBy("doc_id").agg(F.count_if("emitted").alias("folders")).join(wrong, "doc_id", "left").select("doc_id", "folders", F.coalesce("wrong", F.lit(0)).cast("bigint").alias("wrong"))
