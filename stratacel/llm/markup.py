@@ -15,6 +15,9 @@ OPEN_COMMENT = re.compile(r"<!--[^\n]*")
 NOWIKI, NOWIKI_END = re.compile(r"<nowiki>", re.I), re.compile(r"</nowiki>", re.I)
 REFERENCE, REFERENCE_END = re.compile(r"<ref\b[^<>]*>", re.I), re.compile(r"</ref\s*>", re.I)
 OPEN_REFERENCE = re.compile(r"<ref\b[^\n]*", re.I)
+#: A template, a parameter or a link that holds no other.
+PLAIN_TEMPLATE = re.compile(r"\{\{\{[^{}]*+\}\}\}|\{\{[^{}]*+\}\}")
+PLAIN_LINK = re.compile(r"\[\[([^\[\]\n]*+)\]\]")
 BRACES = re.compile(r"\{+|\}+")
 TABLE_EDGE = re.compile(r"^[ \t]*(?:(\{\|)|\|\})", re.M)
 TABLE_FRAME = re.compile(r"^[ \t]*(?:\{\|.*|\|-.*|\|\})", re.M)
@@ -200,6 +203,14 @@ def _filled(text: str, spans: Iterable[tuple[int, int]], char: str) -> str:
     return _edited(text, ((a, b, char * (b - a)) for a, b in spans))
 
 
+def _masked_link(match: re.Match) -> str:
+    content = match.group(1)
+    if FILE_OR_CATEGORY.match(content):
+        return FILE * (len(content) + 4)
+    target = content.find("|") + 1
+    return LINK_OPEN * (2 + target) + content[target:] + LINK_CLOSE * 2
+
+
 def _masked_external(match: re.Match) -> str:
     shown = match.group(1)
     return LINK_OPEN * (match.end() - match.start() - len(shown) - 1) + shown + LINK_CLOSE
@@ -224,11 +235,15 @@ def masked(text: str) -> str:
         text = OPEN_COMMENT.sub(_fill(UNSEEN), text)
         text = OPEN_REFERENCE.sub(_fill(UNSEEN), text)
     if "{{" in text:
-        text = _filled(text, _templates(text), PIECE)
+        text = PLAIN_TEMPLATE.sub(_fill(PIECE), text)  # most of them
+        if "{{" in text:
+            text = _filled(text, _templates(text), PIECE)
     if "{|" in text:
         text = _filled(text, _tables(text), PIECE)
     if "[[" in text:
-        text = _edited(text, _link_edits(text, lambda n: FILE * n, lambda n: LINK_OPEN * n, LINK_CLOSE * 2, False))
+        text = PLAIN_LINK.sub(_masked_link, text)
+        if "[[" in text:
+            text = _edited(text, _link_edits(text, lambda n: FILE * n, lambda n: LINK_OPEN * n, LINK_CLOSE * 2, False))
     if "[" in text:
         text = EXTERNAL.sub(_masked_external, text)
     if "<" in text:

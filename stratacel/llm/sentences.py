@@ -277,6 +277,7 @@ def _first_fit(rules: list[Rule], line: str, at: int) -> bool:
 #: Last parts of all abbreviations: a longer or other word before a full stop needs no table of them.
 _SHORT = {w.split(".")[-1].lower() for table in (BOUND, NUMBERED, LOOSE, LOOSE_PARTS, {"": "Sr"}) for words in table.values() for w in words.split()}
 _SHORT |= {f(w) for w in _SHORT for f in (_apart, _bare)}
+_WORD_BEFORE = regex.compile(r"(?r)[\p{L}\u0300-\u036f]*+")
 #: A whole word before a capital: with a mark that no table of abbreviations knows, it breaks by the defaults.
 _PLAIN = re.compile(rf"\s+{_UPPER}{_LOWER}")
 
@@ -346,8 +347,9 @@ def _breaks(line: str, lang: str) -> list[int]:
         if k >= 0 and close < found[k][1]:
             closing[close] = k
             own.setdefault(k, lo)
-    letters = _letters_around(line, found)
+    letters: list[str] = []  # made when the first mark wants the tables
     case = "upper" if line.isupper() else "lower" if line.islower() else "mixed"
+    size = len(line.rstrip())
     known: dict[int, bool] = {}
     open_spans: list[tuple[int, bool]] = []  # end, and whether a sentence may end inside
     begin = passed = 0  # where the sentence begins; marks whose place is reached
@@ -360,10 +362,11 @@ def _breaks(line: str, lang: str) -> list[int]:
         return rule(k, a, b)
 
     def rule(k: int, a: int, b: int) -> bool:
+        if b >= size:
+            return True  # as the first table says
         first = a
         if line[a] == ".":
-            while first and (line[first - 1].isalpha() or "\u0300" <= line[first - 1] <= "\u036f"):
-                first -= 1
+            first = _WORD_BEFORE.match(line, 0, a).start()
         shortened = line[a] == "." and (a - first < 2 or (word := line[first:a].lower()) in _SHORT or len(_bare(word)) < 2)
         if b == a + 1 and line[a] in ".!?" and not shortened and _PLAIN.match(line, b):
             return True
@@ -372,8 +375,12 @@ def _breaks(line: str, lang: str) -> list[int]:
             lo = own[k]
             bracket = {"(": "ascii", "[": "ascii", "（": "wide"}.get(line[lo], "quotation")
             span = "introduced" if _INTRODUCED.match(line, 0, lo) else "inner" if line[begin:lo].strip() else "alone"
+        if not letters:
+            letters.extend(_letters_around(line, found))
         return _first_fit(cascade(Context(_script(letters[k]), lang, shortened, case, span, bracket)), line, b)
 
+    if not spans:
+        return [b for k, (a, b) in enumerate(found) if rule(k, a, b)]
     events = sorted([(lo, 0, i) for i, (lo, _) in enumerate(spans)] + [(a, 1, k) for k, a in enumerate(starts)])
     for at, is_mark, i in events:
         while open_spans and open_spans[-1][0] < at:
@@ -397,19 +404,22 @@ def _line_sentences(line: str, base: int, lang: str) -> Iterator[tuple[int, int]
     """Sentences of a masked line that begins at ``base``."""
     size = len(line)
     if _HIDDEN.search(line):
-        where = [i for m in _SEEN.finditer(line) for i in range(*m.span())]
-        text = _HIDDEN.sub("", line)
+        where = [m.span() for m in _SEEN.finditer(line)]
+        text = "".join([line[a:b] for a, b in where])
     else:
         where, text = None, line
     cuts = set(_breaks(text, lang))
     cuts |= {m.start() for m in _THAI.finditer(text)}
     edges = [(m.start(), line[m.start()]) for m in _LINK_EDGE.finditer(line)] if where is not None and LINK_CLOSE in line else []
-    begin = 0
+    begin = part = before = 0  # before: characters that are seen before the part
     for cut in sorted(cuts):
         if where is None:
             end = cut
         else:
-            end = where[cut - 1] + 1
+            while before + where[part][1] - where[part][0] < cut:
+                before += where[part][1] - where[part][0]
+                part += 1
+            end = where[part][0] + cut - before
             if edges and _in_link(line, end, edges):
                 continue
             end = _attached(line, end, begin)
