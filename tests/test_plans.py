@@ -213,3 +213,38 @@ def test_uncross_against_plain_repairs(seed):
         else:
             pairs.pop(i if scores.get((a, s), 0) <= scores.get((b, t), 0) else j)
     assert Z.uncross([(i, i) for i in range(n)], order, median, scores, lambda a, b: (a, b) in touching) == pairs
+
+
+def tracks_of(rows, **kw):
+    return P.associate(rows, **{"protect_new": True} | kw)
+
+
+def test_fact_a_renamed_generic_layer_without_container_evidence():
+    rows = [drawn(0, 1, 0, "rear foot"), drawn(0, 2, 1, "layer 15", 5), drawn(1, 3, 0, "layer 16")]
+    for protect in (True, False):
+        tracks, decided = tracks_of(rows, protect_new=protect)
+        assert len(tracks) == 3 and decided[1, 3][0] != decided[0, 1][0]
+
+
+def test_fact_generics_in_an_exclusive_container():
+    one = [drawn(0, 1, 0, "layer 1", containers=[5]), drawn(1, 2, 0, "layer 2", containers=[6])]
+    assert len(tracks_of(one)[0]) == 1
+    named = [drawn(0, 8, 1, "torso", 60), drawn(0, 9, 2, "head", 90)]  # make the first frame the anchor
+    two = [*named, *one, drawn(1, 3, 1, "layer 3", 20, containers=[6])]
+    assert len(tracks_of(two, protect_new=False)[0]) == 2 + len(named)
+    tracks, decided = tracks_of(two)
+    assert len(tracks) == 3 + len(named) and [decided[1, k][1] for k in (2, 3)] == ["new", "new"]
+
+
+def test_fact_order_seen_reversed_three_times():
+    edges, refused = Z.consensus_edges({(0, 1): (1, 3)}, {0: 0, 1: 1})
+    assert (edges, refused) == ([(1, 0)], []) and Z.stable_order([0, 1], edges, {0: 0, 1: 1}) == [1, 0]
+    assert Z.consensus_edges({(0, 1): (1, 3)}, {0: 0, 1: 1}, strict=True)[1] == []
+
+
+@pytest.mark.parametrize("step, crossings, tracks, moved", [(1, False, 3, False), (1, True, 2, True), (30, True, 2, False), (30, False, 2, False)])
+def test_fact_order_reversed_once(step, crossings, tracks, moved):
+    rows = [drawn(f, 10 * f + p, p, n, step * "ab".index(n)) for f, order in enumerate(("ab", "ba")) for p, n in enumerate(order)]
+    plan = P.plan_document(pd.DataFrame(rows), crossings=crossings)
+    assert plan.track.nunique() == tracks
+    assert (plan[plan.frame == 1].z_index != 0).tolist() == [moved, moved] and (plan[plan.frame == 0].z_index == 0).all()
