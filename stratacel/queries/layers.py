@@ -360,7 +360,7 @@ v AS (SELECT q.grp, a, b, c, CASE WHEN a < 0 THEN 0 ELSE 100 + x.score END + CAS
   FROM (SELECT DISTINCT grp FROM e) q CROSS JOIN o LEFT JOIN e x ON x.grp = q.grp AND x.l = 0 AND x.r = a LEFT JOIN e y ON y.grp = q.grp AND y.l = 1 AND y.r = b LEFT JOIN e z ON z.grp = q.grp AND z.l = 2 AND z.r = c),
 m AS (SELECT * FROM v WHERE w IS NOT NULL QUALIFY w = max(w) OVER (PARTITION BY grp)),
 t AS (SELECT grp, unnest([0, 1, 2]) AS l, unnest([a, b, c]) AS r, count(*) OVER (PARTITION BY grp) AS optima FROM m)
-SELECT grp AS block, l AS item, r AS track FROM t WHERE r >= 0 GROUP BY ALL HAVING count(*) = any_value(optima)""")
+SELECT grp AS block, l::BIGINT AS item, r AS track FROM t WHERE r >= 0 GROUP BY ALL HAVING count(*) = any_value(optima)""")
 def best_assignment(spark: SparkSession, sf: str) -> DataFrame:
     """The assignments that every best matching of a block holds (SLV-02, SLV-03)."""
     from stratacel.plans.solvers import best_matching
