@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from stratacel.functions.columns import is_generic_name
 from stratacel.functions.names import parsed_name
 from stratacel.functions.pixels import drawn_bits
 from stratacel.operators.cels import content_key
-from stratacel.plans.solvers import best_matching, consensus_edges, stable_order, uncross, z_indices
+from stratacel.plans.solvers import EDGE_BONUS, Scores, agreed_edges, best_matching, ranked_order, uncross, z_indices
 
 #: Least likeness of an observation and a track (fixed value).
 LEAST_SCORE = 40
@@ -31,6 +32,10 @@ OBSERVATION = "doc_id string, frame int, layer bigint, place int, name string, b
 #: Besides: one bit per pixel that is drawn, and the groups above, outermost first. Without the bits
 #: a drawing fills its box; without the groups nothing excludes it structurally.
 DRAWN = OBSERVATION + ", alpha binary, containers array<bigint>"
+#: Up to so many pairs of a frame are compared one by one, more of them by columns.
+FEW_PAIRS = 64
+#: Pairs that are compared at once.
+BLOCK = 1 << 20
 PLAN = "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int, phase string, score int, margin int"
 
 
@@ -96,11 +101,76 @@ def alpha_overlap(a, b) -> bool:
     return bool((parts[0] & parts[1]).any())
 
 
-def overlapping(rows: list) -> list[tuple[int, int]]:
-    """Places of the pairs of a frame's observations that draw at one pixel; all boxes are compared at once."""
+@lru_cache(maxsize=4096)
+def _words(alpha: bytes | None, width: int, height: int) -> np.ndarray:
+    """The bitmap as one number a line, the first pixel highest."""
+    bits = np.zeros((height, 64), dtype=bool)
+    bits[:, :width] = _bitmap(alpha, width, height)
+    return np.packbits(bits, axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def _near(x: np.ndarray, y: np.ndarray, right: np.ndarray, bottom: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs whose boxes overlap, in blocks: each box with those that begin left of its right edge, in order of x."""
+    by = np.argsort(x, kind="stable")
+    counts = np.maximum(np.searchsorted(x[by], right[by]) - np.arange(len(x)) - 1, 0)
+    ends = np.cumsum(counts)
+    low = 0
+    while low < len(x):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK, side="right")))
+        own = np.repeat(np.arange(low, high), counts[low:high])
+        other = np.arange(len(own)) - np.repeat(ends[low:high] - counts[low:high] - (ends[low - 1] if low else 0), counts[low:high]) + own + 1
+        i, j = by[own], by[other]
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        near = (x[i] < right[j]) & (x[j] < right[i]) & (y[i] < bottom[j]) & (y[j] < bottom[i])
+        yield i[near], j[near]
+        low = high
+
+
+def _meeting(rows: list, i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndarray, right: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    """``alpha_overlap`` of pairs whose boxes overlap; lines of up to 64 pixels are compared for all pairs at once."""
+    met = np.zeros(len(i), dtype=bool)
+    narrow = np.zeros(len(rows), dtype=bool)
+    narrow[np.union1d(i, j)] = True
+    narrow &= (right - x <= 64) & (bottom - y <= 256)
+    todo = np.flatnonzero(narrow[i] & narrow[j])
+    if len(todo) <= FEW_PAIRS:
+        todo = todo[:0]
+    for k in np.setdiff1d(np.arange(len(i)), todo).tolist():
+        met[k] = alpha_overlap(rows[i[k]], rows[j[k]])
+    if not todo.size:
+        return met
+    lines = np.zeros((len(rows), int((bottom - y)[narrow].max())), dtype=np.uint64)
+    for k in np.flatnonzero(narrow).tolist():
+        r = rows[k]
+        lines[k, : int(r.height)] = _words(getattr(r, "alpha", None), int(r.width), int(r.height))
+    a, b = i[todo], j[todo]
+    left, top, low = np.maximum(x[a], x[b]), np.maximum(y[a], y[b]), np.minimum(bottom[a], bottom[b])
+    shifts = [(left - x[k]).astype(np.uint64) for k in (a, b)]
+    at = [(top - y[k]).astype(np.int64) for k in (a, b)]
+    height = (low - top).astype(np.int64)
+    line = 0
+    while todo.size:
+        hit = (lines[a, at[0] + line] << shifts[0]) & (lines[b, at[1] + line] << shifts[1]) != 0
+        met[todo[hit]] = True
+        line += 1
+        on = ~hit & (height > line)
+        todo, a, b, height, shifts, at = todo[on], a[on], b[on], height[on], [k[on] for k in shifts], [k[on] for k in at]
+    return met
+
+
+def overlapping(rows: list) -> np.ndarray:
+    """Places of the pairs of a frame's observations that draw at one pixel, in order."""
+    if len(rows) * (len(rows) - 1) // 2 <= FEW_PAIRS:
+        return np.array([(i, j) for i, j in combinations(range(len(rows)), 2) if alpha_overlap(rows[i], rows[j])], dtype=np.int64).reshape(-1, 2)
     x, y, width, height = (np.array([getattr(r, k) for r in rows], dtype=float) for k in ("x", "y", "width", "height"))
-    near = (x[:, None] < (x + width)[None]) & (x[None] < (x + width)[:, None]) & (y[:, None] < (y + height)[None]) & (y[None] < (y + height)[:, None])
-    return [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1))) if alpha_overlap(rows[i], rows[j])]
+    sides = x, y, x + width, y + height
+    out = [np.zeros((0, 2), dtype=np.int64)]
+    for i, j in _near(*sides):
+        if i.size:
+            met = _meeting(rows, i, j, *sides)
+            out.append(np.stack([i[met], j[met]], axis=1))
+    out = np.concatenate(out)
+    return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
 def score(row, place: int, track: Track) -> int:
@@ -153,6 +223,101 @@ def candidate_allowed(row, track: Track, slots: dict) -> bool:
     return True
 
 
+def _scored(rows: list, places: list, tracks: list, bounds: list | None, slots: dict) -> np.ndarray:
+    """``score`` of every row and track, 0 where it is below ``LEAST_SCORE`` or the track isn't admitted.
+
+    bounds: the least and the greatest median that a row may join.
+    """
+    out = np.zeros((len(rows), len(tracks)), dtype=np.int8)
+    if len(rows) * len(tracks) <= FEW_PAIRS:
+        for i, (r, place) in enumerate(zip(rows, places)):
+            for k, t in enumerate(tracks):
+                if (bounds is None or bounds[0][i] <= t.median <= bounds[1][i]) and candidate_allowed(r, t, slots[r.frame, r.layer]) and identity_allowed(r, t):
+                    points = score(r, place, t)
+                    out[i, k] = points if points >= LEAST_SCORE else 0
+        return out
+    if not out.size:
+        return out
+    codes: dict = {}
+    coded = lambda values: np.array([codes.setdefault(v, len(codes)) for v in values])
+    flat = lambda sets: (np.repeat(np.arange(len(sets)), [len(x) for x in sets]), [v for x in sets for v in x])
+    last, first = [t.seen[-1] for t in tracks], [t.seen[0] for t in tracks]
+    median, place = np.array([t.median for t in tracks]), np.array(places)
+    generic = np.array([bool(r.generic) for r in rows])
+    began, ended = (np.array([bool(r.generic) for r in x]) for x in (first, last))
+    locked = [np.array([bool(r.locked) for r in x]) for x in (rows, first)]
+    layer = [np.array([r.layer for r in x]) for x in (rows, first)]
+    name, base = ([coded([getattr(r, key) for r in x]) for x in (rows, last)] for key in ("name", "base"))
+    chosen = [tuple(slots[r.frame, r.layer].items()) for r in rows]
+    kinds = {own: k for k, own in enumerate(dict.fromkeys(chosen))}
+    kind, apart = np.array([kinds[own] for own in chosen]), np.zeros((len(kinds), len(tracks)), dtype=bool)
+    if generic.any() or began.any():
+        track, pairs = flat([t.slots for t in tracks])
+        parents, groups = coded([p for p, _ in pairs]), coded([g for _, g in pairs])
+        for own, k in kinds.items():
+            for parent, group in own:
+                apart[k, track[(parents == codes.get(parent, -1)) & (groups != codes.get(group, -1))]] = True
+    ways = {w: k for k, w in enumerate(dict.fromkeys(r.path for r in rows))}
+    held = {p: k for k, p in enumerate(dict.fromkeys(p for t in tracks for p in t.paths))}
+    near = np.array([[_group(w, p) for p in held] for w in ways], dtype=np.int8)
+    track, paths = flat([t.paths for t in tracks])
+    group = np.maximum.reduceat(near[:, [held[p] for p in paths]], np.searchsorted(track, np.arange(len(tracks))), axis=1)
+    way = np.array([ways[r.path] for r in rows])
+    drawn = defaultdict(list)
+    for i, r in enumerate(rows):
+        drawn[r.content].append(i)
+    equal = np.sort(np.array([i * len(tracks) + k for k, t in enumerate(tracks) for c in drawn.keys() & t.contents for i in drawn[c]], dtype=np.int64))
+    track, boxes = flat([t.boxes for t in tracks])
+    boxes, counts = np.array(boxes, dtype=float), np.bincount(track)
+    starts = np.cumsum(counts) - counts
+    box = np.array([(r.x, r.y, r.width, r.height) for r in rows], dtype=float)
+    by = np.argsort(median, kind="stable")
+    low = np.zeros(len(rows), dtype=int) if bounds is None else np.searchsorted(median[by], bounds[0])
+    many = len(tracks) - low if bounds is None else np.maximum(np.searchsorted(median[by], bounds[1], side="right") - low, 0)
+    for begin, end in _blocks(many):
+        n = many[begin:end]
+        i = np.repeat(np.arange(begin, end), n)
+        k = by[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[begin:end], n)]
+        allowed = (locked[0][i] == locked[1][k]) & (~locked[0][i] | (layer[0][i] == layer[1][k]))
+        allowed &= ~(generic[i] | began[k]) | apart[kind[i], k]
+        i, k = i[allowed], k[allowed]
+        named = ~(generic[i] | ended[k])
+        total = np.where(named, np.where(name[0][i] == name[1][k], 20, np.where(base[0][i] == base[1][k], 5, 0)), 0)
+        total += np.maximum(0, 20 - 4 * np.minimum(np.abs(place[i] - median[k]), 5)) + group[way[i], k]
+        if equal.size:
+            code = i * len(tracks) + k
+            total += np.where(equal[np.minimum(np.searchsorted(equal, code), len(equal) - 1)] == code, 10, 0)
+        full = np.where(named, 90, 70)
+        able = 100 * (total + 20) // full >= LEAST_SCORE  # 20: the most that geometry adds
+        i, k, total, full = i[able], k[able], total[able], full[able]
+        for at, to in _blocks(counts[k]):
+            n = counts[k[at:to]]
+            start = np.cumsum(n) - n
+            geometry = _geometries(box[np.repeat(i[at:to], n)], boxes[np.arange(n.sum()) - np.repeat(start - starts[k[at:to]], n)])
+            points = np.minimum(100, 100 * (total[at:to] + np.maximum.reduceat(geometry, start)) // full[at:to])
+            out[i[at:to], k[at:to]] = np.where(points >= LEAST_SCORE, points, 0)
+    return out
+
+
+def _blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges whose counts sum up to ``BLOCK`` or are one item."""
+    ends, low = np.cumsum(counts), 0
+    while low < len(counts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + BLOCK, side="right")))
+        yield low, high
+        low = high
+
+
+def _geometries(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_geometry`` of boxes line by line."""
+    sizes = np.zeros(len(a))
+    for s in (2, 3):
+        some = (a[:, s] != 0) & (b[:, s] != 0)
+        sizes += np.floor(np.minimum(a[:, s], b[:, s]) / np.where(some, np.maximum(a[:, s], b[:, s]), 1) * 10 + 0.5) * some
+    near = np.minimum(np.abs(a[:, 0] - b[:, 0]), 32) + np.minimum(np.abs(a[:, 1] - b[:, 1]), 32)
+    return np.minimum(20, sizes // 2 + (20 - np.where(near < 20, near, 20)) // 2).astype(np.int64)
+
+
 def _unique(rows, tracks, key_of_row, keys_of_track, admitted) -> Iterator[tuple]:
     """(row, track) where a key belongs to one row and to one track only that is admitted."""
     owners = defaultdict(list)
@@ -167,7 +332,33 @@ def _unique(rows, tracks, key_of_row, keys_of_track, admitted) -> Iterator[tuple
             yield r, able[0]
 
 
-def associate(rows: list, protect_new: bool, crossings: bool = False, by_source: bool = False) -> tuple[list[Track], dict]:
+def _as_scores(points: np.ndarray, layers: list, numbers: list) -> Scores:
+    """Scores by layer and track, without layers and tracks that have none; of one layer's rows the last that has one counts."""
+    ids = sorted(set(layers))
+    if len(ids) == len(layers):
+        merged = points[sorted(range(len(layers)), key=layers.__getitem__)]
+    else:
+        row, merged = {k: i for i, k in enumerate(ids)}, np.zeros((len(ids), len(numbers)), dtype=points.dtype)
+        for k, own in zip(layers, points):
+            merged[row[k], own > 0] = own[own > 0]
+    rows, columns = np.flatnonzero(merged.any(axis=1)), np.flatnonzero(merged.any(axis=0))
+    merged = merged[np.ix_(rows, columns)].astype(np.int16)
+    return Scores([ids[i] for i in rows], [numbers[c] for c in columns], np.where(merged > 0, merged + EDGE_BONUS, 0))
+
+
+def _sides(pairs: np.ndarray, n: int) -> list:
+    """Of what an observation overlaps, by its place: what comes after it, and what before."""
+    if not len(pairs):
+        return [lambda k: pairs[:, 0]] * 2
+    out = []
+    for own, other in ((0, 1), (1, 0)):
+        by = np.argsort(pairs[:, own], kind="stable")
+        others, bounds = pairs[by, other], np.searchsorted(pairs[by, own], np.arange(n + 1)).tolist()
+        out.append(lambda k, others=others, bounds=bounds: others[bounds[k] : bounds[k + 1]])
+    return out
+
+
+def associate(rows: list, protect_new: bool, crossings: bool = False, by_source: bool = False, pairs: dict | None = None) -> tuple[list[Track], dict]:
     """Tracks of one document, and (frame, layer) to (track, phase, score, margin).
 
     From the anchor frame on, wrapping: unique names, unique pixels, then the best assignment of
@@ -176,6 +367,7 @@ def associate(rows: list, protect_new: bool, crossings: bool = False, by_source:
     takes a track by which an observation would change order with one that it overlaps (FLT-13),
     except with ``crossings``, where z-indices are to make up for it. With ``by_source`` an
     observation joins the one track that holds its source layer only, or begins one (JN-08).
+    ``pairs`` are those of ``overlapping`` by frame, if they are known.
     """
     frames: dict = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.frame, r.place)):
@@ -192,14 +384,16 @@ def associate(rows: list, protect_new: bool, crossings: bool = False, by_source:
     for f in order:
         now = {id(r): k for k, r in enumerate(frames[f])}
         free = set(range(len(tracks)))
-        left = list(frames[f])
-        median = {t.number: t.median for t in tracks}
-        fixed: list = []  # (place, median of the track, observation) of what this frame has assigned
+        left = dict(enumerate(frames[f]))
+        median = [t.median for t in tracks]
+        met = np.zeros((0, 2), dtype=np.int64) if crossings else overlapping(frames[f]) if pairs is None else pairs[f]
+        above, under = _sides(met, len(frames[f]))
+        least, most = np.full(len(frames[f]), -np.inf), np.full(len(frames[f]), np.inf)  # medians that an observation may join
 
         def take(row, track, phase, points=0, margin=0):
             track.add(row, now[id(row)], slots[row.frame, row.layer])
             free.discard(track.number)
-            left.remove(row)
+            del left[now[id(row)]]
             decided[row.frame, row.layer] = (track.number, phase, points, margin)
 
         def begin(row, phase):
@@ -207,44 +401,48 @@ def associate(rows: list, protect_new: bool, crossings: bool = False, by_source:
             take(row, tracks[-1], phase)
 
         if f == anchor:
-            for r in list(left):
+            for r in list(left.values()):
                 begin(r, "anchor")
         open_tracks = lambda: [tracks[i] for i in sorted(free)]
         if by_source:
-            for r in list(left):
+            for r in list(left.values()):
                 own = [t for t in open_tracks() if all(s.layer == r.layer for s in t.seen)]
                 take(r, own[0], "source") if len(own) == 1 else begin(r, "new")
 
         def safe(row, track):
-            place, at = now[id(row)], median[track.number]
-            return crossings or not any((place - p) * (at - m) < 0 and alpha_overlap(row, r) for p, m, r in fixed)
+            return least[now[id(row)]] <= median[track.number] <= most[now[id(row)]]
 
         def admitted(row, track):
             return track.number in free and identity_allowed(row, track) and safe(row, track)
 
         def keep(row, track, phase):
-            fixed.append((now[id(row)], median[track.number], row))
+            place, at = now[id(row)], median[track.number]
+            for limit, bound, others in ((least, np.maximum, above(place)), (most, np.minimum, under(place))):
+                if others.size:
+                    limit[others] = bound(limit[others], at)
             take(row, track, phase)
 
-        for r, t in _unique(list(left), open_tracks(), lambda r: None if r.generic else r.name, lambda t: t.names, admitted):
+        for r, t in _unique(list(left.values()), open_tracks(), lambda r: None if r.generic else r.name, lambda t: t.names, admitted):
             keep(r, t, "name")
-        for r, t in _unique(list(left), open_tracks(), lambda r: r.content, lambda t: t.contents, admitted):
+        for r, t in _unique(list(left.values()), open_tracks(), lambda r: r.content, lambda t: t.contents, admitted):
             keep(r, t, "pixels")
-        fresh = [r for r in left if r.generic and r.name not in known]
+        fresh = [r for r in left.values() if r.generic and r.name not in known]
         if protect_new and len(fresh) >= 2:
             for r in fresh:
                 begin(r, "new")
-        able = [(r, t) for r in left for t in open_tracks() if t.seen[-1].frame != f and candidate_allowed(r, t, slots[f, r.layer]) and admitted(r, t)]
-        points = {(r.layer, t.number): p for r, t in able if (p := score(r, now[id(r)], t)) >= LEAST_SCORE}
-        chosen, ambiguous = best_matching(points)
-        own = {r.layer: r for r in left}
+        places, able = list(left), open_tracks()
+        points = _scored(list(left.values()), places, able, None if crossings else [least[places], most[places]], slots)
+        own = {r.layer: r for r in left.values()}
         at = {k: now[id(r)] for k, r in own.items()}
+        scores = _as_scores(points, [r.layer for r in left.values()], [t.number for t in able])
+        chosen, ambiguous = best_matching(scores)
         kept = sorted(chosen.items(), key=lambda c: at[c[0]])
-        kept = kept if crossings else uncross(kept, at, {t.number: t.median for t in open_tracks()}, points, lambda a, b: alpha_overlap(own[a], own[b]))
+        kept = kept if crossings else uncross(kept, at, {t.number: t.median for t in able}, scores, lambda a, b: alpha_overlap(own[a], own[b]))
         for layer, number in kept:
-            others = sorted((p for (k, n), p in points.items() if k == layer and n != number), reverse=True)
-            take(own[layer], tracks[number], "score", points[layer, number], max(0, points[layer, number] - (others[0] if others else 0)))
-        for r in list(left):
+            others = scores.weight[scores.row[layer]].copy()
+            others[scores.column[number]] = 0
+            take(own[layer], tracks[number], "score", scores[layer, number], max(0, scores[layer, number] - max(0, int(others.max()) - EDGE_BONUS)))
+        for r in list(left.values()):
             begin(r, "ambiguous" if r.layer in ambiguous else "new")
         known.update(r.name for r in frames[f])
     return tracks, decided
@@ -252,12 +450,21 @@ def associate(rows: list, protect_new: bool, crossings: bool = False, by_source:
 
 def track_votes(tracks: list[Track], decided: dict, frames: dict, pairs: dict | None = None) -> dict:
     """In how many frames one of two overlapping tracks comes before the other."""
-    votes: dict = defaultdict(lambda: [0, 0])
+    return {(a, b): (n, m) for a, b, n, m in zip(*(x.tolist() for x in _votes(len(tracks), decided, frames, pairs)))}
+
+
+def _votes(n: int, decided: dict, frames: dict, pairs: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower and the higher track of each pair, and how often either comes first."""
+    codes, counts = np.zeros(0, dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
     for f, rows in frames.items():
-        for i, j in pairs[f] if pairs else overlapping(rows):
-            s, t = (decided[r.frame, r.layer][0] for r in (rows[i], rows[j]))
-            votes[min(s, t), max(s, t)][0 if s < t else 1] += 1
-    return {k: tuple(v) for k, v in votes.items()}
+        own = pairs[f] if pairs else overlapping(rows)
+        if len(own):
+            s, t = np.array([decided[r.frame, r.layer][0] for r in rows])[own.T]
+            added = np.stack([s < t, s >= t], axis=1).astype(np.int64)
+            codes, counts = np.concatenate([codes, np.minimum(s, t) * n + np.maximum(s, t)]), np.concatenate([counts, added])
+            codes, number = np.unique(codes, return_inverse=True)
+            counts = np.stack([np.bincount(number, counts[:, k]) for k in (0, 1)], axis=1).astype(np.int64)
+    return codes // max(n, 1), codes % max(n, 1), counts[:, 0], counts[:, 1]
 
 
 def display_name(track: Track) -> str:
@@ -268,24 +475,30 @@ def display_name(track: Track) -> str:
 def plan_document(pdf: pd.DataFrame, protect_new: bool = True, crossings: bool = False) -> pd.DataFrame:
     """The plan of one document: its tracks, their order, and the z-indices of their cels."""
     rows = list(pdf.itertuples(index=False))
-    tracks, decided = associate(rows, protect_new, crossings)
     frames: dict = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.frame, r.place)):
         frames[r.frame].append(r)
+    pairs = {f: overlapping(own) for f, own in frames.items()}
+    tracks, decided = associate(rows, protect_new, crossings, pairs=pairs)
     base = {t.number: t.places[0] for t in tracks}
     ranked = sorted(base, key=lambda n: (base[n], n))
-    anchor = {n: k for k, n in enumerate(ranked)}
-    pairs = {f: overlapping(own) for f, own in frames.items()}
-    edges, _ = consensus_edges(track_votes(tracks, decided, frames, pairs), anchor)
-    planned = stable_order(anchor, edges, anchor)
-    place = {n: k for k, n in enumerate(planned)}
+    anchor = np.empty(len(ranked), dtype=np.int64)
+    anchor[ranked] = np.arange(len(ranked))
+    first, second, reason = agreed_edges(*_votes(len(tracks), decided, frames, pairs), anchor.astype(float))
+    planned = [ranked[k] for k in ranked_order(len(ranked), anchor[first[reason == 0]], anchor[second[reason == 0]])]
+    place = np.empty(len(planned), dtype=np.int64)
+    place[planned] = np.arange(len(planned))
+    names = [display_name(t) for t in tracks]
     out = []
     for f, own in frames.items():
-        here = [decided[r.frame, r.layer][0] for r in own]
-        z = z_indices(planned, stable_order(here, [(here[i], here[j]) for i, j in pairs[f]], place))
-        for r, n in zip(own, here):
+        here = np.array([decided[r.frame, r.layer][0] for r in own])
+        number, rank = np.unique(place[here], return_inverse=True)  # of the tracks of this frame, as planned
+        ends = rank[pairs[f]]
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        z = z_indices(planned, [planned[number[k]] for k in ranked_order(len(number), ends[:, 0], ends[:, 1])])
+        for r, n in zip(own, here.tolist()):
             _, phase, points, margin = decided[r.frame, r.layer]
-            out.append((r.doc_id, r.frame, r.layer, n, place[n], display_name(tracks[n]), z[n], phase, points, margin))
+            out.append((r.doc_id, r.frame, r.layer, n, int(place[n]), names[n], z[n], phase, points, margin))
     return pd.DataFrame(out, columns=[c.split()[0] for c in PLAN.split(", ")])
 
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import namedtuple
 
 import pandas as pd
@@ -248,3 +249,66 @@ def test_fact_order_reversed_once(step, crossings, tracks, moved):
     plan = P.plan_document(pd.DataFrame(rows), crossings=crossings)
     assert plan.track.nunique() == tracks
     assert (plan[plan.frame == 1].z_index != 0).tolist() == [moved, moved] and (plan[plan.frame == 0].z_index == 0).all()
+
+
+def crowd(seed, layers, frames, side=200, wide=13):
+    """Frames of boxes with holes at random places; half the names are unique, the rest change from frame to frame."""
+    rng = random.Random(seed)
+    rows = []
+    for f in range(frames):
+        for p, k in enumerate(sorted(range(layers), key=lambda k: k + rng.randrange(4))):
+            name = f"part {k}" if k % 2 else rng.choice([f"side {k // 8} {rng.randrange(9)}", f"layer {k}"])
+            w, h = rng.randrange(1, wide), rng.randrange(1, 12)
+            row = drawn(f, k, p, name, rng.randrange(-9, side), containers=rng.choice([[], [900], [901, 902 + f % 2]]))
+            rows.append(row._replace(base=name.rsplit(" ", 1)[0], path=rng.choice(["", "g/a", "g/b"]), y=rng.randrange(side), width=w, height=h, content=f"{k} {rng.randrange(3)}", alpha=rng.randbytes((w * h + 7) // 8)))
+    return rows
+
+
+@pytest.mark.parametrize("seed, wide", [(0, 13), (1, 13), (2, 90), (3, 64)])
+def test_overlaps_by_columns(monkeypatch, seed, wide):
+    monkeypatch.setattr(P, "FEW_PAIRS", 0)
+    monkeypatch.setattr(P, "BLOCK", 50)
+    rows = crowd(seed, 70, 1, 40, wide) + [drawn(0, 999, 70, "all", 5)._replace(y=5, width=300, height=300, alpha=None)]
+    want = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if P.alpha_overlap(rows[i], rows[j])]
+    assert [tuple(p) for p in P.overlapping(rows).tolist()] == want
+
+
+@pytest.mark.parametrize("crossings", [True, False])
+def test_columns_score_as_single_pairs_do(monkeypatch, crossings):
+    for seed in range(12):
+        rows = crowd(seed, 24, 6, 60)
+        rows = [r._replace(locked=r.layer % 11 == seed) for r in rows]
+        monkeypatch.setattr(P, "FEW_PAIRS", 10**9)
+        want = P.plan_document(pd.DataFrame(rows), crossings=crossings)
+        monkeypatch.setattr(P, "FEW_PAIRS", 0)
+        monkeypatch.setattr(P, "BLOCK", 40)
+        assert P.plan_document(pd.DataFrame(rows), crossings=crossings).equals(want)
+        assert {"score", "new", "name"} <= set(want.phase)
+
+
+def test_a_crowded_document_is_planned_in_seconds():
+    rows = crowd(1, 1100, 7)
+    began = time.process_time()
+    plan = P.plan_document(pd.DataFrame(rows))
+    assert len(plan) == len(rows) and time.process_time() - began < 30
+
+
+def test_ambiguity_takes_one_assignment():
+    began = time.process_time()
+    chains = {(i, c): 50 for i in range(0, 600, 2) for c in (i, i + 1)} | {(i, i): 60 for i in range(1, 600, 2)}
+    got, ambiguous = Z.best_matching(chains)
+    assert got == {i: i for i in range(600)} and not ambiguous
+    got, ambiguous = Z.best_matching(chains | {(i, 600 + i): 60 for i in range(1, 600, 2)})
+    assert ambiguous == set(range(600)) and not got
+    assert time.process_time() - began < 20
+
+
+def test_consensus_of_many_edges():
+    """Every fourth pair of neighbours is seen reversed most often, and what goes back over them closes cycles."""
+    n = 400
+    votes = {(a, b): (0, 9) if b == a + 1 and a % 4 == 0 else (0, 1) if (a, b) == (0, n - 1) else (2, 0) for a in range(n) for b in range(a + 1, n)}
+    began = time.process_time()
+    edges, refused = Z.consensus_edges(votes, {i: i for i in range(n)})
+    assert refused == [(n - 1, 0, "cycle")] and len(edges) == len(votes) - 1
+    order = Z.stable_order(range(n), edges, {})
+    assert order == [k ^ 1 if k % 4 < 2 else k for k in range(n)] and time.process_time() - began < 20
