@@ -526,7 +526,8 @@ def observations(layers: DataFrame, cels: DataFrame) -> DataFrame:
     named = named.join(groups_above(layers), ["doc_id", "source_layer_id"])
     seen = cels.where("pixels IS NOT NULL").select("doc_id", "source_layer_id", "frame_index", "x", "y", "width", "height", content_key().alias("content"), drawn_bits(F.col("pixels")).alias("alpha"))
     place = F.row_number().over(Window.partitionBy("doc_id", "frame_index").orderBy("child_ordinal", "source_layer_id")) - 1
-    return seen.join(named, ["doc_id", "source_layer_id"]).select(
+    together = seen.join(named, ["doc_id", "source_layer_id"]).repartition("doc_id")  # serves the places and the plan
+    return together.select(
         "doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), place.cast("int").alias("place"), F.col("normalized").alias("name"),
         "base", is_generic_name(F.col("base")).alias("generic"), "path", "x", "y", "width", "height", "content", F.lit(False).alias("locked"), "alpha", "containers",
     )

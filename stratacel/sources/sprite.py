@@ -9,9 +9,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,11 +267,20 @@ def encode_plans(documents: DataFrame, frames: DataFrame, plan: DataFrame, cels:
 
     plan: doc_id, frame, layer, track, track_place, track_name, z_index. Equal cels of a track link
     back to the first where ``reuse``, whatever layer they come from. What the format can't hold is
-    a ``problem``, as with ``encode_documents``.
+    a ``problem``, as with ``encode_documents``. Cels meet their plan in the task of the document,
+    so pixels are shuffled once.
     """
+    assigned = ["track", "track_place", "track_name", "z_index"]
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, drawn = left.to_pylist(), right.to_pylist()
+        is_plan = left["track"].is_valid()
+        rows, tracks, own = left.filter(pc.invert(is_plan)).to_pylist(), left.filter(is_plan), defaultdict(list)
+        for frame, layer, *values in zip(*(tracks[k].to_pylist() for k in ("planned_frame", "layer", *assigned))):
+            own[frame, layer].append(dict(zip(assigned, values)))
+        where = [k for k, place in enumerate(zip(right["frame"].to_pylist(), right["layer"].to_pylist())) if place in own]
+        drawn = [c | values for c in right.take(pa.array(where, type=pa.int64())).to_pylist() for values in own[c["frame"], c["layer"]]]
+        if not rows and not drawn:
+            return _schema(ENCODED).empty_table()
         head = next((r for r in rows if r["width"] is not None or r["height"] is not None), {"width": None, "height": None, "loop": None, "repeat": None})
         names = {(c["track_place"], c["track"]): c["track_name"] for c in drawn}
         place = {track: k for k, (_, track) in enumerate(sorted(names))}
@@ -301,8 +312,9 @@ def encode_plans(documents: DataFrame, frames: DataFrame, plan: DataFrame, cels:
     heads = documents.select("doc_id", "width", "height", F.col("loop_tag").alias("loop"), F.col("loop_count").alias("repeat"))
     timeline = frames.select("doc_id", F.col("frame_index").alias("frame"), F.col("duration_ms").alias("ms"))
     pixels = sound_cels(cels).select("doc_id", F.col("frame_index").alias("frame"), F.col("source_layer_id").alias("layer"), "x", "y", "opacity", "width", "height", "pixels")
-    planned = pixels.join(plan.select("doc_id", "frame", "layer", "track", "track_place", "track_name", "z_index"), ["doc_id", "frame", "layer"])
-    return heads.unionByName(timeline, allowMissingColumns=True).groupBy("doc_id").cogroup(planned.groupBy("doc_id")).applyInArrow(write, ENCODED)
+    planned = plan.select("doc_id", F.col("frame").alias("planned_frame"), "layer", *assigned)
+    described = heads.unionByName(timeline, allowMissingColumns=True).unionByName(planned, allowMissingColumns=True)
+    return described.groupBy("doc_id").cogroup(pixels.groupBy("doc_id")).applyInArrow(write, ENCODED)
 
 
 def sound_cels(cels: DataFrame) -> DataFrame:

@@ -104,3 +104,18 @@ def test_files_of_planned_tracks(spark):
     assert [(c["frame"], c["layer"], c["z"], c["link"]) for c in out["cels"]] == [(0, 1, 0, None), (1, 0, 1, None), (1, 1, -1, 0), (2, 1, 0, 0)]
     out["cels"][3]["link"] = 1
     assert S.link_problems(out) == ["layer 1 frame 2 links to 1"]
+
+
+def test_planned_pixels_are_shuffled_once(spark):
+    documents, frames, cels = (spark.createDataFrame([], s) for s in (DOCUMENT, "doc_id string, frame_index int, duration_ms bigint", CELS))
+    plan = spark.createDataFrame([], "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int")
+    physical = S.encode_plans(documents, frames, plan, cels)._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 2 and "Join" not in physical
+
+
+def test_pixels_without_a_plan_are_left_out(spark):
+    documents = spark.createDataFrame([("d", 9, 9, None, None)], DOCUMENT)
+    frames = spark.createDataFrame([("d", 0, 50)], "doc_id string, frame_index int, duration_ms bigint")
+    cels = spark.createDataFrame([(doc, 0, layer, 1, 2, 255, 1, 1, b"abcd") for doc, layer in (("d", 1), ("d", 2), ("x", 1))], CELS)
+    plan = spark.createDataFrame([(doc, 0, layer, 0, 0, "a", 0) for doc, layer in (("d", 2), ("d", 3), ("y", 1))], "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int")
+    assert [(r.doc_id, r.layers, r.cels, r.problem) for r in S.encode_plans(documents, frames, plan, cels).collect()] == [("d", 1, 1, None)]
