@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
@@ -36,6 +36,8 @@ DRAWN = OBSERVATION + ", alpha binary, containers array<bigint>"
 FEW_PAIRS = 64
 #: Pairs that are compared at once.
 BLOCK = 1 << 20
+#: Two named ones further apart than this, with no name, place or content in common, are below LEAST_SCORE.
+NEAR = 8
 PLAN = "doc_id string, frame int, layer bigint, track int, track_place int, track_name string, z_index int, phase string, score int, margin int"
 
 
@@ -161,14 +163,14 @@ def _meeting(rows: list, i: np.ndarray, j: np.ndarray, x: np.ndarray, y: np.ndar
 def overlapping(rows: list) -> np.ndarray:
     """Places of the pairs of a frame's observations that draw at one pixel, in order."""
     if len(rows) * (len(rows) - 1) // 2 <= FEW_PAIRS:
-        return np.array([(i, j) for i, j in combinations(range(len(rows)), 2) if alpha_overlap(rows[i], rows[j])], dtype=np.int64).reshape(-1, 2)
+        return np.array([(i, j) for i, j in combinations(range(len(rows)), 2) if alpha_overlap(rows[i], rows[j])], dtype=np.int32).reshape(-1, 2)
     x, y, width, height = (np.array([getattr(r, k) for r in rows], dtype=float) for k in ("x", "y", "width", "height"))
     sides = x, y, x + width, y + height
-    out = [np.zeros((0, 2), dtype=np.int64)]
+    out = [np.zeros((0, 2), dtype=np.int32)]
     for i, j in _near(*sides):
         if i.size:
             met = _meeting(rows, i, j, *sides)
-            out.append(np.stack([i[met], j[met]], axis=1))
+            out.append(np.stack([i[met], j[met]], axis=1).astype(np.int32))
     out = np.concatenate(out)
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
@@ -272,12 +274,34 @@ def _scored(rows: list, places: list, tracks: list, bounds: list | None, slots:
     starts = np.cumsum(counts) - counts
     box = np.array([(r.x, r.y, r.width, r.height) for r in rows], dtype=float)
     by = np.argsort(median, kind="stable")
+    by = by[(~began | apart.any(axis=0))[by]]  # others admit no row
     low = np.zeros(len(rows), dtype=int) if bounds is None else np.searchsorted(median[by], bounds[0])
-    many = len(tracks) - low if bounds is None else np.maximum(np.searchsorted(median[by], bounds[1], side="right") - low, 0)
-    for begin, end in _blocks(many):
-        n = many[begin:end]
-        i = np.repeat(np.arange(begin, end), n)
-        k = by[np.arange(len(i)) - np.repeat(np.cumsum(n) - n - low[begin:end], n)]
+    high = np.full(len(rows), len(by)) if bounds is None else np.searchsorted(median[by], bounds[1], side="right")
+    window = [np.searchsorted(median[by], place + d, side=side) for d, side in ((-4, "left"), (4, "right"))]  # order counts there
+    sides = [f(boxes[:, c], starts)[by] for f, c in ((np.minimum.reduceat, 0), (np.maximum.reduceat, 0), (np.minimum.reduceat, 1), (np.maximum.reduceat, 1))]
+    alike = [_members(own[1][by]) for own in (name, base)]
+    at = np.full(len(tracks), -1)
+    at[by] = np.arange(len(by))
+    drawn_at = _members(equal // len(tracks))
+
+    def likely(i: int) -> np.ndarray:
+        """Places in ``by`` of the tracks whose score of a row may reach ``LEAST_SCORE``."""
+        a, z = int(low[i]), int(high[i])
+        if a >= z:
+            return by[:0]
+        if generic[i]:
+            return np.flatnonzero(apart[kind[i], by[a:z]]) + a
+        away = [np.maximum(np.maximum(sides[c][a:z] - box[i, c // 2], box[i, c // 2] - sides[c + 1][a:z]), 0) for c in (0, 2)]
+        found = away[0] + away[1] <= NEAR
+        found |= ended[by[a:z]]
+        found[max(int(window[0][i]) - a, 0) : max(int(window[1][i]) - a, 0)] = True
+        for some in (alike[0].get(name[0][i]), alike[1].get(base[0][i]), at[equal[drawn_at[i]] % len(tracks)] if i in drawn_at else None):
+            if some is not None:
+                found[some[(some >= a) & (some < z)] - a] = True
+        return np.flatnonzero(found) + a
+
+    for i, k in _pairs(len(rows), likely):
+        k = by[k]
         allowed = (locked[0][i] == locked[1][k]) & (~locked[0][i] | (layer[0][i] == layer[1][k]))
         allowed &= ~(generic[i] | began[k]) | apart[kind[i], k]
         i, k = i[allowed], k[allowed]
@@ -299,6 +323,26 @@ def _scored(rows: list, places: list, tracks: list, bounds: list | None, slots:
     return out
 
 
+def _members(codes: np.ndarray) -> dict:
+    """Places of each code."""
+    by = np.argsort(codes, kind="stable")
+    found, starts = np.unique(codes[by], return_index=True)
+    return dict(zip(found.tolist(), np.split(by, starts[1:])))
+
+
+def _pairs(n: int, partners: Callable[[int], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of n numbers with its partners, in blocks of up to ``BLOCK`` pairs or one number."""
+    own, size = [], 0
+    for i in range(n + 1):
+        found = partners(i) if i < n else None
+        if own and (found is None or size + len(found) > BLOCK):
+            yield np.repeat([k for k, _ in own], [len(x) for _, x in own]), np.concatenate([x for _, x in own])
+            own, size = [], 0
+        if found is not None and len(found):
+            own.append((i, found))
+            size += len(found)
+
+
 def _blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges whose counts sum up to ``BLOCK`` or are one item."""
     ends, low = np.cumsum(counts), 0
@@ -341,7 +385,7 @@ def _as_scores(points: np.ndarray, layers: list, numbers: list) -> Scores:
         row, merged = {k: i for i, k in enumerate(ids)}, np.zeros((len(ids), len(numbers)), dtype=points.dtype)
         for k, own in zip(layers, points):
             merged[row[k], own > 0] = own[own > 0]
-    rows, columns = np.flatnonzero(merged.any(axis=1)), np.flatnonzero(merged.any(axis=0))
+    rows, columns = (np.flatnonzero(merged.max(axis=k, initial=0)) for k in (1, 0))
     merged = merged[np.ix_(rows, columns)].astype(np.int16)
     return Scores([ids[i] for i in rows], [numbers[c] for c in columns], np.where(merged > 0, merged + EDGE_BONUS, 0))
 

@@ -293,6 +293,30 @@ def test_a_crowded_document_is_planned_in_seconds():
     assert len(plan) == len(rows) and time.process_time() - began < 30
 
 
+@pytest.mark.parametrize("side", [60, 200])
+def test_distant_pairs_are_passed_over(monkeypatch, side):
+    """Where names and contents change, few pairs of a crowd are compared by boxes; the plan is that of all pairs, each observation once in it."""
+    rows = [r._replace(name=f"{r.name} {r.frame}", base=f"{r.base} {r.frame}", content=f"{r.content} {r.frame}", path="g", width=10, height=10, alpha=None) for r in crowd(5, 260, 4, side)]
+    monkeypatch.setattr(P, "FEW_PAIRS", 10**9)
+    want = P.plan_document(pd.DataFrame(rows))
+    monkeypatch.setattr(P, "FEW_PAIRS", 64)
+    compared, geometries = [], P._geometries
+    monkeypatch.setattr(P, "_geometries", lambda a, b: compared.append(len(a)) or geometries(a, b))
+    got = P.plan_document(pd.DataFrame(rows))
+    assert got.equals(want) and set(zip(got.frame, got.layer)) == {(r.frame, r.layer) for r in rows} and len(got) == len(rows)
+    assert 0 < sum(compared) < 100 * len(rows)
+
+
+def test_unlike_names_join_as_far_as_they_may():
+    """Boxes of one size in one group reach LEAST_SCORE up to a distance of 8, also among many tracks."""
+    far = [drawn(0, 100 + k, k, f"far {k}", 1000 + 40 * k)._replace(base=f"far {k}", path="g", y=0, width=9, height=9, content=f"far {k}") for k in range(80)]
+    for x, joins in [(8, True), (9, False), (-8, True), (-9, False)]:
+        one, two = (drawn(f, k, p, n, at)._replace(base=n, y=0, width=9, height=9, content=n) for f, k, p, n, at in [(0, 1, 80, "one", 0), (1, 2, 0, "two", x)])
+        plan = P.plan_document(pd.DataFrame([*far, one, two]))
+        assert (plan.set_index("layer").phase[2] == "score") == joins
+        assert len(far) + 1 > P.FEW_PAIRS
+
+
 def test_ambiguity_takes_one_assignment():
     began = time.process_time()
     chains = {(i, c): 50 for i in range(0, 600, 2) for c in (i, i + 1)} | {(i, i): 60 for i in range(1, 600, 2)}
